@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op4_lsh_forest",)
+MODULES = ("op1_quality", "op4_lsh_forest", "op8_benchmark", "op9_bpe", "op10_suffix")
 
 
 def _all(name: str) -> dict:
