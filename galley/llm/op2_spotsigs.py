@@ -37,7 +37,7 @@ ANCHORS = (
     "con de del el los las lo no o por se su una y"
 ).split()
 #: Buckets of rows in order, for each shuffle partition, and at most.
-BUCKETS, MOST_BUCKETS = 2, 1000
+BUCKETS, MOST_BUCKETS = 2, 100_000
 
 _ANCHOR = "|".join(sorted(dict.fromkeys(ANCHORS)))
 
@@ -72,6 +72,18 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
+def _range(cuts: list[int]) -> Column:
+    """How many cuts lie below doc_id, by way of every so-manieth of them."""
+    step = max(1, int(len(cuts) ** 0.5))
+    rows = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    if not rows:
+        return F.lit(0)
+    longs = lambda x: F.lit(x).cast("array<bigint>")
+    below = lambda some: F.size(F.filter(some, lambda c: c < F.col("doc_id")))
+    row = F.greatest(below(longs([r[0] for r in rows])) - 1, F.lit(0))
+    return row * step + below(F.get(F.array(*map(longs, rows)), row))
+
+
 def in_order(docs: DataFrame) -> tuple[DataFrame, Window]:
     """Rows (doc_id, text) with bucket and guard, and a window in which each row without guard is followed by the next.
 
@@ -80,10 +92,8 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, Window]:
     """
     spark = docs.sparkSession
     n = min(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first().q
-    cuts = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(bucket))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("q")).first().q
+    docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(_range(sorted(set(cuts or [])))))
     low = docs.groupBy("bucket").agg(F.min("doc_id").alias("low"))
     lows = sorted(low.collect(), key=lambda r: r.bucket)  # MOST_BUCKETS + 1 rows at most
     rows = [(r.bucket, r.low, lows[i - 1].bucket) for i, r in enumerate(lows)]
