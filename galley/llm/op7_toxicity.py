@@ -8,7 +8,7 @@ are stems or whole units, chosen on the labelled sample; the kernel's values aga
 kernel matrix, are a sentence's Nyström features.
 
 Labels are given by document, sentences are wanted: those of a toxic document's sentences are toxic that have
-a byte gram of a small set which covers the toxic documents and hardly any other; where that finds none, the one that the
+a unit with a beginning from a small set which covers the toxic documents and hardly any other; where that finds none, the one that the
 machine itself puts first, if it calls it toxic. All sentences of other documents are clean. Toxic units are also learned with a byte inserted. A
 document's score is that of its worst sentence, made a probability on documents that the machine was not fitted on.
 
@@ -34,13 +34,15 @@ from galley.llm import textbytes as tb
 from galley.llm.op1_quality import fit_rows, held_out
 
 #: Labelled documents of each label for the fit.
-FIT_ROWS = 2500
+FIT_ROWS = 2000
 #: Bytes that a subsequence of three may span, and its weight's factor for each byte skipped.
 SPAN, DECAY, POWER = 6, 0.75, 3
-#: Landmarks, and the share of a gram's units that a stem must begin.
+#: Landmarks, and the share of the units chosen together that a stem must begin.
 LANDMARKS, STEM = 48, 0.75
-#: Hashed features; sizes of byte grams in the first choice of sentences, and their hashed number.
-FEATURES, GRAM_SIZES, GRAMS = 1 << 16, (5, 6, 7, 8), 1 << 20
+#: Hashed features; sizes of beginnings of units in the first choice of sentences, with the mark.
+FEATURES, BEGINNINGS = 1 << 16, (5, 6, 7, 8, 9)
+#: Kernel value below which a clean sentence counts like one without units.
+FAINT = 0.02
 #: Bytes of text scored at once, and the least score of a toxic document.
 SLICE, TOXIC = 1 << 20, 0.5
 
@@ -222,46 +224,48 @@ class ToxicityModel:
         return fit([r.text or "" for r in got], np.array([r.label for r in got], np.int64))
 
 
-def _grams(u: Units) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(unit, hashed gram) for each size of byte grams."""
-    flat = np.r_[u.flat, np.zeros(max(GRAM_SIZES), np.uint8)].astype(np.uint64)
-    for n in GRAM_SIZES:
-        size = np.maximum(u.ends - u.starts - n + 1, 0)
-        unit = np.repeat(np.arange(len(size)), size)
-        place = np.arange(int(size.sum())) + np.repeat(u.starts - (np.cumsum(size) - size), size)
-        key = sum(flat[place + k] << np.uint64(8 * k) for k in range(n)) + np.uint64(n)
-        yield unit, (tb.mix(key) % np.uint64(GRAMS)).astype(np.int64)
-
-
-def _cover(u: Units, toxic: np.ndarray) -> list[np.ndarray]:
-    """Units with each gram of a small set that covers the toxic texts and hardly any other. Again and again the gram is
-    taken that tells most of the toxic texts that are left from all others."""
-    text = u.text_of[u.sentence]
-    unit, gram = (np.concatenate(x) for x in zip(*_grams(u), strict=True))
-    seen, first = np.unique(text[unit] * GRAMS + gram, return_index=True)
-    of, unit, gram = seen // GRAMS, unit[first], gram[first]
-    bad = toxic[of] > 0
-    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    c1, c0 = (np.bincount(gram[x], minlength=GRAMS) for x in (bad, ~bad))
-    tells = np.maximum(np.log((c1 / n1 + 1e-9) / ((c0 + 0.5) / n0 + c1 / n1)) + 0.15, 0)
-    own = bad & (tells[gram] > 0)
-    of, unit, gram = of[own], unit[own], gram[own]
+def _keys(u: Units) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(unit, hashed beginning) for each size of beginnings, and for whole units."""
+    size = u.ends - u.starts
+    for n in BEGINNINGS:
+        own = np.flatnonzero(size >= n)
+        yield own, tb.hashes(u.flat, u.starts[own], u.starts[own] + n)
+    yield np.arange(len(size)), tb.hashes(u.flat, u.starts, u.ends)
+
+
+def _cover(parts: list[Units], toxic: np.ndarray) -> np.ndarray:
+    """Keys of a small set that covers the toxic texts (1) and hardly any clean one (0), sorted. Again and again the key is taken that
+    tells most of the toxic texts that are left from all others. Texts count half as much with each key that they have."""
+    rows, others = [], []  # (text, key, word) of toxic texts; keys of others
+    for u in parts:
+        text, whole = u.text_of[u.sentence], tb.hashes(u.flat, u.starts, u.ends)
+        unit, key = (np.concatenate(x) for x in zip(*_keys(u), strict=True))
+        first = np.unique(tb.mix(key + text[unit].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+        unit, key = unit[first], key[first]
+        bad, good = toxic[text[unit]] > 0, toxic[text[unit]] == 0
+        rows.append((text[unit[bad]].astype(np.int32), key[bad], whole[unit[bad]]))
+        others.append(key[good])
+    of, key, word = (np.concatenate(x) for x in zip(*rows, strict=True))
+    names, key, c1 = np.unique(key, return_inverse=True, return_counts=True)
+    c0 = np.zeros(len(names))
+    for x in others:
+        at = np.minimum(np.searchsorted(names, x), max(len(names) - 1, 0))
+        c0 += np.bincount(at[names[at] == x], minlength=len(names)) if len(names) else 0
+    n1, n0 = int((toxic > 0).sum()), int((toxic == 0).sum())
+    tells = np.where(c1 > 1, np.maximum(np.log((c1 / n1) / ((c0 + 0.5) / n0 + c1 / n1)) + 0.15, 0), 0)
+    own = tells[key] > 0
+    of, word, key = of[own], word[own], key[own]
     weight, chosen = np.ones(len(toxic)), []
     while len(of) and len(chosen) < LANDMARKS:
-        gain = np.bincount(gram, weight[of], GRAMS) * tells
-        best = int(np.argmax(gain))
-        hit = gram == best
+        best = int(np.argmax(np.bincount(key, weight[of], len(names)) * tells))
+        hit = key == best
         if weight[of[hit]].sum() < max(2, n1 / 1000):
             break
         chosen.append(best)
-        weight[of[hit]] /= 2  # most toxic texts have several
-        left = ~np.isin(unit, unit[hit])
-        of, unit, gram = of[left], unit[left], gram[left]
-    hits: list[list[np.ndarray]] = [[] for _ in chosen]
-    for unit, gram in _grams(u):
-        for k, g in enumerate(chosen):
-            hits[k].append(unit[gram == g])
-    return [np.unique(np.concatenate(h)) for h in hits]
+        weight[of[hit]] /= 2
+        left = ~np.isin(word, word[hit])
+        of, word, key = of[left], word[left], key[left]
+    return np.sort(names[chosen])
 
 
 def _stem(words: list[bytes]) -> bytes:
@@ -285,10 +289,10 @@ def _inserted(words: list[bytes], rng: np.random.Generator) -> list[bytes]:
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float]:
-    """A linear support vector machine with squared hinge loss and ten times the weight on clean rows, by Newton's method."""
+def _machine(x: np.ndarray, y: np.ndarray, count: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float]:
+    """A linear support vector machine on rows that count so often, with squared hinge loss and ten times the weight on clean rows, by Newton's method."""
     z = np.c_[x, np.ones(len(x))]
-    weight = np.where(y > 0, cost / max((y > 0).sum(), 1), 10 * cost / max((y < 0).sum(), 1)) * 1000
+    weight = count * np.where(y > 0, cost / max(count[y > 0].sum(), 1), 10 * cost / max(count[y < 0].sum(), 1)) * 1000
     w = np.zeros(z.shape[1])
     ridge = np.r_[np.ones(x.shape[1]), 1e-6]
 
@@ -329,45 +333,54 @@ def fit(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
     if len(toxic) < 10 or toxic.min() == toxic.max():
         return constant
     rng = np.random.default_rng(3)
-    parts = [units(data, at) for _, _, data, at in tb.slices(pa.array(texts, pa.large_string()), 1 << 62)]
-    u = parts[0]
-    if not len(u.starts):
-        return constant
-    aside = rng.random(len(texts)) < 0.2
-    text = u.text_of[u.sentence]
-    word = lambda i: u.flat[u.starts[i] : u.ends[i]].tobytes()
-    groups = [g[(toxic[text[g]] > 0) & ~aside[text[g]]] for g in _cover(u, np.where(aside, 0, toxic))]
-    groups = [g for g in groups if len(g)]
+    parts, begin = [], 0
+    for i, j, data, at in tb.slices(pa.array(texts, pa.large_string()), SLICE):
+        parts.append(units(data, at))
+        parts[-1].text_of += i
+        begin = j
+    aside = rng.random(begin) < 0.2
+    learned = np.where(aside, -1, toxic)
+    cover = _cover(parts, learned)
+    groups: dict[int, list[bytes]] = {k: [] for k in cover.tolist()}
+    taken = []  # (part, sentence) of toxic units
+    for u in parts:
+        text, mine = u.text_of[u.sentence], np.zeros(len(u.text_of), bool)
+        for unit, key in _keys(u):
+            own = np.flatnonzero(np.isin(key, cover) & (learned[text[unit]] > 0))
+            mine[u.sentence[unit[own]]] = True
+            for k in own.tolist():
+                groups[int(key[k])].append(u.flat[u.starts[unit[k]] : u.ends[unit[k]]].tobytes())
+        taken.append(mine)
+    groups = {k: g for k, g in groups.items() if g}
     if not groups:
         return constant
-    stems = [_stem([word(i) for i in g]) for g in groups]
-    taken = np.unique(np.concatenate(groups))
-    kernel = Kernel(list(dict.fromkeys(stems)))
+    kernel = Kernel(list(dict.fromkeys(map(_stem, groups.values()))))
+    values = np.concatenate([kernel.sentences(u) for u in parts])
+    text_of = np.concatenate([u.text_of for u in parts])
+    covered = np.flatnonzero(np.concatenate(taken))
+    del parts
 
-    values = kernel.sentences(u).astype(np.float64)
-    extra = _inserted([word(i) for i in taken], rng)
+    extra = _inserted(sorted(w for g in groups.values() for w in g), rng)
     ends = np.cumsum([len(w) for w in extra])
-    extra_values = kernel.values(np.frombuffer(b"".join(extra), np.uint8), ends - [len(w) for w in extra], ends).astype(np.float64)
-    root, vectors = np.linalg.eigh(kernel.own.astype(np.float64))
+    extra_values = kernel.values(np.frombuffer(b"".join(extra), np.uint8), ends - [len(w) for w in extra], ends)
+    root, vectors = np.linalg.eigh(kernel.own)
     whiten = vectors / np.sqrt(np.maximum(root, 0.05)) @ vectors.T
-    label = toxic[u.text_of]
-    mine = ~aside[u.text_of]
-    negative = np.flatnonzero((label == 0) & mine)
-    covered = np.unique(u.sentence[taken])
+    clean = (toxic[text_of] == 0) & ~aside[text_of]
+    plain = clean & (values.max(1) < FAINT)
+    negative = np.flatnonzero(clean & ~plain)
+    rest = np.flatnonzero((toxic[text_of] == 1) & ~aside[text_of] & ~np.isin(text_of, text_of[covered]))
     positive = covered
-    weights, bias = np.zeros(whiten.shape[0]), 0.0
     for _ in range(3):
-        x = np.concatenate([values[positive], extra_values, values[negative]]) @ whiten
-        y = np.r_[np.ones(len(positive) + len(extra)), -np.ones(len(negative))]
-        w, bias = _machine(x, y)
+        x = np.concatenate([values[positive], extra_values, values[negative], np.zeros((1, values.shape[1]), np.float32)]) @ whiten
+        y = np.r_[np.ones(len(positive) + len(extra)), -np.ones(len(negative) + 1)]
+        w, bias = _machine(x, y, np.r_[np.ones(len(y) - 1), max(plain.sum(), 1)])
         weights = whiten @ w
         margin = values @ weights + bias
-        own = np.flatnonzero((label == 1) & mine & ~np.isin(u.text_of, u.text_of[covered]))
-        order = own[np.lexsort((-margin[own], u.text_of[own]))]
-        found = order[np.r_[True, u.text_of[order][1:] != u.text_of[order][:-1]][: len(order)]]
+        order = rest[np.lexsort((-margin[rest], text_of[rest]))]
+        found = order[np.r_[True, text_of[order][1:] != text_of[order][:-1]][: len(order)]]
         positive = np.r_[covered, found[margin[found] > 0]]
     worst = np.full(len(texts), -np.inf)
-    np.maximum.at(worst, u.text_of, margin)
+    np.maximum.at(worst, text_of, margin)
     held = aside if len(set(toxic[aside].tolist())) == 2 and aside.sum() >= 20 else ~aside
     return ToxicityModel(kernel, weights, bias, *_scale(worst[held], np.where(toxic[held] > 0, 1, -1)))
 
