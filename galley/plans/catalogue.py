@@ -1,15 +1,24 @@
-"""All queries of the rule engine over the driver's tables, and their DuckDB counterparts."""
+"""All queries of the rule engine over the driver's tables, and their DuckDB counterparts.
+
+The tables hold no fonts, so each operator runs over a table of the shape that it needs: documents, conversations or orders
+stand for documents; lines, turns or line items for paragraphs or runs.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from galley.functions import numerals as N
+from galley.functions import text as T
+from galley.operators.predicates import predicate
+from galley.operators.reports import TO_REVIEW
+
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
-#: White space as the rule language counts it, for a character class.
-WS = r"\t\n\x0b\f\r\x1c-\x1f \x85\xa0  -     　"
+_LINES = "(select doc_id, lang, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ord from documents)"
+_WORDS = r"length(regexp_extract_all(line, '[^ \n\t\r]+'))"
 
 
 def query(sql: str | None = None):
@@ -24,13 +33,437 @@ def query(sql: str | None = None):
     return register
 
 
-@query("""
-select doc_id, printf('p%04d', ord) as paragraph_id, length(regexp_extract_all(line, '[^ \\n\\t\\r]+'))::bigint as words
-from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ord
-      from documents)
-where length(regexp_extract_all(line, '[^ \\n\\t\\r]+')) > 25""")
-def word_count_lte(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as paragraphs: one row for each line, numbered from 1."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("ord", (F.col("at") + 1).cast("bigint")).drop("at")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with labels, which only some have."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(labels, "doc_id", "left")
+
+
+_LABELLED = "documents left join labels using (doc_id)"
+
+
+# Sources, traversal, scalar functions
+
+
+@query(f"select doc_id, printf('p%04d', ord) as paragraph_id, sha256(line) as line_sha256 from {_LINES}")
+def explode_paragraphs(spark, sf_dir):
+    """Paragraphs with ids."""
+    return lines(spark, sf_dir).select("doc_id", F.format_string("p%04d", "ord").alias("paragraph_id"), F.sha2("line", 256).alias("line_sha256"))
+
+
+@query("select doc_id, sha256(text) as document_id from documents")
+def document_fingerprint(spark, sf_dir):
+    """The id of a document is the hash of its content."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("document_id"))
+
+
+@query(f"select doc_id, printf('p%04d', ord) as paragraph_id, {_WORDS}::bigint as words from {_LINES} where {_WORDS} > 25")
+def word_count_lte(spark, sf_dir):
     """Paragraphs of over 25 words."""
-    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    words = F.regexp_count("line", F.lit(f"[^{WS}]+")).cast("bigint")
-    return lines.select("doc_id", F.format_string("p%04d", F.col("ord") + 1).alias("paragraph_id"), words.alias("words")).where("words > 25")
+    kept = lines(spark, sf_dir).where(~predicate("word_count_lte", F.col("line"), 25, "string"))
+    return kept.select("doc_id", F.format_string("p%04d", "ord").alias("paragraph_id"), T.word_count(F.col("line")).alias("words"))
+
+
+@query("select page_id, coalesce(nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), ''), '') as title, length(regexp_extract_all(html, '<p>'))::bigint as n_paragraphs, length(regexp_extract_all(html, '<li>'))::bigint as n_items from pages")
+def html_blocks(spark, sf_dir):
+    """Titles and counts of blocks of pages."""
+    count = lambda tag: F.regexp_count("html", F.lit(tag)).cast("bigint")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), count("<p>").alias("n_paragraphs"), count("<li>").alias("n_items"))
+
+
+_ROMAN = " ".join(f"when {n} then '{'X' * (n // 10 % 4) if n < 40 else 'XL' if n < 50 else 'L'}{['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10]}'" for n in range(1, 51))
+
+
+@query(f"select p_partkey, case p_size {_ROMAN} end as roman, p_size::int as back, 'roman' as style from part")
+def roman_roundtrip(spark, sf_dir):
+    """Sizes as Roman numerals, and read again."""
+    roman = N.int_to_roman(F.col("p_size"))
+    return table(spark, sf_dir, "part").select("p_partkey", roman.alias("roman")).select("p_partkey", "roman", N.numeral_value(F.col("roman"), F.lit("roman")).alias("back"), N.numbering_style(F.col("roman")).alias("style"))
+
+
+_TOKEN = 'token = "[0-9a-f]{40}"'
+
+
+@query(r"""select doc_id, regexp_replace(text, 'token = "[0-9a-f]{40}"', '<redacted>', 'g') as text from documents where regexp_matches(text, 'token = "[0-9a-f]{40}"')""")
+def redact(spark, sf_dir):
+    """Registered patterns replaced in texts that have them."""
+    docs = table(spark, sf_dir, "documents").where(T.matches(F.col("text"), _TOKEN))
+    return docs.select("doc_id", T.redact(F.col("text"), patterns=[_TOKEN]).alias("text"))
+
+
+@query(r"select doc_id, ord, line, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(line)), '^(\d+|[ivxlcdm]+|[a-z])[.)]\s+', ''), ':+$', ''), '\s+', ' ', 'g')) as norm from " + _LINES + " where length(line) between 1 and 60 and not contains(line, 'ß')")
+def heading_norm(spark, sf_dir):
+    """Short lines as headings are compared."""
+    own = lines(spark, sf_dir).where("length(line) between 1 and 60 and not contains(line, 'ß')")
+    return own.select("doc_id", "ord", "line", T.heading_text(F.col("line")).alias("norm"))
+
+
+@query("select conv_id, turn, replace('Judge only this: {text}', '{text}', text) as prompt, 0::bigint as n_left from conversations where not contains(text, '{')")
+def prompt_render(spark, sf_dir):
+    """Prompts from a template, and placeholders that are left."""
+    prompt = T.render("Judge only this: {text}", ["text"], F.col("text"))
+    return table(spark, sf_dir, "conversations").where("not contains(text, '{')").select("conv_id", "turn", prompt.alias("prompt")).withColumn("n_left", F.size(T.placeholders(F.col("prompt"))).cast("bigint"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as stamp from events")
+def utc_stamp(spark, sf_dir):
+    """Timestamps as reports show them."""
+    return table(spark, sf_dir, "events").select("event_id", T.utc_timestamp(F.col("ts")).alias("stamp"))
+
+
+# Predicates
+
+
+@query(f"select doc_id, quality is not distinct from 1 as eq, quality is distinct from 1 as ne from {_LABELLED}")
+def eq_ne_null_safe(spark, sf_dir):
+    """Equality and its negation, with nulls."""
+    q = F.col("quality")
+    return labelled(spark, sf_dir).select("doc_id", predicate("==", q, 1, "int").alias("eq"), predicate("!=", q, 1, "int").alias("ne"))
+
+
+@query(f"select doc_id, coalesce(quality < 1, false) as lt, coalesce(quality <= 0, false) as le, coalesce(quality > 0, false) as gt, coalesce(quality >= 1, false) as ge from {_LABELLED}")
+def ordering_ops(spark, sf_dir):
+    """Order, with nulls never true."""
+    q = F.col("quality")
+    tests = {"lt": ("<", 1), "le": ("<=", 0), "gt": (">", 0), "ge": (">=", 1)}
+    return labelled(spark, sf_dir).select("doc_id", *(predicate(op, q, v, "int").alias(n) for n, (op, v) in tests.items()))
+
+
+@query(f"select doc_id, lang in ('en', 'de') as one_of, coalesce(quality not in (0), true) as none_of, contains(source, 'c1') as part_of from {_LABELLED}")
+def in_not_in(spark, sf_dir):
+    """Membership in lists and in strings."""
+    return labelled(spark, sf_dir).select("doc_id", predicate("in", F.col("lang"), ["en", "de"], "string").alias("one_of"), predicate("not_in", F.col("quality"), [0], "int").alias("none_of"), predicate("in", F.col("source"), "c1", "string").alias("part_of"))
+
+
+@query(r"select doc_id, regexp_matches(text, '\d{3}') as found, not regexp_matches(text, '\d{3}') as missing from documents")
+def regex_ops(spark, sf_dir):
+    """Patterns found and not found."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", predicate("matches_regex", t, r"\d{3}", "string").alias("found"), predicate("not_matches_regex", t, r"\d{3}", "string").alias("missing"))
+
+
+@query(f"select doc_id, ord from {_LINES} where line <> '' and not regexp_matches(line, '(?i)license|copyright')")
+def exclude_patterns(spark, sf_dir):
+    """Lines that no excluded pattern matches, whatever the case."""
+    return lines(spark, sf_dir).where((F.col("line") != "") & ~T.matches(F.col("line"), "license|copyright", True)).select("doc_id", "ord")
+
+
+_CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
+
+
+@query(f"""select doc_id, ord, line from {_LINES} where length(line) between 1 and 200 and regexp_matches(line, '[\\p{{Lu}}\\p{{Lt}}]')
+and not regexp_matches(line, '{_CASED}[\\p{{Lu}}\\p{{Lt}}]') and not regexp_matches(line, '(^|[^\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}])\\p{{Ll}}')""")
+def title_case(spark, sf_dir):
+    """Lines in title case."""
+    return lines(spark, sf_dir).where(F.length("line").between(1, 200) & predicate("is_title_case", F.col("line"), None, "string")).select("doc_id", "ord", "line")
+
+
+@query("select n_nationkey as key, n_name as name, regexp_matches(n_name, '[A-Za-z]') and upper(n_name) = n_name as is_upper from nation union all select c_custkey, c_name, regexp_matches(c_name, '[A-Za-z]') and upper(c_name) = c_name from customer")
+def uppercase_literal(spark, sf_dir):
+    """Names written in capitals."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("key"), F.col("n_name").alias("name"))
+    rows = rows.union(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+    return rows.withColumn("is_upper", predicate("is_uppercase_literal", F.col("name"), None, "string"))
+
+
+@query(f"select doc_id, coalesce(quality <> 0, false) as has_quality, lang <> '' as has_lang, coalesce(toxic <> 0, false) as has_toxic from {_LABELLED}")
+def non_empty(spark, sf_dir):
+    """Values that count as something."""
+    return labelled(spark, sf_dir).select("doc_id", predicate("is_non_empty", F.col("quality"), None, "int").alias("has_quality"), predicate("is_non_empty", F.col("lang"), None, "string").alias("has_lang"), predicate("is_non_empty", F.col("toxic"), None, "int").alias("has_toxic"))
+
+
+# Selectors and kernels over runs: line items of an order, in one total order
+
+_ITEMS = """(select l_orderkey, l_quantity, l_discount, l_returnflag, row_number() over (partition by l_orderkey
+  order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 as i from lineitem)"""
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    """Orders with their line items as an array; one exchange on the order's key."""
+    keys = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*keys, "l_discount", "l_returnflag").alias("r"))
+    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("runs"))
+
+
+def _failing(test) -> Column:
+    numbered = F.transform("runs", lambda r, i: F.struct(i.alias("i"), test(r).alias("ok")))
+    return F.transform(F.filter(numbered, lambda x: ~x["ok"]), lambda x: x["i"])
+
+
+def _joined(c: Column) -> Column:
+    return F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
+
+
+@query(f"select l_orderkey, string_agg(i::varchar, ',' order by i) as failing from {_ITEMS} where not l_quantity <= 45 group by l_orderkey")
+def run_every(spark, sf_dir):
+    """Orders with line items that fail, and which."""
+    out = _runs(spark, sf_dir).withColumn("f", _failing(lambda r: predicate("<=", r["l_quantity"], 45, "double"))).where("size(f) > 0")
+    return out.select("l_orderkey", _joined(F.col("f")).alias("failing"))
+
+
+@query(f"select l_orderkey, count(*)::bigint as n from {_ITEMS} group by l_orderkey having not bool_or(l_quantity <= 10)")
+def run_any(spark, sf_dir):
+    """Orders none of whose line items passes."""
+    out = _runs(spark, sf_dir).where(~F.exists("runs", lambda r: predicate("<=", r["l_quantity"], 10, "double")))
+    return out.select("l_orderkey", F.size("runs").cast("bigint").alias("n"))
+
+
+@query(f"select l_orderkey, l_quantity as found from {_ITEMS} where i = 0 and not l_quantity <= 25")
+def run_first(spark, sf_dir):
+    """Orders whose first line item fails."""
+    first = F.element_at("runs", 1)["l_quantity"]
+    return _runs(spark, sf_dir).where(~predicate("<=", first, 25, "double")).select("l_orderkey", first.alias("found"))
+
+
+@query(f"select l_orderkey, string_agg(i::varchar, ',' order by i) as failing from {_ITEMS} where l_returnflag = 'R' and not l_discount <= 0.05 group by l_orderkey")
+def select_runs(spark, sf_dir):
+    """A filter on runs before the test, with the places in the whole order kept."""
+    numbered = F.transform("runs", lambda r, i: F.struct(i.alias("i"), r.alias("r")))
+    kept = F.filter(numbered, lambda x: predicate("==", x["r"]["l_returnflag"], "R", "string") & ~predicate("<=", x["r"]["l_discount"], 0.05, "double"))
+    out = _runs(spark, sf_dir).withColumn("f", F.transform(kept, lambda x: x["i"])).where("size(f) > 0")
+    return out.select("l_orderkey", _joined(F.col("f")).alias("failing"))
+
+
+@query("select o_orderkey, o_orderpriority, l_linenumber, l_quantity from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'F' and l_quantity > 48")
+def table_cells(spark, sf_dir):
+    """Cells with their table by an equi-join, and those that fail."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
+    items = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    return orders.join(items, "o_orderkey").select("o_orderkey", "o_orderpriority", "l_linenumber", "l_quantity")
+
+
+@query(r"""select conv_id, length(regexp_extract_all(t, '[^ \n\t\r]+'))::bigint as words, anchor from (select conv_id, string_agg(text, ' ' order by turn) as t, min(turn) as anchor
+from conversations where role = 'user' group by conv_id) where length(regexp_extract_all(t, '[^ \n\t\r]+')) > 40""")
+def section_text_rule(spark, sf_dir):
+    """Turns of a role as one text, in order, over a limit of words."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("rows"))
+    joined = rows.select("conv_id", F.array_join(F.transform("rows", lambda r: r["text"]), " ").alias("t"), F.col("rows")[0]["turn"].alias("anchor"))
+    return joined.where(~predicate("word_count_lte", F.col("t"), 40, "string")).select("conv_id", T.word_count(F.col("t")).alias("words"), "anchor")
+
+
+# Sections
+
+
+@query("""select conv_id, turn, last_value(case when role in ('system', 'user') then role end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as section from conversations""")
+def forward_fill_section(spark, sf_dir):
+    """The last heading's section for each turn."""
+    own = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role").isin("system", "user"), F.col("role")), ignorenulls=True).over(own).alias("section"))
+
+
+@query(f"""with m as (select *, coalesce(min(ord) filter (where length(line) > 400) over (partition by doc_id), max(ord) over (partition by doc_id) + 1) as body_start,
+min(ord) filter (where line <> '') over (partition by doc_id) as title from {_LINES})
+select doc_id, ord, body_start, case when ord = title then 'title' when ord < body_start then 'front' else 'body' end as part from m""")
+def front_matter_split(spark, sf_dir):
+    """Title, front matter and body by the first body heading."""
+    own = Window.partitionBy("doc_id")
+    start = F.coalesce(F.min(F.when(F.length("line") > 400, F.col("ord"))).over(own), F.max("ord").over(own) + 1)
+    out = lines(spark, sf_dir).withColumn("body_start", start).withColumn("title", F.min(F.when(F.col("line") != "", F.col("ord"))).over(own))
+    part = F.when(F.col("ord") == F.col("title"), "title").when(F.col("ord") < F.col("body_start"), "front").otherwise("body")
+    return out.select("doc_id", "ord", "body_start", part.alias("part"))
+
+
+@query("""select conv_id, string_agg(role, ' -> ' order by turn) as sections from (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) as was from conversations)
+where role is distinct from was group by conv_id""")
+def section_order(spark, sf_dir):
+    """Roles in order of appearance, runs of one role once."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    turns = turns.withColumn("was", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))).where(~F.col("role").eqNullSafe(F.col("was")))
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    return rows.select("conv_id", F.array_join(F.transform("r", lambda x: x["role"]), " -> ").alias("sections"))
+
+
+@query(f"""select doc_id, ord, (case when regexp_matches(line, '[A-Za-z]') and upper(line) = line then 2 else 0 end + case when {_WORDS} <= 8 then 1 else 0 end
++ case when not suffix(rtrim(line), '.') then 1 else 0 end)::int as score from {_LINES} where not contains(line, 'ß')""")
+def heading_score(spark, sf_dir):
+    """How much a line looks like a heading, without formatting."""
+    from galley.operators.sections import structural_score
+
+    runs = F.array().cast("array<struct<bold:boolean>>")
+    return lines(spark, sf_dir).where(~F.contains("line", F.lit("ß"))).select("doc_id", "ord", structural_score(runs, F.col("line"), F.lit("")).alias("score"))
+
+
+@query("""with p as (select p_partkey, lower(trim(p_name)) as norm from part),
+k as (select p_partkey, norm, list_sort(list_distinct(string_split(norm, ' '))) as own from p)
+select p_partkey, norm, len(own)::int as n_words, list_aggregate(own, 'string_agg', ' ') as word_set from k""")
+def vocabulary_sets(spark, sf_dir):
+    """Names as sets of words, by which vocabulary is matched in any order."""
+    from galley.operators.sections import token_set
+
+    norm = table(spark, sf_dir, "part").select("p_partkey", T.heading_text(F.col("p_name")).alias("norm"))
+    return norm.withColumn("own", token_set(F.col("norm"))).select("p_partkey", "norm", F.size("own").alias("n_words"), F.array_join("own", " ").alias("word_set"))
+
+
+@query("""with need as (select source, l.lang from (select distinct source from documents), (values ('en'), ('de'), ('fr'), ('es'), ('it')) l(lang)),
+gone as (select source, lang from need except select source, lang from documents)
+select d.source, coalesce((select string_agg(lang, ',' order by lang) from gone g where g.source = d.source), '') as missing, (select count(distinct lang) from documents e where e.source = d.source)::bigint as n_found
+from (select distinct source from documents) d""")
+def missing_sections(spark, sf_dir):
+    """Required languages that a source lacks."""
+    need = F.array(*map(F.lit, ("en", "de", "fr", "es", "it")))
+    found = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("found"))
+    return found.select("source", F.array_join(F.array_sort(F.array_except(need, F.col("found"))), ",").alias("missing"), F.size("found").cast("bigint").alias("n_found"))
+
+
+@query("select conv_id, count(*) filter (where role = 'user')::bigint as n, count(*) filter (where role = 'user') < 4 as degraded from conversations group by conv_id")
+def degraded_docs(spark, sf_dir):
+    """Documents with too few headings."""
+    n = F.count_if(F.col("role") == "user")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(n.alias("n"), (n < 4).alias("degraded"))
+
+
+@query("select doc_id, coalesce('q' || quality, lang) as section, case when quality is null then 'inherited' else 'override' end as source, case when quality is null then 0.5 else 1.0 end::double as confidence from documents left join labels using (doc_id)")
+def override_labels(spark, sf_dir):
+    """Labels that a reader has set win."""
+    given = F.col("quality").isNotNull()
+    section = F.coalesce(F.concat(F.lit("q"), F.col("quality").cast("string")), "lang")
+    return labelled(spark, sf_dir).select("doc_id", section.alias("section"), F.when(given, "override").otherwise("inherited").alias("source"), F.when(given, 1.0).otherwise(0.5).alias("confidence"))
+
+
+# Captions and citations
+
+
+@query(f"""with w as (select doc_id, ord, line, lag(line) over o as before, lead(line) over o as after from {_LINES} window o as (partition by doc_id order by ord))
+select doc_id, ord, case when before like '%.' then 'above' when after like '%.' then 'below' end as position from w where line like '%|%'""")
+def adjacency_caption(spark, sf_dir):
+    """Lines with a neighbour that serves as caption, the one above first."""
+    own = Window.partitionBy("doc_id").orderBy("ord")
+    near = lines(spark, sf_dir).select("doc_id", "ord", "line", F.lag("line").over(own).alias("before"), F.lead("line").over(own).alias("after")).where("line like '%|%'")
+    return near.select("doc_id", "ord", F.when(F.col("before").like("%."), "above").when(F.col("after").like("%."), "below").alias("position"))
+
+
+@query(f"""with said as (select distinct doc_id, ord, upper(unnest(regexp_extract_all(line, '(?:^|[^\\p{{L}}\\p{{N}}_])[Tt]he[ ]+([\\p{{L}}\\p{{N}}_]+)', 1))) as token from {_LINES} where not contains(line, 'ß'))
+select doc_id, token, string_agg(ord::varchar, ',' order by ord) as lines from said join (values ('RE'), ('ON'), ('AND'), ('ERTH')) c(token) using (token) group by doc_id, token""")
+def citations(spark, sf_dir):
+    """Lines that mention a token after a word: one search of each line and an equi-join."""
+    pattern = rf"(?<![{T.WORD}])[Tt]he[ ]+([{T.WORD}]+)"
+    said = lines(spark, sf_dir).where(~F.contains("line", F.lit("ß"))).select("doc_id", "ord", F.explode(F.regexp_extract_all("line", F.lit(pattern), 1)).alias("t"))
+    captions = F.broadcast(spark.createDataFrame([("RE",), ("ON",), ("AND",), ("ERTH",)], "token string"))
+    met = said.select("doc_id", "ord", F.upper("t").alias("token")).join(captions, "token").groupBy("doc_id", "token").agg(F.array_sort(F.collect_set("ord")).alias("o"))
+    return met.select("doc_id", "token", _joined(F.col("o")).alias("lines"))
+
+
+@query("""select conv_id, turn, role, n from (select conv_id, turn, role, row_number() over (partition by conv_id, role order by turn)::int as n from conversations) where n <> turn + 1""")
+def numbering_sequence(spark, sf_dir):
+    """Numbers that don't run on from 1."""
+    n = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", n.alias("n")).where("n <> turn + 1")
+
+
+# Fixes: line items as operations on orders; the flag is the parameter
+
+_OPS = "(select distinct l_orderkey as target, l_linestatus as attribute, l_suppkey as rule, l_returnflag as params, l_linenumber as priority from lineitem)"
+
+
+def _ops(spark, sf_dir) -> DataFrame:
+    cols = {"target": "l_orderkey", "attribute": "l_linestatus", "rule": "l_suppkey", "params": "l_returnflag", "priority": "l_linenumber"}
+    return table(spark, sf_dir, "lineitem").select(*(F.col(c).alias(n) for n, c in cols.items())).distinct()
+
+
+@query(f"select target, attribute, count(*)::bigint as n_ops, count(distinct params)::bigint as n_values from {_OPS} group by target, attribute having count(distinct params) > 1")
+def fix_conflicts(spark, sf_dir):
+    """Targets of which an attribute would get several values."""
+    return _ops(spark, sf_dir).groupBy("target", "attribute").agg(F.count("*").alias("n_ops"), F.count_distinct("params").alias("n_values")).where("n_values > 1")
+
+
+@query(f"select target, attribute, rule, min(params) as params from {_OPS} where (target, attribute) not in (select (target, attribute) from {_OPS} group by target, attribute having count(distinct params) > 1) group by target, attribute, rule")
+def fix_dedup(spark, sf_dir):
+    """Operations without conflict, one for each rule and target."""
+    ops, same = _ops(spark, sf_dir), ["target", "attribute"]
+    odd = ops.groupBy(*same).agg(F.count_distinct("params").alias("n")).where("n > 1")
+    return ops.join(odd, same, "left_anti").groupBy(*same, "rule").agg(F.min("params").alias("params"))
+
+
+@query(f"select target, rule, priority, row_number() over (partition by target order by priority, attribute, rule::varchar, params)::int as seq from {_OPS}")
+def plan_order(spark, sf_dir):
+    """Operations in order, ids compared as text."""
+    own = Window.partitionBy("target").orderBy("priority", "attribute", F.col("rule").cast("string"), "params")
+    return _ops(spark, sf_dir).select("target", "rule", "priority", F.row_number().over(own).alias("seq"))
+
+
+@query(f"select doc_id, ord, regexp_replace(line, '[.:]\\s*$', '') as fixed from {_LINES} where regexp_matches(line, '[.:]\\s*$')")
+def apply_strip_end(spark, sf_dir):
+    """A mark at the end of lines removed."""
+    pattern = T.java_pattern(r"[.:]\s*$")
+    return lines(spark, sf_dir).where(F.rlike("line", F.lit(pattern))).select("doc_id", "ord", F.regexp_replace("line", pattern, "").alias("fixed"))
+
+
+@query(f"select doc_id, ord, upper(line) as fixed from {_LINES} where line <> '' and length(line) < 80 and not contains(line, 'ß')")
+def apply_uppercase(spark, sf_dir):
+    """Short lines in capitals."""
+    return lines(spark, sf_dir).where("line <> '' and length(line) < 80 and not contains(line, 'ß')").select("doc_id", "ord", F.upper("line").alias("fixed"))
+
+
+@query(f"select l_orderkey, string_agg((case when l_quantity > 45 then 45 else l_quantity end)::int::varchar, ',' order by i) as fixed from {_ITEMS} group by l_orderkey")
+def apply_set_size(spark, sf_dir):
+    """One field of the runs that fail set, others kept."""
+    fixed = F.transform("runs", lambda r: F.when(~predicate("<=", r["l_quantity"], 45, "double"), 45.0).otherwise(r["l_quantity"]).cast("int"))
+    return _runs(spark, sf_dir).select("l_orderkey", _joined(fixed).alias("fixed"))
+
+
+# Violations and reports: three rules over documents
+
+
+_STATUS = "case when toxic = 1 then 'fixed' when toxic = 0 then 'open' when n_chars % 3 = 0 then 'check_failed' else 'conflict' end"
+_SEVERITY = "case when n_chars > 3000 then 'high' when n_chars > 1000 then 'medium' else 'low' end"
+_VIOLATIONS = f"(select doc_id, source, {_STATUS} as status, {_SEVERITY} as severity from {_LABELLED})"
+
+
+def _violations(spark, sf_dir) -> DataFrame:
+    return labelled(spark, sf_dir).select("doc_id", F.col("source").alias("document_id"), F.expr(_STATUS).alias("status"), F.expr(_SEVERITY).alias("severity"))
+
+
+_REVIEW = ", ".join(f"'{s}'" for s in TO_REVIEW)
+
+
+@query(f"""select source as document_id, count(*)::bigint as total, count(*) filter (where status = 'fixed')::bigint as auto_fixed, count(*) filter (where status in ({_REVIEW}))::bigint as needs_review,
+nullif(count(*) filter (where status = 'check_failed'), 0)::bigint as check_failed from {_VIOLATIONS} group by source""")
+def violation_summary(spark, sf_dir):
+    """Counts of violations by document."""
+    from galley.operators.reports import summary
+
+    return summary(_violations(spark, sf_dir))
+
+
+@query(f"select source as document_id, max(case when status in ({_REVIEW}) and severity = 'high' then 2 when status in ({_REVIEW}) then 1 else 0 end)::int as exit_code from {_VIOLATIONS} group by source")
+def exit_code(spark, sf_dir):
+    """Exit codes by document."""
+    from galley.operators.reports import exit_code as code
+
+    return code(_violations(spark, sf_dir))
+
+
+@query(f"""select source as document_id, case max(case when status in ({_REVIEW}) then case severity when 'high' then 3 when 'medium' then 2 else 1 end end) when 3 then 'high' when 2 then 'medium' when 1 then 'low' end as max_open_severity
+from {_VIOLATIONS} group by source""")
+def max_open_severity(spark, sf_dir):
+    """The worst severity still open."""
+    from galley.operators.reports import max_open_severity as worst
+
+    return worst(_violations(spark, sf_dir))
+
+
+@query(r"select url, regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*?)(\.[^./]*)?$', 1) || '.report.json' as report from pages")
+def output_names(spark, sf_dir):
+    """Names of outputs from paths."""
+    from galley.operators.reports import output_names as names
+
+    pages = table(spark, sf_dir, "pages").select("url", F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)).alias("path"))
+    return pages.select("url", names(F.col("path"))["report"].alias("report"))
+
+
+@query("select distinct sha256('1.0.0|rule|' || lower(regexp_replace(trim(text), '[ \\n]+', ' ', 'g'))) as cache_key from conversations where not contains(text, 'ß')")
+def cache_key_dedup(spark, sf_dir):
+    """Distinct prompts by what their answers depend on."""
+    plain = F.lower(F.regexp_replace(T.strip(F.col("text")), f"[{T.WS}]+", " "))
+    turns = table(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("ß")))
+    return turns.select(F.sha2(F.concat_ws("|", F.lit("1.0.0"), F.lit("rule"), plain), 256).alias("cache_key")).distinct()
