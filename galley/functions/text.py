@@ -15,8 +15,8 @@ CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 
 #: Python's escapes outside and inside a character class.
 _ESCAPES = {
-    "s": (f"[{WS}]", WS), "S": (f"[^{WS}]", f"&&[^{WS}]"), "d": (r"\p{Nd}", r"\p{Nd}"), "D": (r"\P{Nd}", r"\P{Nd}"),
-    "w": (f"[{WORD}]", WORD), "W": (f"[^{WORD}]", f"&&[^{WORD}]"), "Z": (r"\z", "Z"),
+    "s": (f"[{WS}]", WS), "S": (f"[^{WS}]", f"[^{WS}]"), "d": (r"\p{Nd}", r"\p{Nd}"), "D": (r"\P{Nd}", r"\P{Nd}"),
+    "w": (f"[{WORD}]", WORD), "W": (f"[^{WORD}]", f"[^{WORD}]"), "Z": (r"\z", "Z"),
     "b": (f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))", r"\x08"),
     "B": (f"(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))", "B"),
 }

@@ -35,7 +35,7 @@ def test_text_functions_equal_python(strings):
     assert got(df, T.is_upper_literal(t)) == [bool(v and re.search("[A-Za-z]", v) and v.upper() == v) for v in has]
 
 
-@pytest.mark.parametrize("pattern", [r":\s*$", r"^\d+\*?$", r"^[\[\(]\d+[\]\)]$", r"\w+\b", r"[^\w\s]", r"(?P<a>[aB])(?P=a)", r"\S\Z", r"[[a]", r"\Bc", r"[\d.]+"])
+@pytest.mark.parametrize("pattern", [r":\s*$", r"^\d+\*?$", r"^[\[\(]\d+[\]\)]$", r"\w+\b", r"[^\w\s]", r"(?P<a>[aB])(?P=a)", r"\S\Z", r"[[a]", r"\Bc", r"[\d.]+", r"[\s\S]a", r"[\W1]B"])
 def test_patterns_equal_python(strings, pattern):
     values, df = strings
     assert got(df, T.matches(df["t"], pattern)) == [bool(v is not None and re.search(pattern, v)) for v in values]
