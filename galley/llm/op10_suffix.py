@@ -226,7 +226,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now != anchor:
                 close()
                 anchor, group = now, []
-            group.append(rest)
+            if not group or rest[:2] != group[-1][:2]:  # other tasks may have met the same context
+                group.append(rest)
         if len(out) > 10_000:
             yield rows()
             out = []
@@ -266,6 +267,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, n)), pa.array(sha, pa.string()), pa.array(where, pa.string())], names)
 
 
+def _by_windows(contexts: DataFrame, key: list[str]) -> DataFrame:
+    """Repeated spans of contexts of large groups: windows that occur in two contexts."""
+    windows = contexts.dropDuplicates(key).select(*key, "context").mapInArrow(_windows, "anchor long, c1 long, c2 long, w1 long, w2 long, begin long")
+    same = ["anchor", "w1", "w2"]
+    twice = windows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same)
+    return windows.join(twice, same, "left_semi").select(*key, "begin", (F.col("begin") + LENGTH).alias("end"))
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, group: int = GROUP) -> DataFrame:
     """(id, version, begin, end): bytes of documents (id, version, text) in repeated strings; spans may overlap."""
     found = scratch.table(docs.mapInArrow(_find, "anchor long, id long, version long, place long, first long, last long"))
@@ -278,17 +287,15 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, group: int = GROUP) -> Dat
 
     key = ["anchor", "c1", "c2"]
     counted = met.groupBy(*key).agg(F.count("*").alias("n"))
-    breadth = counted.groupBy("anchor").agg(F.count("*").alias("breadth")).where("breadth > 1")
-    single = met.where("context is not null").select(*key, "skip", "context").dropDuplicates(key)
-    single = single.join(breadth, "anchor")
-    small = single.where(F.col("breadth") <= group).repartition(F.col("anchor")).sortWithinPartitions("anchor", "c1", "c2")
-    spans = small.select(*key, "skip", "context").mapInArrow(_scan, "anchor long, c1 long, c2 long, begin long, end long")
-    windows = single.where(F.col("breadth") > group).select(*key, "context").mapInArrow(_windows, "anchor long, c1 long, c2 long, w1 long, w2 long, begin long")
-    same = ["anchor", "w1", "w2"]
-    twice = windows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same)
-    runs = windows.join(twice, same, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_set("begin")).alias("at"))
-    runs = runs.select(*key, F.explode("at").alias("begin")).select(*key, "begin", (F.col("begin") + LENGTH).alias("end"))
-    spans = scratch.table(spans.union(runs))
+    breadth = counted.groupBy("anchor").agg(F.count("*").alias("breadth")).where(F.col("breadth") > group).select("anchor")
+    single = met.where("context is not null").select(*key, "skip", "context")
+    wide = scratch.table(breadth)
+    small = single if wide.isEmpty() else single.join(wide, "anchor", "left_anti")
+    small = small.repartition(F.col("anchor")).sortWithinPartitions(*key)
+    spans = small.mapInArrow(_scan, "anchor long, c1 long, c2 long, begin long, end long")
+    if not wide.isEmpty():
+        spans = spans.union(_by_windows(single.join(wide, "anchor", "left_semi"), key))
+    spans = scratch.table(spans)
 
     whole = met.join(counted.where("n > 1").select(*key), key, "left_semi").select("id", "version", F.col("first").alias("begin"), (F.col("first") + F.col("size")).alias("end"))
     parts = met.join(spans, key).select("id", "version", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end"))
