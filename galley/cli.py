@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from galley.operators import fixes, reports
 from galley.plans import journal, manuscripts, ruleset
-from galley.sources import ooxml, writeback
+from galley.sources import ooxml, revisions, writeback
 
 
 def validate(spark: SparkSession, source: str, out: str, rules: ruleset.Ruleset, semantic: bool, fix: bool) -> int:
     """Check all files at a path; returns the exit code: 0 nothing open, 1 something, 2 of high severity, 3 unreadable."""
-    docs = manuscripts.cut(ooxml.documents(spark, source))
+    docs = manuscripts.cut(ooxml.documents(spark, source).dropDuplicates(["document_id"]))
     paragraphs, blocks, errors = map(manuscripts.cut, ooxml.read(docs))
     if not errors.isEmpty() or docs.isEmpty():
         return 3
@@ -31,6 +31,8 @@ def validate(spark: SparkSession, source: str, out: str, rules: ruleset.Ruleset,
     if applied is not None:
         fixes.audit(applied, stamp).write.mode("overwrite").json(str(PurePosixPath(out) / "audit"))
         writeback.corrected(docs, paragraphs, after).write.mode("overwrite").parquet(str(PurePosixPath(out) / "corrected"))
+        revisions.redlined(docs, writeback.changes(paragraphs, after), stamp).write.mode("overwrite").parquet(str(PurePosixPath(out) / "redline"))
+    revisions.annotated(docs, reports.comments(outcome), stamp).write.mode("overwrite").parquet(str(PurePosixPath(out) / "annotated"))
     worst = reports.exit_code(outcome).agg(F.max("exit_code")).first()[0]
     return int(worst or 0)
 
