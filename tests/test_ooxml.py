@@ -101,3 +101,28 @@ def test_unreadable_file_is_an_error_row(spark, tmp_path):
     assert paragraphs.collect() == [] and errors.first().error.startswith("BadZipFile")
     assert cli.validate(spark, str(tmp_path), str(tmp_path / "out"), journal(), False, False) == 3
     assert cli.main([]) == 2
+
+
+def test_command_line(spark, folder, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/one.docx").write_bytes((folder / "title-size.docx").read_bytes())
+    out = tmp_path / "out"
+    assert cli.validate(spark, str(tmp_path / "in"), str(out), journal(), False, True) == 0
+    (report,) = spark.read.json(str(out / "reports")).collect()
+    assert report.name == "one.report.json" and '"auto_fixed":1' in report.report
+    assert spark.read.json(str(out / "audit")).count() == 1
+    for kind in ("corrected", "redline", "annotated"):
+        (row,) = spark.read.parquet(str(out / kind)).collect()
+        assert ooxml.parse(bytes(row.content))[0][0]["runs"][0]["font_size_pt"] == (11.0 if kind == "annotated" else 14.0)
+
+
+def test_folder_is_watched(spark, folder, tmp_path):
+    from galley.streaming import dropfolder
+
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / f"in/{name}.docx").write_bytes((folder / "title-size.docx").read_bytes())
+    seen = []
+    q = dropfolder.watch(spark, str(tmp_path / "in"), journal(), lambda frame, n: seen.extend(r.rule_id for r in frame.collect()), str(tmp_path / "state"))
+    q.awaitTermination(120)
+    assert seen == ["title-size"]
