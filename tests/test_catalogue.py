@@ -18,9 +18,14 @@ def duck():
     return con
 
 
+def shown(x):
+    """A value as text; pandas makes whole numbers beside nulls floats."""
+    return "" if x is None else repr(round(float(x), 9)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+
+
 def rows(df):
     df = df[sorted(df.columns)].astype(object)
-    return sorted(tuple(repr(round(x, 9)) if isinstance(x, float) else "" if x is None else str(x) for x in r) for r in df.where(df.notna(), None).itertuples(index=False, name=None))
+    return sorted(tuple(map(shown, r)) for r in df.where(df.notna(), None).itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
