@@ -51,3 +51,30 @@ def test_spans_point_into_the_original():
 def test_large_benchmark_is_refused(spark):
     with pytest.raises(ValueError, match="bytes"):
         op.items_of(spark.createDataFrame([(1, "abc")], "item_id long, text string"), 2)
+
+
+def test_shares_and_passes_equal_one_automaton(spark, awkward):
+    rng = random.Random(6)
+    pool = ["Été", "naïve"] + [f"t{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(n))) for i, n in enumerate([3, 13, 30, 300, 60, 1, 90])] + [(None, "null id " * 9), (3, "again"), (70, None)]
+    docs = [(r.doc_id, r.text) for r in awkward.collect()]
+    docs += [(1000 + k, f"{t} and, {items[3][1].upper()} tail {items[4][1][20:]}") for k, (_, t) in enumerate(items)]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, op.decontaminated(d, b, ["doc_id"]).collect()))
+    assert [r[:-1] for r in want] == brute(docs, items)
+    for most, at_once in ((400, 10**6), (400, 900), (100, 100), (1, 1)):
+        groups = list(op.passes_of(b, op.WINDOW, most, at_once))
+        assert sum(map(len, groups)) > 1 and (len(groups) > 1) == (at_once < 10**6)
+        if most > 1:
+            for keep in (["doc_id"], ["doc_id", "text"]):
+                got = op.decontaminated(d, b, keep, most=most, at_once=at_once)
+                assert got.columns[: len(keep)] == keep
+                assert sorted(map(tuple, got.drop("text").collect())) == want
+
+
+def test_pieces_have_all_windows():
+    text = " ".join(f"w{i}" for i in range(200))
+    for most in (1, 80, 300):
+        parts = list(op.pieces(text, 13, most))
+        assert len(parts) > 1 and set().union(*(op.windows(t) for t, _ in parts)) == op.windows(text)
+        assert all(len(t) <= max(most, 13 * 5) for t, _ in parts)
