@@ -3,7 +3,7 @@
 1. Each text's set of distinct five-word shingles gets a MinHash signature. Documents with equal sets become one
    representative, whatever their number.
 2. The forest holds each representative once per tree, under a key made of DEPTH signature values of that tree and a
-   continuation of further values. One range sort puts all trees in order, so neighbours share the longest prefixes. A
+   continuation of further values. One range sort puts all trees in order, so equal keys are neighbours. A
    region that shares DEPTH values and is small is compared by sketch; a larger one is taken together in that deeper
    order. Either way a region gives a spanning set of candidate links, fewer than it has members, never all its pairs.
 3. Connected candidates form a neighbourhood. Whole sets meet there, each in one task if they fit BLOCK_BYTES, else
@@ -11,7 +11,9 @@
    within a neighbourhood, and none is assumed.
 4. Confirmed links give components, whose smallest doc_id is kept.
 
-Misses: two sets with a Jaccard likeness of 0.75 share no tree with probability (1 - 0.75^4)^32, about 5 in a million.
+Misses: two sets with a Jaccard likeness of 0.75 share no tree with probability (1 - 0.75^4)^32, about 5 in a million. A tree
+that they share may hide them in a small region, but sketches take other bits in each tree, and that all shared trees hide
+them adds 0.6 in a million (with ideal hashes). Regions that may go on in another part are linked whole.
 
 Defined cases: null, empty or blank text: an empty set, linked with nothing. Null doc_id: the row has no component and
 is kept. Rows that repeat a doc_id are one node. Extra columns are ignored.
@@ -107,14 +109,16 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 1000)
             n = len(part)
             s = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(n, _N).astype(np.uint64)
-            bits = np.packbits((tb.mix(s) & np.uint64(1)).astype(np.uint8)[:, :128], axis=1).view(np.int64).reshape(n, 2)
+            mixed, bits = tb.mix(s), []
             doc = part.column("doc_id").to_numpy(zero_copy_only=False)
             region, deeper = [], []
             for t in range(TREES):
+                bits.append(np.packbits((mixed >> np.uint64(t) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64).reshape(n, 2))  # other bits in each tree
                 own = [s[:, (t * DEPTH + j) % _N] for j in range(2 * DEPTH)]
                 region.append(tb.mix(sum(v * np.uint64(p) for v, p in zip(own[:DEPTH], _PLACE, strict=False)) + np.uint64(t)))
                 deeper.append(sum((v >> np.uint64(16)) << np.uint64(48 - 16 * j) for j, v in enumerate(own[DEPTH:])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(region).view(np.int64)), pa.array(np.concatenate(deeper).view(np.int64)), pa.array(np.tile(doc, TREES)), pa.array(np.tile(bits[:, 0], TREES)), pa.array(np.tile(bits[:, 1], TREES))], ["region", "deeper", "doc_id", "bits1", "bits2"])
+            bits = np.concatenate(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(region).view(np.int64)), pa.array(np.concatenate(deeper).view(np.int64)), pa.array(np.tile(doc, TREES)), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["region", "deeper", "doc_id", "bits1", "bits2"])
 
 
 def _span(doc: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
@@ -140,15 +144,18 @@ def _read_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def out(a, b, region):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(region, pa.int64())], ["a", "b", "region"])
 
-    def whole(region, doc, bits):
-        """Links of complete regions."""
+    def whole(region, doc, bits, edge):
+        """Links of regions; one with the edge's key may go on in another part and is linked whole, whatever its size."""
         first = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
         size = np.diff(np.r_[first, len(region)])
         two = first[size == 2]
+        two = two[region[two] != edge]
         near = two[np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1, dtype=np.int64) <= FAR]
         links = list(zip(doc[near].tolist(), doc[near + 1].tolist(), strict=True))
+        cut = first[(size == 2) & (region[first] == edge)]
+        links += zip(doc[cut].tolist(), doc[cut + 1].tolist(), strict=True)
         for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            if n <= REGION:
+            if n <= REGION and region[f] != edge:
                 links += _span(doc[f : f + n], bits[f : f + n])
             else:  # neighbours in the deeper order
                 links += zip(doc[f : f + n - 1].tolist(), doc[f + 1 : f + n].tolist(), strict=True)
@@ -164,7 +171,7 @@ def _read_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if held is not None:
             region, doc, bits = np.r_[held[0], region], np.r_[held[1], doc], np.concatenate([held[2], bits])
         cut = int(np.searchsorted(region, region[-1], "left"))
-        links = whole(region[:cut], doc[:cut], bits[:cut]) if cut else []
+        links = whole(region[:cut], doc[:cut], bits[:cut], ends[0][1]) if cut else []
         held = region[cut:], doc[cut:], bits[cut:]
         if len(held[0]) > 4 * REGION:  # a large region: link what is here and hold its last rows
             links += zip(held[1][: -REGION - 1].tolist(), held[1][1:-REGION].tolist(), strict=True)
@@ -173,7 +180,7 @@ def _read_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if links:
             yield out(*zip(*links, strict=True), [None] * len(links))
     if held is not None:
-        links = whole(*held)
+        links = whole(*held, int(held[0][-1]))
         ends.append((int(held[1][-1]), int(held[0][-1])))
         if links:
             yield out(*zip(*links, strict=True), [None] * len(links))

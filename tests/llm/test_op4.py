@@ -78,3 +78,17 @@ def test_confirmed_prunes_by_size_only():
     sets = [base, base[:75], base[:74], base[25:]]
     assert op.confirmed([1, 2, 3, 4], sets, None)
     assert sorted(map(sorted, op.confirmed([1, 2, 3], sets[:3], None))) == [[1, 2], [2, 3]]
+
+
+def test_sketches_of_trees_differ_and_cut_regions_are_linked_whole():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 32, op._N, dtype=np.uint32).tobytes() for _ in range(2)]
+    (out,) = op._plant(iter([pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array([1, 2])], ["signature", "doc_id"])]))
+    bits = np.stack([out.column(c).to_numpy() for c in ("bits1", "bits2")], 1)
+    assert len({tuple(x) for x in bits[::2].tolist()}) == op.TREES
+    # regions 1 and 3 may go on in other parts; far sketches hide links in region 2 only
+    part = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, 2, 3, 3, 3]), pa.array(range(7)), pa.array([0, -1] * 3 + [0]), pa.array([0, -1] * 3 + [0])], ["region", "doc_id", "bits1", "bits2"])
+    links = {(a, b) for x in op._read_regions(iter([part])) for a, b, r in zip(*(x.column(c).to_pylist() for c in "a b region".split())) if r is None}
+    assert links == {(0, 1), (4, 5), (5, 6)}
