@@ -36,9 +36,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each group of near duplicates, that with the least doc_id; rows with repeated or null ids are rows apart."""
+    rows = Scratch(spark).table(_held(docs).withColumn("at", F.monotonically_increasing_id()))
+    groups = near_duplicates(rows.select(F.col("at").alias("doc_id"), "text")).select(F.col("doc_id").alias("at"), "component_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))["at"]
+    kept = rows.select("at", F.col("row.doc_id").alias("id")).join(groups, "at").groupBy("component_id").agg(first.alias("at"))
+    return rows.join(kept, "at", "left_semi").select(*_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,12 @@ def test_awkward_documents_pass_every_stage(spark, awkward, nothing):
             assert out.count() <= docs.count()
     kept = [r.doc_id for r in cp.near_dedup(spark, awkward, SF).collect()]
     assert len(kept) < awkward.count() and {1, 4, 7} <= set(kept)
+
+
+def test_copies_with_repeated_or_null_ids_leave_one(spark):
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(5, text[0], "x"), (5, text[0], "x"), (5, text[1], "y"), (None, text[2], "z"), (None, text[2], "z"), (None, text[1], "w"), (2, text[0], "v"), (None, None, "u"), (None, None, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = cp.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[2], rows[3], rows[6], rows[7], rows[8]], key=str)
