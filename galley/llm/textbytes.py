@@ -5,6 +5,7 @@ A null text counts as an empty one. Memory is bounded by SLICE_BYTES or by the l
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,8 @@ import pyarrow.compute as pc
 #: Bytes of text worked on at once.
 SLICE_BYTES = 1 << 21
 
-_SPAN = 1 << 16
+#: Longer words are hashed one by one by BLAKE2: sums of powers modulo 2^64 can be made to collide from some length on.
+_SPAN = 1 << 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,14 +87,15 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     if len(starts) == 0:
         return np.empty(0, np.uint64)
     lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    shift = np.repeat(starts - first, lengths)
-    at = np.arange(len(shift), dtype=np.int64)
-    place = at - np.repeat(first, lengths)
-    values = (data[at + shift].astype(np.uint64) + np.uint64(1)) * _POW[place & (_SPAN - 1)]
-    if int(lengths.max()) >= _SPAN:
-        values += (place >> 16).astype(np.uint64) * _STEP
-    return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _STEP)
+    long = np.flatnonzero(lengths > _SPAN)
+    own = np.minimum(lengths, _SPAN)
+    first = np.cumsum(own) - own
+    at = np.arange(int(own.sum()), dtype=np.int64)
+    values = (data[at + np.repeat(starts - first, own)].astype(np.uint64) + np.uint64(1)) * _POW[at - np.repeat(first, own)]
+    out = mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _STEP)
+    for k in long.tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def unique_rows(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

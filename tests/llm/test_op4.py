@@ -92,3 +92,10 @@ def test_sketches_of_trees_differ_and_cut_regions_are_linked_whole():
     part = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, 2, 3, 3, 3]), pa.array(range(7)), pa.array([0, -1] * 3 + [0]), pa.array([0, -1] * 3 + [0])], ["region", "doc_id", "bits1", "bits2"])
     links = {(a, b) for x in op._read_regions(iter([part])) for a, b, r in zip(*(x.column(c).to_pylist() for c in "a b region".split())) if r is None}
     assert links == {(0, 1), (4, 5), (5, 6)}
+
+
+def test_long_words_are_told_apart(spark):
+    block = 65_536
+    rows = [(1, "a" * block + "b" * block), (2, "b" * block + "a" * block), (3, "a" * block + "b" * block), (4, "w " * 1_200_000)]
+    out = op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in out] == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4)]
