@@ -28,3 +28,17 @@ def test_equals_library_on_table(spark):
     texts = [r.text for r in rows]
     out = [x for b in op.coder([], False, None)(iter([pa.RecordBatch.from_arrays([texts], ["text"])])) for x in zip(*(c.to_pylist() for c in b.columns))]
     assert out == library(texts)
+
+
+def test_long_words_and_texts_equal_library():
+    block = 65_536
+    texts = ["a" * block + "b" * block, "b" * block + "a" * block, "word " * 900_000 + "end", "x" * 300 + " " + "x" * 301]
+    out = [x for b in op.coder([], False, None)(iter([pa.RecordBatch.from_arrays([texts], ["text"])])) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert out == library(texts)
+
+
+def test_words_that_share_a_hash(monkeypatch):
+    monkeypatch.setattr(op.tb, "hashes", lambda data, starts, ends: (ends - starts).astype("uint64"))
+    texts = ["one two six ten", "six three"]
+    out = [x for b in op.coder([], False, None)(iter([pa.RecordBatch.from_arrays([texts], ["text"])])) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert out == library(texts)
