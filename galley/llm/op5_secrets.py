@@ -3,14 +3,17 @@
 Three patterns give the base findings. Runs of base64, base64url or hex digits that are long enough are then decoded, and
 only what their bytes confirm is reported:
 
-- pem: an armoured private key whose body decodes to a key encoding, or says that it is encrypted;
+- pem: an armoured private key whose body decodes to a key encoding, or says that it is encrypted; line breaks in it may
+  be written out as \\n, as in JSON;
 - jwt: three dotted base64url parts whose first decodes to a JSON object with an "alg" and second to a JSON object;
 - key: base64 or hex whose bytes are a private key: nested ASN.1 elements whose lengths end where the outer one's does and
-  whose types are those of a PKCS #1, PKCS #8 or SEC 1 key, or the magic and length-prefixed strings of an OpenSSH key.
+  whose types are those of a PKCS #1, PKCS #8 or SEC 1 key, or the magic and length-prefixed strings of an OpenSSH key;
+  base64 may go over lines of 40 digits and more.
 
-Texts are read one by one, so memory is bounded by the longest. Spans are code points, the end exclusive.
+Texts are read one by one, so memory is bounded by the longest, and time is linear in it. Spans are code points, the end
+exclusive.
 
-Defined cases: a null or empty text has no findings. Findings of one kind never overlap; those of different kinds may, and
+Defined cases: a null or empty text has no findings; an empty table gives an empty one; very long texts are read whole. Findings of one kind never overlap; those of different kinds may, and
 all are listed, by start and then in the order of KINDS. Repeated rows, ties and extra columns change nothing.
 """
 
@@ -21,6 +24,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,7 +41,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{%d,}" % HEX)
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % DECODED)
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----(.*?)-----END \1PRIVATE KEY-----", re.S)
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{40,}(?:\r?\n|\\r?\\n|\\n))+[A-Za-z0-9+/]+={0,2}")
+_LINE = re.compile(r"(?:(?<=\\n)|(?<!\\))[A-Za-z0-9+/]+={0,2}")
+_BREAK = re.compile(r"\s+|\\r|\\n")
+_PEM = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 
 
@@ -109,6 +116,32 @@ def _object(part: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+def armoured(text: str) -> Iterator[tuple[int, str, str, int]]:
+    """(start, name, body without breaks, end) of armoured keys. An armour ends at the mark that follows its own beginning;
+    one that another beginning or another name's end follows is not closed. So each character is in one body at most."""
+    begun = None
+    for m in _PEM.finditer(text):
+        if m[1] == "END" and begun is not None and begun[2] == m[2]:
+            yield begun.start(), m[2], _BREAK.sub("", text[begun.end() : m.start()]), m.end()
+        begun = m if m[1] == "BEGIN" else None
+
+
+def wrapped(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what may be a key over lines: lines of one width, with the shorter one that follows and without it."""
+    for m in _WRAPPED.finditer(text):
+        lines = [(x.start() + m.start(), x.end() + m.start()) for x in _LINE.finditer(m[0])]
+        at = 0
+        while at < len(lines):
+            width, k = lines[at][1] - lines[at][0], at + 1
+            while k < len(lines) and lines[k][1] - lines[k][0] == width:
+                k += 1
+            if k < len(lines) and lines[k][1] - lines[k][0] < width:
+                yield lines[at][0], lines[k][1]
+            if k - at > 1:
+                yield lines[at][0], lines[k - 1][1]
+            at = k
+
+
 def findings(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end), sorted."""
     out = []
@@ -118,17 +151,20 @@ def findings(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= ACCESS]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            body = "".join(m[2].split())
-            if "ENCRYPTED" in m[1] or "Proc-Type:4,ENCRYPTED" in body or any(map(private_key, decoded(body))):
-                out.append((m.start(), 3, m.end()))
+        out += [(a, 3, b) for a, name, body, b in armoured(text) if "ENCRYPTED" in name or "Proc-Type:4,ENCRYPTED" in body or any(map(private_key, decoded(body)))]
     if "ey" in text and "." in text:
         for m in _JWT.finditer(text):
             head = _object(m[1]) if m[1].startswith("e") else None
             if head and isinstance(head.get("alg"), str) and _object(m[2]) is not None:
                 out.append((m.start(), 4, m.end()))
-    out += [(m.start(), 5, m.end()) for m in _RUN.finditer(text) if any(map(private_key, decoded(m[0])))]
-    return sorted(out)
+    keys = [(a, 5, b) for a, b in wrapped(text) if any(map(private_key, decoded(_BREAK.sub("", text[a:b]))))]
+    keys = [x for i, x in enumerate(keys) if i == 0 or x[0] >= keys[i - 1][2]]
+    begins = [a for a, *_ in keys]
+    for m in _RUN.finditer(text):
+        k = bisect(begins, m.start()) - 1
+        if (k < 0 or m.start() >= keys[k][2]) and any(map(private_key, decoded(m[0]))):
+            out.append((m.start(), 5, m.end()))
+    return sorted(out + keys)
 
 
 def redacted(text: str, found: list[tuple[int, int, int]], mark: str = "[SECRET]") -> str:
