@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,8 +36,8 @@ def structural_score(runs: Column, text: Column, style: Column) -> Column:
         (T.matches(style, r"^heading\s*\d*$", True), 3),
         (F.coalesce(bold, F.lit(False)), 2),
         (T.is_upper_literal(text), 2),
-        (T.word_count(text) <= 8, 1),
-        (~F.endswith(T.strip(text), F.lit(".")), 1),
+        (~F.rlike(text, F.lit(f"^[{T.WS}]*+(?:[^{T.WS}]++[{T.WS}]++){{8}}[^{T.WS}]")), 1),  # at most eight words
+        (~F.rlike(text, F.lit(f"\\.[{T.WS}]*+\\z")), 1),
     ]
     return sum((F.when(test, n).otherwise(0) for test, n in parts), F.lit(0))
 
@@ -45,46 +46,61 @@ def token_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(text, " "), lambda x: x != "")))
 
 
+#: Spellings whose closest entry a task remembers.
+REMEMBERED = 10_000
+
+
 def vocabulary_match(headings: DataFrame, synonyms: list[tuple[str, str]]) -> DataFrame:
-    """(norm, score, vocabulary section, confidence) of distinct headings (norm, structural): an exact hit, then one of the
-    same words in any order, then for those that look like headings the closest spelling. synonyms: (section, text) in order.
+    """Headings (norm, structural, ...) with the section that the vocabulary gives them (hit) and hit_confidence: an exact
+    hit, then one of the same words in any order, then for those that look like headings the closest spelling. synonyms:
+    (section, text) in order.
 
-    The vocabulary is a literal of the plan: rulesets have tens of entries.
+    The vocabulary is a literal of the plan: rulesets have tens of entries. No shuffle: a task compares each spelling once.
     """
-    exact = _first_of(F.when(F.col("norm") == s, F.struct(F.lit(sec).alias("section"), F.lit(1.0).alias("confidence"))) for sec, s in synonyms)
-    sets = _first_of(F.when(token_set(F.col("norm")) == F.array(*map(F.lit, sorted(set(s.split())))), F.struct(F.lit(sec).alias("section"), F.lit(0.95).alias("confidence"))) for sec, s in synonyms)
+    exact = _looked_up(F.col("norm"), [(s, sec) for sec, s in synonyms], 1.0)
+    sets = _looked_up(F.array_join(token_set(F.col("norm")), " "), [(" ".join(sorted(set(s.split()))), sec) for sec, s in synonyms], 0.95)
+
+    def closest(n: str) -> tuple[str | None, float | None]:
+        best = (None, FUZZY - 1e-12)
+        matcher = difflib.SequenceMatcher(None, n, "")
+        for sec, s in synonyms:
+            matcher.set_seq2(s)
+            if matcher.real_quick_ratio() > best[1] and matcher.ratio() > best[1] and matcher.ratio() >= FUZZY:
+                best = sec, matcher.ratio()
+        return best if best[0] else (None, None)
 
     @F.pandas_udf("section string, confidence double")
-    def fuzzy(norm: pd.Series) -> pd.DataFrame:
-        out = []
-        for n in norm:
-            best = (None, FUZZY - 1e-12)
-            for sec, s in synonyms:
-                ratio = difflib.SequenceMatcher(None, n, s).ratio()
-                if ratio > best[1] and ratio >= FUZZY:
-                    best = sec, ratio
-            out.append(best if best[0] else (None, None))
-        return pd.DataFrame(out, columns=["section", "confidence"])
-
-    known = headings.withColumn("hit", F.coalesce(exact, sets))
-    left = known.where("hit is null and structural >= 3").withColumn("hit", fuzzy("norm"))
-    rest = known.where("hit is not null or structural < 3")
-    return rest.unionByName(left).select("norm", "structural", "hit.section", "hit.confidence")
-
-
-def _first_of(columns) -> Column:
-    columns = list(columns)
-    return F.coalesce(*columns) if columns else F.lit(None).cast("struct<section:string,confidence:double>")
+    def fuzzy(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known: dict[str | None, tuple] = {None: (None, None)}
+        for norm in batches:
+            if len(known) > REMEMBERED:
+                known = {None: (None, None)}
+            norm = norm.astype(object).where(norm.notna(), None)
+            known.update((n, closest(n)) for n in set(norm) - known.keys())
+            yield pd.DataFrame([known[n] for n in norm], columns=["section", "confidence"])
+
+    known = headings.withColumn("known", F.coalesce(exact, sets))
+    left = F.when(F.col("known").isNull() & (F.col("structural") >= 3) & (F.col("norm") != ""), F.col("norm"))
+    near = known.withColumn("near", fuzzy(left))
+    hit = F.coalesce(F.col("known"), F.when(F.col("near.section").isNotNull(), F.col("near")))
+    return near.withColumns({"hit": hit["section"], "hit_confidence": hit["confidence"]}).drop("known", "near")
+
+
+def _looked_up(key: Column, entries: list[tuple[str, str]], confidence: float) -> Column:
+    """The section of the first entry with a key, in a map that is a literal of the plan."""
+    first = dict(reversed(entries))
+    if not first:
+        return F.lit(None).cast("struct<section:string,confidence:double>")
+    section = F.create_map(*(F.lit(x) for kv in first.items() for x in kv))[key]
+    return F.when(section.isNotNull(), F.struct(section.alias("section"), F.lit(confidence).alias("confidence")))
 
 
 def headings(paragraphs: DataFrame, synonyms: list[tuple[str, str]]) -> DataFrame:
     """Paragraphs with norm, structural and heading columns (hit section, confidence, is_heading)."""
     scored = paragraphs.withColumn("structural", structural_score(F.col("runs"), F.col("text"), F.col("style_name"))).withColumn("norm", T.heading_text(folded("text")))
-    distinct = scored.where(T.non_blank(F.col("text"))).select("norm", "structural").distinct()
-    found = vocabulary_match(distinct, [(s, w) for s, w in synonyms]).withColumnsRenamed({"section": "hit", "confidence": "hit_confidence"})
-    joined = scored.join(found, ["norm", "structural"], "left")
+    found = vocabulary_match(scored, synonyms)
     score = F.col("structural") + F.when(F.col("hit").isNotNull(), VOCABULARY).otherwise(0)
-    return joined.withColumn("is_heading", T.non_blank(F.col("text")) & (score >= HEADING))
+    return found.withColumn("is_heading", T.non_blank(F.col("text")) & (score >= HEADING))
 
 
 def author_score(runs: Column, text: Column) -> Column:

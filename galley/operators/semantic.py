@@ -85,6 +85,7 @@ def cache_key(rule: SemanticRule, ruleset: Ruleset, model: str, text: Column) ->
 def prompts(labelled: DataFrame, ruleset: Ruleset, model: str) -> DataFrame:
     """(document_id, rule_id, rule_seq, anchor, text, prompt, cache_key) of all rules and documents; text is null where there is none."""
     documents = labelled.select("document_id").distinct()
+    fields = "document_id string, rule_id string, rule_seq int, anchor string, text string, prompt string, cache_key string"
     out = None
     for seq, rule in enumerate(ruleset.with_presence_rules().ordered()):
         if isinstance(rule, SemanticRule):
@@ -92,7 +93,7 @@ def prompts(labelled: DataFrame, ruleset: Ruleset, model: str) -> DataFrame:
             prompt = T.render(rule.prompt_template, list(rule.prompt_vars), F.col("text"))
             rows = rows.select("document_id", F.lit(rule.rule_id).alias("rule_id"), F.lit(seq).alias("rule_seq"), "anchor", "text", prompt.alias("prompt"), cache_key(rule, ruleset, model, F.col("text")).alias("cache_key"))
             out = rows if out is None else out.unionByName(rows)
-    return out
+    return labelled.sparkSession.createDataFrame([], fields) if out is None else out
 
 
 def ask(asked: DataFrame, client: Client, known: DataFrame | None = None) -> DataFrame:
@@ -124,7 +125,7 @@ def violations(asked: DataFrame, answers: DataFrame, ruleset: Ruleset) -> DataFr
     joined = asked.join(answers, "cache_key", "left").withColumn("v", _read("answer"))
     reason = F.when(F.col("text").isNull(), "section_text_unavailable").when(F.col("failure").isNotNull(), F.col("failure")).when(F.col("v.violation").isNull(), "bad_response")
     rules = [(r.rule_id, r.severity, r.message, r.applies_to_section[0] if r.applies_to_section else None) for r in ruleset.rules if isinstance(r, SemanticRule)]
-    table = F.broadcast(asked.sparkSession.createDataFrame(rules, "rule_id string, severity string, message string, section string")) if rules else None
+    table = F.broadcast(asked.sparkSession.createDataFrame(rules, "rule_id string, severity string, message string, section string"))
     out = joined.withColumn("failure_reason", reason).where("failure_reason is not null or v.violation").join(table, "rule_id")
     status = F.when(F.col("failure_reason").isNotNull(), "check_failed").otherwise("needs_review")
     return out.select("document_id", "rule_id", "rule_seq", "severity", "section", F.col("anchor").alias("anchor_paragraph_id"), status.alias("status"),

@@ -13,30 +13,12 @@ from galley.functions import numerals as N
 from galley.functions import text as T
 from galley.operators.predicates import predicate
 from galley.operators.reports import TO_REVIEW
-
-QUERIES = {}
-ORACLES: dict[str, str] = {}
+from galley.plans.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 _LINES = "(select doc_id, lang, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ord from documents)"
 _WORDS = r"length(regexp_extract_all(line, '[^ \n\t\r]+'))"
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL counterpart."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as paragraphs: one row for each line, numbered from 1."""
     docs = table(spark, sf_dir, "documents")
@@ -204,63 +186,9 @@ def _joined(c: Column) -> Column:
     return F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
 
 
-@query(f"select l_orderkey, string_agg(i::varchar, ',' order by i) as failing from {_ITEMS} where not l_quantity <= 45 group by l_orderkey")
-def run_every(spark, sf_dir):
-    """Orders with line items that fail, and which."""
-    out = _runs(spark, sf_dir).withColumn("f", _failing(lambda r: predicate("<=", r["l_quantity"], 45, "double"))).where("size(f) > 0")
-    return out.select("l_orderkey", _joined(F.col("f")).alias("failing"))
-
-
-@query(f"select l_orderkey, count(*)::bigint as n from {_ITEMS} group by l_orderkey having not bool_or(l_quantity <= 10)")
-def run_any(spark, sf_dir):
-    """Orders none of whose line items passes."""
-    out = _runs(spark, sf_dir).where(~F.exists("runs", lambda r: predicate("<=", r["l_quantity"], 10, "double")))
-    return out.select("l_orderkey", F.size("runs").cast("bigint").alias("n"))
-
-
-@query(f"select l_orderkey, l_quantity as found from {_ITEMS} where i = 0 and not l_quantity <= 25")
-def run_first(spark, sf_dir):
-    """Orders whose first line item fails."""
-    first = F.element_at("runs", 1)["l_quantity"]
-    return _runs(spark, sf_dir).where(~predicate("<=", first, 25, "double")).select("l_orderkey", first.alias("found"))
-
-
-@query(f"select l_orderkey, string_agg(i::varchar, ',' order by i) as failing from {_ITEMS} where l_returnflag = 'R' and not l_discount <= 0.05 group by l_orderkey")
-def select_runs(spark, sf_dir):
-    """A filter on runs before the test, with the places in the whole order kept."""
-    numbered = F.transform("runs", lambda r, i: F.struct(i.alias("i"), r.alias("r")))
-    kept = F.filter(numbered, lambda x: predicate("==", x["r"]["l_returnflag"], "R", "string") & ~predicate("<=", x["r"]["l_discount"], 0.05, "double"))
-    out = _runs(spark, sf_dir).withColumn("f", F.transform(kept, lambda x: x["i"])).where("size(f) > 0")
-    return out.select("l_orderkey", _joined(F.col("f")).alias("failing"))
-
-
-@query("select o_orderkey, o_orderpriority, l_linenumber, l_quantity from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'F' and l_quantity > 48")
-def table_cells(spark, sf_dir):
-    """Cells with their table by an equi-join, and those that fail."""
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
-    items = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
-    return orders.join(items, "o_orderkey").select("o_orderkey", "o_orderpriority", "l_linenumber", "l_quantity")
-
-
-@query(r"""select conv_id, length(regexp_extract_all(t, '[^ \n\t\r]+'))::bigint as words, anchor from (select conv_id, string_agg(text, ' ' order by turn) as t, min(turn) as anchor
-from conversations where role = 'user' group by conv_id) where length(regexp_extract_all(t, '[^ \n\t\r]+')) > 40""")
-def section_text_rule(spark, sf_dir):
-    """Turns of a role as one text, in order, over a limit of words."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("rows"))
-    joined = rows.select("conv_id", F.array_join(F.transform("rows", lambda r: r["text"]), " ").alias("t"), F.col("rows")[0]["turn"].alias("anchor"))
-    return joined.where(~predicate("word_count_lte", F.col("t"), 40, "string")).select("conv_id", T.word_count(F.col("t")).alias("words"), "anchor")
-
-
 # Sections
 
 
-@query("""select conv_id, turn, last_value(case when role in ('system', 'user') then role end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as section from conversations""")
-def forward_fill_section(spark, sf_dir):
-    """The last heading's section for each turn."""
-    own = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role").isin("system", "user"), F.col("role")), ignorenulls=True).over(own).alias("section"))
-
-
 @query(f"""with m as (select *, coalesce(min(ord) filter (where length(line) > 400) over (partition by doc_id), max(ord) over (partition by doc_id) + 1) as body_start,
 min(ord) filter (where line <> '') over (partition by doc_id) as title from {_LINES})
 select doc_id, ord, body_start, case when ord = title then 'title' when ord < body_start then 'front' else 'body' end as part from m""")
@@ -273,16 +201,6 @@ def front_matter_split(spark, sf_dir):
     return out.select("doc_id", "ord", "body_start", part.alias("part"))
 
 
-@query("""select conv_id, string_agg(role, ' -> ' order by turn) as sections from (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) as was from conversations)
-where role is distinct from was group by conv_id""")
-def section_order(spark, sf_dir):
-    """Roles in order of appearance, runs of one role once."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    turns = turns.withColumn("was", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))).where(~F.col("role").eqNullSafe(F.col("was")))
-    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
-    return rows.select("conv_id", F.array_join(F.transform("r", lambda x: x["role"]), " -> ").alias("sections"))
-
-
 @query(f"""select doc_id, ord, (case when regexp_matches(line, '[A-Za-z]') and upper(line) = line then 2 else 0 end + case when {_WORDS} <= 8 then 1 else 0 end
 + case when not suffix(rtrim(line), '.') then 1 else 0 end)::int as score from {_LINES} where not contains(line, 'ß')""")
 def heading_score(spark, sf_dir):
@@ -304,32 +222,6 @@ def vocabulary_sets(spark, sf_dir):
     return norm.withColumn("own", token_set(F.col("norm"))).select("p_partkey", "norm", F.size("own").alias("n_words"), F.array_join("own", " ").alias("word_set"))
 
 
-@query("""with need as (select source, l.lang from (select distinct source from documents), (values ('en'), ('de'), ('fr'), ('es'), ('it')) l(lang)),
-gone as (select source, lang from need except select source, lang from documents)
-select d.source, coalesce((select string_agg(lang, ',' order by lang) from gone g where g.source = d.source), '') as missing, (select count(distinct lang) from documents e where e.source = d.source)::bigint as n_found
-from (select distinct source from documents) d""")
-def missing_sections(spark, sf_dir):
-    """Required languages that a source lacks."""
-    need = F.array(*map(F.lit, ("en", "de", "fr", "es", "it")))
-    found = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("found"))
-    return found.select("source", F.array_join(F.array_sort(F.array_except(need, F.col("found"))), ",").alias("missing"), F.size("found").cast("bigint").alias("n_found"))
-
-
-@query("select conv_id, count(*) filter (where role = 'user')::bigint as n, count(*) filter (where role = 'user') < 4 as degraded from conversations group by conv_id")
-def degraded_docs(spark, sf_dir):
-    """Documents with too few headings."""
-    n = F.count_if(F.col("role") == "user")
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(n.alias("n"), (n < 4).alias("degraded"))
-
-
-@query("select doc_id, coalesce('q' || quality, lang) as section, case when quality is null then 'inherited' else 'override' end as source, case when quality is null then 0.5 else 1.0 end::double as confidence from documents left join labels using (doc_id)")
-def override_labels(spark, sf_dir):
-    """Labels that a reader has set win."""
-    given = F.col("quality").isNotNull()
-    section = F.coalesce(F.concat(F.lit("q"), F.col("quality").cast("string")), "lang")
-    return labelled(spark, sf_dir).select("doc_id", section.alias("section"), F.when(given, "override").otherwise("inherited").alias("source"), F.when(given, 1.0).otherwise(0.5).alias("confidence"))
-
-
 # Captions and citations
 
 
@@ -353,13 +245,6 @@ def citations(spark, sf_dir):
     return met.select("doc_id", "token", _joined(F.col("o")).alias("lines"))
 
 
-@query("""select conv_id, turn, role, n from (select conv_id, turn, role, row_number() over (partition by conv_id, role order by turn)::int as n from conversations) where n <> turn + 1""")
-def numbering_sequence(spark, sf_dir):
-    """Numbers that don't run on from 1."""
-    n = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", n.alias("n")).where("n <> turn + 1")
-
-
 # Fixes: line items as operations on orders; the flag is the parameter
 
 _OPS = "(select distinct l_orderkey as target, l_linestatus as attribute, l_suppkey as rule, l_returnflag as params, l_linenumber as priority from lineitem)"

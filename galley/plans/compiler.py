@@ -114,13 +114,21 @@ def item_rule(rule: DeterministicRule, seq: int) -> Column:
     return F.when(~condition(rule.condition, None, _ITEM), violation(rule, seq, found=shown(name, F.col(name), _ITEM[name]), **more))
 
 
+def section_text_rule(rule: DeterministicRule, seq: int, own: Column) -> Column:
+    """own: the paragraphs of a document that the rule selects, in order, read as one text."""
+    text, head = F.array_join(F.transform(own, lambda x: x["text"]), " "), F.get(own, F.lit(0))
+    section = F.lit(rule.applies_to_section[0]) if rule.applies_to_section else head["section"]
+    row = violation(rule, seq, section=section, anchor_paragraph_id=head["id"], node_ord=head["ord"], found=shown("text", text, "string"))
+    c = rule.condition
+    if c.attribute != "text":
+        raise GalleyError(f"no attribute {c.attribute!r}")
+    return F.when((F.size(own) > 0) & ~predicate(c.operator, text, c.value, "string"), row)
+
+
 def inlined(frame: DataFrame, structs: Sequence[Column]) -> DataFrame:
-    """A row for each struct that isn't null: document_id and the violation's columns."""
-    parts = [frame.select("document_id", F.inline(F.array_compact(F.array(*structs[i : i + CHUNK])))) for i in range(0, len(structs), CHUNK)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """A row for each struct that isn't null: document_id and the violation's columns. One select, whatever their number."""
+    parts = [F.array_compact(F.array(*structs[i : i + CHUNK])) for i in range(0, len(structs), CHUNK)]
+    return frame.select("document_id", F.inline(F.concat(*parts)))
 
 
 def _degraded(rule: DeterministicRule) -> tuple[Column, Column]:
@@ -139,7 +147,7 @@ def validate(paragraphs: DataFrame, items: dict[str, DataFrame], segmentation: D
     """Violations of the deterministic rules in labelled documents.
 
     Five scans whatever the number of rules: paragraphs, section texts, tables, figures, segmentation. rule_seq and node_ord
-    give the order of rules and of nodes.
+    give the order of rules and of nodes. A ruleset without deterministic rules finds nothing.
     """
     rules = [(i, r) for i, r in enumerate(ruleset.with_presence_rules().ordered()) if isinstance(r, DeterministicRule)]
     state = segmentation.select("document_id", "missing", "front_matter_only", "degraded_reason")
@@ -156,21 +164,19 @@ def validate(paragraphs: DataFrame, items: dict[str, DataFrame], segmentation: D
         own = [item_rule(r, i) for i, r in rules if r.selector.node_type == kind and r.rule_id != TABLE_TEXT]
         if own:
             out.append(inlined(items[f"{kind}s"], own))
-    for i, r in rules:
-        if r.selector.node_type == "section_text":
-            ordered = F.array_sort(F.collect_list(F.struct("ord", "text", "id", "section")))
-            joined = paragraphs.where(selected(r)).groupBy("document_id").agg(ordered.alias("own"))
-            joined = joined.select("document_id", F.array_join(F.transform("own", lambda x: x["text"]), " ").alias("text"), F.col("own")[0].alias("head"))
-            section = F.lit(r.applies_to_section[0]) if r.applies_to_section else F.col("head.section")
-            row = violation(r, i, section=section, anchor_paragraph_id=F.col("head.id"), node_ord=F.col("head.ord"), found=shown("text", F.col("text"), "string"))
-            out.append(inlined(joined, [F.when(~condition(r.condition, None, {"text": "string"}), row)]))
-    found = out[0] if out else None
-    for p in out[1:]:
-        found = found.unionByName(p)
-    found = found.join(gates, "document_id", "left").where(~F.coalesce(F.array_contains("off", F.col("rule_seq")), F.lit(False))).drop("off")
-
-    first = paragraphs.groupBy("document_id").agg(F.min_by("id", "ord").alias("first_id"))
-    whole = []
+
+    texts = [(i, r) for i, r in rules if r.selector.node_type == "section_text"]
+    part = F.struct("ord", "text", "id", "section")
+    whole = paragraphs.groupBy("document_id").agg(F.min_by("id", "ord").alias("first_id"), *(F.array_sort(F.collect_list(F.when(selected(r), part))).alias(f"own{i}") for i, r in texts))
+    if texts:
+        out.append(inlined(whole, [section_text_rule(r, i, F.col(f"own{i}")) for i, r in texts]))
+    found = None
+    for p in out:
+        found = p if found is None else found.unionByName(p)
+    if found is not None:
+        found = found.join(gates, "document_id", "left").where(~F.coalesce(F.array_contains("off", F.col("rule_seq")), F.lit(False))).drop("off")
+
+    checks = []
     for i, r in rules:
         reason = _degraded(r)[1]
         status = "open" if r.on_missing_section == "violation" else "check_failed"
@@ -179,5 +185,7 @@ def validate(paragraphs: DataFrame, items: dict[str, DataFrame], segmentation: D
             name = r.condition.attribute.removeprefix("section:")
             row = violation(r, i, anchor_paragraph_id=F.col("first_id"), found=F.lit(f"section '{name}' not found"))
             failed = F.coalesce(failed, F.when(F.array_contains("missing", name), row))
-        whole.append(failed)
-    return found.unionByName(inlined(state.join(first, "document_id", "left"), whole))
+        checks.append(failed)
+    nothing = F.lit(None).cast(f"struct<{_STRUCT}>")
+    judged = inlined(state.join(whole.select("document_id", "first_id"), "document_id", "left"), checks or [nothing])
+    return judged if found is None else found.unionByName(judged)
