@@ -83,18 +83,17 @@ def redact(spark, sf_dir):
     return docs.select("doc_id", T.redact(F.col("text"), patterns=[_TOKEN]).alias("text"))
 
 
-@query(r"select doc_id, ord, line, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(line)), '^(\d+|[ivxlcdm]+|[a-z])[.)]\s+', ''), ':+$', ''), '\s+', ' ', 'g')) as norm from " + _LINES + " where length(line) between 1 and 60 and not contains(line, 'ß')")
+@query(r"select doc_id, ord, line, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(line)), '^(\d+|[ivxlcdm]+|[a-z])[.)]\s+', ''), ':+$', ''), '\s+', ' ', 'g')) as norm from " + _LINES)
 def heading_norm(spark, sf_dir):
-    """Short lines as headings are compared."""
-    own = lines(spark, sf_dir).where("length(line) between 1 and 60 and not contains(line, 'ß')")
-    return own.select("doc_id", "ord", "line", T.heading_text(F.col("line")).alias("norm"))
+    """Lines as headings are compared."""
+    return lines(spark, sf_dir).select("doc_id", "ord", "line", T.heading_text(F.col("line")).alias("norm"))
 
 
-@query("select conv_id, turn, replace('Judge only this: {text}', '{text}', text) as prompt, 0::bigint as n_left from conversations where not contains(text, '{')")
+@query("select conv_id, turn, replace('Judge only this: {text}', '{text}', text) as prompt, length(regexp_extract_all(text, '\\{[A-Za-z_][A-Za-z0-9_]*\\}'))::bigint as n_left from conversations")
 def prompt_render(spark, sf_dir):
     """Prompts from a template, and placeholders that are left."""
     prompt = T.render("Judge only this: {text}", ["text"], F.col("text"))
-    return table(spark, sf_dir, "conversations").where("not contains(text, '{')").select("conv_id", "turn", prompt.alias("prompt")).withColumn("n_left", F.size(T.placeholders(F.col("prompt"))).cast("bigint"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", prompt.alias("prompt")).withColumn("n_left", F.size(T.placeholders(F.col("prompt"))).cast("bigint"))
 
 
 @query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as stamp from events")
@@ -143,11 +142,11 @@ def exclude_patterns(spark, sf_dir):
 _CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
 
 
-@query(f"""select doc_id, ord, line from {_LINES} where length(line) between 1 and 200 and regexp_matches(line, '[\\p{{Lu}}\\p{{Lt}}]')
+@query(f"""select doc_id, ord, line from {_LINES} where regexp_matches(line, '[\\p{{Lu}}\\p{{Lt}}]')
 and not regexp_matches(line, '{_CASED}[\\p{{Lu}}\\p{{Lt}}]') and not regexp_matches(line, '(^|[^\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}])\\p{{Ll}}')""")
 def title_case(spark, sf_dir):
     """Lines in title case."""
-    return lines(spark, sf_dir).where(F.length("line").between(1, 200) & predicate("is_title_case", F.col("line"), None, "string")).select("doc_id", "ord", "line")
+    return lines(spark, sf_dir).where(predicate("is_title_case", F.col("line"), None, "string")).select("doc_id", "ord", "line")
 
 
 @query("select n_nationkey as key, n_name as name, regexp_matches(n_name, '[A-Za-z]') and upper(n_name) = n_name as is_upper from nation union all select c_custkey, c_name, regexp_matches(c_name, '[A-Za-z]') and upper(c_name) = c_name from customer")
@@ -164,51 +163,17 @@ def non_empty(spark, sf_dir):
     return labelled(spark, sf_dir).select("doc_id", predicate("is_non_empty", F.col("quality"), None, "int").alias("has_quality"), predicate("is_non_empty", F.col("lang"), None, "string").alias("has_lang"), predicate("is_non_empty", F.col("toxic"), None, "int").alias("has_toxic"))
 
 
-# Selectors and kernels over runs: line items of an order, in one total order
-
-_ITEMS = """(select l_orderkey, l_quantity, l_discount, l_returnflag, row_number() over (partition by l_orderkey
-  order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 as i from lineitem)"""
-
-
-def _runs(spark, sf_dir) -> DataFrame:
-    """Orders with their line items as an array; one exchange on the order's key."""
-    keys = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*keys, "l_discount", "l_returnflag").alias("r"))
-    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("runs"))
-
-
-def _failing(test) -> Column:
-    numbered = F.transform("runs", lambda r, i: F.struct(i.alias("i"), test(r).alias("ok")))
-    return F.transform(F.filter(numbered, lambda x: ~x["ok"]), lambda x: x["i"])
-
-
-def _joined(c: Column) -> Column:
-    return F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
-
-
 # Sections
 
 
-@query(f"""with m as (select *, coalesce(min(ord) filter (where length(line) > 400) over (partition by doc_id), max(ord) over (partition by doc_id) + 1) as body_start,
-min(ord) filter (where line <> '') over (partition by doc_id) as title from {_LINES})
-select doc_id, ord, body_start, case when ord = title then 'title' when ord < body_start then 'front' else 'body' end as part from m""")
-def front_matter_split(spark, sf_dir):
-    """Title, front matter and body by the first body heading."""
-    own = Window.partitionBy("doc_id")
-    start = F.coalesce(F.min(F.when(F.length("line") > 400, F.col("ord"))).over(own), F.max("ord").over(own) + 1)
-    out = lines(spark, sf_dir).withColumn("body_start", start).withColumn("title", F.min(F.when(F.col("line") != "", F.col("ord"))).over(own))
-    part = F.when(F.col("ord") == F.col("title"), "title").when(F.col("ord") < F.col("body_start"), "front").otherwise("body")
-    return out.select("doc_id", "ord", "body_start", part.alias("part"))
-
-
-@query(f"""select doc_id, ord, (case when regexp_matches(line, '[A-Za-z]') and upper(line) = line then 2 else 0 end + case when {_WORDS} <= 8 then 1 else 0 end
-+ case when not suffix(rtrim(line), '.') then 1 else 0 end)::int as score from {_LINES} where not contains(line, 'ß')""")
+@query(f"""select doc_id, ord, (case when regexp_matches(line, '[A-Za-z]') and upper(replace(line, 'ß', 'SS')) = line then 2 else 0 end + case when {_WORDS} <= 8 then 1 else 0 end
++ case when not suffix(rtrim(line), '.') then 1 else 0 end)::int as score from {_LINES}""")
 def heading_score(spark, sf_dir):
     """How much a line looks like a heading, without formatting."""
     from galley.operators.sections import structural_score
 
     runs = F.array().cast("array<struct<bold:boolean>>")
-    return lines(spark, sf_dir).where(~F.contains("line", F.lit("ß"))).select("doc_id", "ord", structural_score(runs, F.col("line"), F.lit("")).alias("score"))
+    return lines(spark, sf_dir).select("doc_id", "ord", structural_score(runs, F.col("line"), F.lit("")).alias("score"))
 
 
 @query("""with p as (select p_partkey, lower(trim(p_name)) as norm from part),
@@ -222,78 +187,21 @@ def vocabulary_sets(spark, sf_dir):
     return norm.withColumn("own", token_set(F.col("norm"))).select("p_partkey", "norm", F.size("own").alias("n_words"), F.array_join("own", " ").alias("word_set"))
 
 
-# Captions and citations
-
-
-@query(f"""with w as (select doc_id, ord, line, lag(line) over o as before, lead(line) over o as after from {_LINES} window o as (partition by doc_id order by ord))
-select doc_id, ord, case when before like '%.' then 'above' when after like '%.' then 'below' end as position from w where line like '%|%'""")
-def adjacency_caption(spark, sf_dir):
-    """Lines with a neighbour that serves as caption, the one above first."""
-    own = Window.partitionBy("doc_id").orderBy("ord")
-    near = lines(spark, sf_dir).select("doc_id", "ord", "line", F.lag("line").over(own).alias("before"), F.lead("line").over(own).alias("after")).where("line like '%|%'")
-    return near.select("doc_id", "ord", F.when(F.col("before").like("%."), "above").when(F.col("after").like("%."), "below").alias("position"))
-
+# Fixes
 
-@query(f"""with said as (select distinct doc_id, ord, upper(unnest(regexp_extract_all(line, '(?:^|[^\\p{{L}}\\p{{N}}_])[Tt]he[ ]+([\\p{{L}}\\p{{N}}_]+)', 1))) as token from {_LINES} where not contains(line, 'ß'))
-select doc_id, token, string_agg(ord::varchar, ',' order by ord) as lines from said join (values ('RE'), ('ON'), ('AND'), ('ERTH')) c(token) using (token) group by doc_id, token""")
-def citations(spark, sf_dir):
-    """Lines that mention a token after a word: one search of each line and an equi-join."""
-    pattern = rf"(?<![{T.WORD}])[Tt]he[ ]+([{T.WORD}]+)"
-    said = lines(spark, sf_dir).where(~F.contains("line", F.lit("ß"))).select("doc_id", "ord", F.explode(F.regexp_extract_all("line", F.lit(pattern), 1)).alias("t"))
-    captions = F.broadcast(spark.createDataFrame([("RE",), ("ON",), ("AND",), ("ERTH",)], "token string"))
-    met = said.select("doc_id", "ord", F.upper("t").alias("token")).join(captions, "token").groupBy("doc_id", "token").agg(F.array_sort(F.collect_set("ord")).alias("o"))
-    return met.select("doc_id", "token", _joined(F.col("o")).alias("lines"))
 
+@query(f"select doc_id, ord, regexp_replace(line, ':\\s*$', '') as fixed from {_LINES} where regexp_matches(line, ':\\s*$')")
+def apply_strip_colon(spark, sf_dir):
+    """A colon at the end of lines removed."""
+    from galley.operators.fixes import strip_colon
 
-# Fixes: line items as operations on orders; the flag is the parameter
+    return lines(spark, sf_dir).where(T.matches(F.col("line"), r":\s*$")).select("doc_id", "ord", strip_colon(F.col("line")).alias("fixed"))
 
-_OPS = "(select distinct l_orderkey as target, l_linestatus as attribute, l_suppkey as rule, l_returnflag as params, l_linenumber as priority from lineitem)"
 
-
-def _ops(spark, sf_dir) -> DataFrame:
-    cols = {"target": "l_orderkey", "attribute": "l_linestatus", "rule": "l_suppkey", "params": "l_returnflag", "priority": "l_linenumber"}
-    return table(spark, sf_dir, "lineitem").select(*(F.col(c).alias(n) for n, c in cols.items())).distinct()
-
-
-@query(f"select target, attribute, count(*)::bigint as n_ops, count(distinct params)::bigint as n_values from {_OPS} group by target, attribute having count(distinct params) > 1")
-def fix_conflicts(spark, sf_dir):
-    """Targets of which an attribute would get several values."""
-    return _ops(spark, sf_dir).groupBy("target", "attribute").agg(F.count("*").alias("n_ops"), F.count_distinct("params").alias("n_values")).where("n_values > 1")
-
-
-@query(f"select target, attribute, rule, min(params) as params from {_OPS} where (target, attribute) not in (select (target, attribute) from {_OPS} group by target, attribute having count(distinct params) > 1) group by target, attribute, rule")
-def fix_dedup(spark, sf_dir):
-    """Operations without conflict, one for each rule and target."""
-    ops, same = _ops(spark, sf_dir), ["target", "attribute"]
-    odd = ops.groupBy(*same).agg(F.count_distinct("params").alias("n")).where("n > 1")
-    return ops.join(odd, same, "left_anti").groupBy(*same, "rule").agg(F.min("params").alias("params"))
-
-
-@query(f"select target, rule, priority, row_number() over (partition by target order by priority, attribute, rule::varchar, params)::int as seq from {_OPS}")
-def plan_order(spark, sf_dir):
-    """Operations in order, ids compared as text."""
-    own = Window.partitionBy("target").orderBy("priority", "attribute", F.col("rule").cast("string"), "params")
-    return _ops(spark, sf_dir).select("target", "rule", "priority", F.row_number().over(own).alias("seq"))
-
-
-@query(f"select doc_id, ord, regexp_replace(line, '[.:]\\s*$', '') as fixed from {_LINES} where regexp_matches(line, '[.:]\\s*$')")
-def apply_strip_end(spark, sf_dir):
-    """A mark at the end of lines removed."""
-    pattern = T.java_pattern(r"[.:]\s*$")
-    return lines(spark, sf_dir).where(F.rlike("line", F.lit(pattern))).select("doc_id", "ord", F.regexp_replace("line", pattern, "").alias("fixed"))
-
-
-@query(f"select doc_id, ord, upper(line) as fixed from {_LINES} where line <> '' and length(line) < 80 and not contains(line, 'ß')")
+@query(f"select doc_id, ord, upper(replace(line, 'ß', 'SS')) as fixed from {_LINES} where line <> ''")
 def apply_uppercase(spark, sf_dir):
-    """Short lines in capitals."""
-    return lines(spark, sf_dir).where("line <> '' and length(line) < 80 and not contains(line, 'ß')").select("doc_id", "ord", F.upper("line").alias("fixed"))
-
-
-@query(f"select l_orderkey, string_agg((case when l_quantity > 45 then 45 else l_quantity end)::int::varchar, ',' order by i) as fixed from {_ITEMS} group by l_orderkey")
-def apply_set_size(spark, sf_dir):
-    """One field of the runs that fail set, others kept."""
-    fixed = F.transform("runs", lambda r: F.when(~predicate("<=", r["l_quantity"], 45, "double"), 45.0).otherwise(r["l_quantity"]).cast("int"))
-    return _runs(spark, sf_dir).select("l_orderkey", _joined(fixed).alias("fixed"))
+    """Lines in capitals."""
+    return lines(spark, sf_dir).where("line <> ''").select("doc_id", "ord", F.upper("line").alias("fixed"))
 
 
 # Violations and reports: three rules over documents
@@ -305,7 +213,10 @@ _VIOLATIONS = f"(select doc_id, source, {_STATUS} as status, {_SEVERITY} as seve
 
 
 def _violations(spark, sf_dir) -> DataFrame:
-    return labelled(spark, sf_dir).select("doc_id", F.col("source").alias("document_id"), F.expr(_STATUS).alias("status"), F.expr(_SEVERITY).alias("severity"))
+    toxic, size = F.col("toxic"), F.col("n_chars")
+    status = F.when(toxic.isNotNull(), F.element_at(F.array(F.lit("open"), F.lit("fixed")), toxic.cast("int") + 1)).otherwise(F.when(size % 3 == 0, "check_failed").otherwise("conflict"))
+    worse = F.array(F.lit("low"), F.lit("medium"), F.lit("high"))
+    return labelled(spark, sf_dir).select("doc_id", F.col("source").alias("document_id"), status.alias("status"), F.element_at(worse, 1 + (size > 1000).cast("int") + (size > 3000).cast("int")).alias("severity"))
 
 
 _REVIEW = ", ".join(f"'{s}'" for s in TO_REVIEW)
@@ -346,9 +257,3 @@ def output_names(spark, sf_dir):
     return pages.select("url", names(F.col("path"))["report"].alias("report"))
 
 
-@query("select distinct sha256('1.0.0|rule|' || lower(regexp_replace(trim(text), '[ \\n]+', ' ', 'g'))) as cache_key from conversations where not contains(text, 'ß')")
-def cache_key_dedup(spark, sf_dir):
-    """Distinct prompts by what their answers depend on."""
-    plain = F.lower(F.regexp_replace(T.strip(F.col("text")), f"[{T.WS}]+", " "))
-    turns = table(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("ß")))
-    return turns.select(F.sha2(F.concat_ws("|", F.lit("1.0.0"), F.lit("rule"), plain), 256).alias("cache_key")).distinct()

@@ -56,27 +56,28 @@ def _found(paragraphs: DataFrame, *rules: dict) -> DataFrame:
     return compiler.validate(paragraphs, {}, healthy(paragraphs), _rules(*rules)).withColumn("l_orderkey", _number("document_id"))
 
 
-_SIZED = run(font_size_pt=F.col("l_quantity"))
+def _sized() -> Column:
+    return run(font_size_pt=F.col("l_quantity"))
 
 
 @query(f"select l_orderkey, string_agg(i::varchar, ',' order by i) as failing from {_ITEMS} where not l_quantity <= 45 group by l_orderkey")
 def run_every(spark, sf_dir):
     """Orders with line items that fail, and which."""
-    out = _found(orders_as_paragraphs(spark, sf_dir, _SIZED), _rule("size", "run", "font_size_pt", "<=", 45))
+    out = _found(orders_as_paragraphs(spark, sf_dir, _sized()), _rule("size", "run", "font_size_pt", "<=", 45))
     return out.select("l_orderkey", _joined("run_indices").alias("failing"))
 
 
 @query(f"select l_orderkey, count(*)::bigint as n from {_ITEMS} group by l_orderkey having not bool_or(l_quantity <= 10)")
 def run_any(spark, sf_dir):
     """Orders none of whose line items passes."""
-    out = _found(orders_as_paragraphs(spark, sf_dir, _SIZED), _rule("size", "run", "font_size_pt", "<=", 10, "any"))
+    out = _found(orders_as_paragraphs(spark, sf_dir, _sized()), _rule("size", "run", "font_size_pt", "<=", 10, "any"))
     return out.select("l_orderkey", F.size("run_indices").cast("bigint").alias("n"))
 
 
 @query(f"select l_orderkey, l_quantity as found from {_ITEMS} where i = 0 and not l_quantity <= 25")
 def run_first(spark, sf_dir):
     """Orders whose first line item fails."""
-    out = _found(orders_as_paragraphs(spark, sf_dir, _SIZED), _rule("size", "run", "font_size_pt", "<=", 25, "first"))
+    out = _found(orders_as_paragraphs(spark, sf_dir, _sized()), _rule("size", "run", "font_size_pt", "<=", 25, "first"))
     return out.select("l_orderkey", F.replace("found", F.lit("font_size_pt == "), F.lit("")).cast("double").alias("found"))
 
 
@@ -94,7 +95,7 @@ def table_cells(spark, sf_dir):
     """Cells of tables that fail, with their table."""
     orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
     cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity").join(orders, "o_orderkey")
-    rows = cells.select(*shaped(schemas.PARAGRAPHS, document_id=F.col("o_orderkey"), ord=F.col("l_linenumber"), id=F.col("l_linenumber"), text=F.lit("x"), in_table=F.col("o_orderpriority"), runs=F.array(_SIZED)), *shaped(schemas.LABELS))
+    rows = cells.select(*shaped(schemas.PARAGRAPHS, document_id=F.col("o_orderkey"), ord=F.col("l_linenumber"), id=F.col("l_linenumber"), text=F.lit("x"), in_table=F.col("o_orderpriority"), runs=F.array(_sized())), *shaped(schemas.LABELS))
     out = _found(rows, _rule(compiler.TABLE_TEXT, "table", "font_size_pt", "<=", 48))
     size = F.replace("found", F.lit("font_size_pt == "), F.lit("")).cast("double")
     return out.select(F.col("l_orderkey").alias("o_orderkey"), F.col("details")["table_id"].alias("o_orderpriority"), F.col("paragraph_id").cast("int").alias("l_linenumber"), size.alias("l_quantity"))
@@ -386,3 +387,206 @@ def numbering_sequence(spark, sf_dir):
     out = compiler.validate(paragraphs, {"tables": tables}, healthy(paragraphs), _rules(_rule("table-numbering-sequence", "table", "caption_number", "is_non_empty")))
     part = lambda i: F.split_part("document_id", F.lit(" "), F.lit(i))
     return out.select(part(1).cast("bigint").alias("conv_id"), F.col("details")["id"].cast("bigint").alias("turn"), part(2).alias("role"), F.regexp_extract("found", r"position (\d+)", 1).cast("int").alias("n"))
+
+
+# Fixes: an order is a paragraph, its line items are runs with formats
+
+RUN_TEXTS = ["(3)", "[4]", "word", "Two Words", "ends:", " ", "X", "é: "]
+_CITED = {"attribute": "text", "operator": "matches_regex", "value": r"^[\[\(]\d+[\]\)]$"}
+_FIXES = _rules(
+    _rule("f-font", "run", "font_name", "==", "A", fix="set_font", params={"font_name": "A"}, priority=1),
+    _rule("f-size", "run", "font_size_pt", "<=", 30, fix="set_font_size", params={"font_size_pt": 30}, priority=2),
+    _rule("f-size-too", "run", "font_size_pt", "<=", 40, fix="set_font_size", params={"font_size_pt": 40}, priority=3),
+    _rule("f-bold", "run", "bold", "==", True, fix="set_bold", params={"bold": True}, priority=4),
+    _rule("f-italic", "run", "italic", "==", False, fix="set_italic", params={"italic": False}, priority=4),
+    _rule("f-super", "run", "superscript", "==", True, only=_CITED, fix="set_superscript", params={"superscript": True}, priority=5),
+    _rule("f-brackets", "run", "text", "matches_regex", r"^\[\d+\]$", only=_CITED, fix="set_citation_brackets", priority=11),
+    _rule("f-upper", "run", "uppercase_literal", "==", True, only={"attribute": "text", "operator": "==", "value": "word"}, fix="set_uppercase_literal", priority=6),
+    _rule("f-colon", "paragraph", "text", "not_matches_regex", r":\s*$", fix="strip_trailing_colon", priority=7),
+    _rule("f-break", "paragraph", "line_break_after", "==", True, fix="insert_line_break", priority=8),
+    _rule("f-suggest", "paragraph", "text", "not_matches_regex", r"^X", fix="suggest_only", priority=9),
+)
+_RUNS = f"""runs as (select l_orderkey as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as i, {_sql_list(RUN_TEXTS)}[l_quantity::int % {len(RUN_TEXTS)} + 1] as txt,
+  l_returnflag as font, l_quantity as size, l_linestatus = 'O' as bold, l_discount > 0.045 as italic, l_tax > 0.035 as sup, l_returnflag = 'N' as caps from lineitem),
+texts as (select doc, string_agg(txt, '' order by i) as whole, max(i) filter (where trim(txt) <> '') as last_shown from runs group by doc),
+broken as (select doc, i, 'f-font' as rule, 'set_font' as action, 'font_name' as attribute, 'A' as params, 1 as priority from runs where trim(txt) <> '' and font <> 'A' union all
+  select doc, i, 'f-size', 'set_font_size', 'font_size_pt', '30', 2 from runs where trim(txt) <> '' and size > 30 union all
+  select doc, i, 'f-size-too', 'set_font_size', 'font_size_pt', '40', 3 from runs where trim(txt) <> '' and size > 40 union all
+  select doc, i, 'f-bold', 'set_bold', 'bold', 'true', 4 from runs where trim(txt) <> '' and not bold union all
+  select doc, i, 'f-italic', 'set_italic', 'italic', 'false', 4 from runs where trim(txt) <> '' and italic union all
+  select doc, i, 'f-super', 'set_superscript', 'superscript', 'true', 5 from runs where txt in ('(3)', '[4]') and not sup union all
+  select doc, i, 'f-brackets', 'set_citation_brackets', 'text', '', 11 from runs where txt = '(3)' union all
+  select doc, i, 'f-upper', 'set_uppercase_literal', 'text', '', 6 from runs where txt = 'word' union all
+  select doc, null, 'f-colon', 'strip_trailing_colon', 'text', '', 7 from texts where regexp_matches(whole, ':[ ]*$') union all
+  select doc, null, 'f-break', 'insert_line_break', 'line_break_after', '', 8 from texts union all
+  select doc, null, 'f-suggest', 'suggest_only', 'none', '', 9 from texts where starts_with(whole, 'X')),
+targeted as (select *, case when i is null then 'p0001' else printf('p0001.r%02d', i) end as target from broken),
+kept as (select *, row_number() over (partition by doc order by priority, target, rule, attribute) as seq from targeted semi join (select doc, target, attribute from targeted group by all having count(distinct params) = 1) using (doc, target, attribute))"""
+
+
+def _planned(spark, sf_dir):
+    """(paragraphs, violations marked, operations) of orders."""
+    text = F.element_at(F.array(*map(F.lit, RUN_TEXTS)), F.col("l_quantity").cast("int") % len(RUN_TEXTS) + 1)
+    own = run(text=text, font_name=F.col("l_returnflag"), font_size_pt=F.col("l_quantity"), bold=F.col("l_linestatus") == "O", italic=F.col("l_discount") > 0.045,
+              superscript=F.col("l_tax") > 0.035, uppercase_literal=T.is_upper_literal(text), all_caps_property=F.col("l_returnflag") == "N")
+    paragraphs = cut(orders_as_paragraphs(spark, sf_dir, own))
+    found = cut(compiler.validate(paragraphs, {}, healthy(paragraphs), _FIXES))
+    ops, marked = fixes.plan(found, fixes.rule_table(spark, _FIXES))
+    return paragraphs, marked, cut(ops)
+
+
+@query(f"with {_RUNS} select doc as document_id, rule as rule_id, target as target_id, action, attribute, priority::int as priority, seq::int as seq from kept")
+def fix_plan(spark, sf_dir):
+    """Operations without conflict, in order."""
+    _, _, ops = _planned(spark, sf_dir)
+    return fixes.in_order(ops).select(_number("document_id").alias("document_id"), "rule_id", "target_id", "action", "attribute", "priority", "seq")
+
+
+@query(f"""with {_RUNS} select doc as document_id, rule as rule_id, count(*)::bigint as n_targets, case when bool_or(n > 1) then 'conflict' else 'open' end as status
+from targeted join (select doc, target, attribute, count(distinct params) as n from targeted group by all) using (doc, target, attribute) group by doc, rule""")
+def fix_conflicts(spark, sf_dir):
+    """Violations whose operations would set one attribute to several values."""
+    _, marked, _ = _planned(spark, sf_dir)
+    return marked.select(_number("document_id").alias("document_id"), "rule_id", F.greatest(F.coalesce(F.size("run_indices"), F.lit(0)), F.lit(1)).cast("bigint").alias("n_targets"), "status")
+
+
+_AFTER = f"""with {_RUNS}, done as (select r.doc, r.i, case when r.txt = 'word' then 'WORD' when r.txt = '(3)' then '[3]' when r.i = t.last_shown and regexp_matches(t.whole, ':[ ]*$') then regexp_replace(r.txt, ':[ ]*$', '') else r.txt end as txt, r.txt as was,
+  trim(r.txt) <> '' as shown, r.font, r.size, r.bold, r.italic, r.sup, r.caps from runs r join texts t using (doc)),
+after as (select doc, i, was, txt, case when shown then 'A' else font end as font, case when shown and size > 30 and size <= 40 then 30.0 else size end::double as size, bold or shown as bold, italic and not shown as italic,
+  sup or was in ('(3)', '[4]') as sup, caps and was <> 'word' as caps, regexp_matches(txt, '[A-Za-z]') and upper(txt) = txt as literal from done)"""
+
+
+@query(_AFTER + """ select doc as document_id, string_agg(txt, '' order by i) as text, true as line_break_after,
+string_agg(concat_ws('|', txt, font, size::varchar, bold::varchar, italic::varchar, sup::varchar, literal::varchar, caps::varchar), ';' order by i) as runs from after group by doc""")
+def fix_apply(spark, sf_dir):
+    """Paragraphs after the plan: formats, capitals, brackets, colons and breaks."""
+    paragraphs, _, ops = _planned(spark, sf_dir)
+    after, _ = fixes.apply(paragraphs, ops)
+    fields = ("font_name", "font_size_pt", "bold", "italic", "superscript", "uppercase_literal", "all_caps_property")
+    shown = F.transform("runs", lambda r: F.concat_ws("|", r["text"], *(r[f].cast("string") for f in fields)))
+    return after.select(_number("document_id").alias("document_id"), "text", "line_break_after", F.array_join(shown, ";").alias("runs"))
+
+
+@query(f"""with {_RUNS}, ends as (select doc, rule, arg_max(action, seq) as action from kept group by doc, rule)
+select doc as document_id, rule as rule_id, case when e.action is null then 'conflict' when e.action = 'suggest_only' then 'fix_failed' else 'fixed' end as status, case when e.action = 'suggest_only' then 'no way to apply it' else '' end as failure_reason
+from (select distinct doc, rule from targeted) left join ends e using (doc, rule)""")
+def fix_outcomes(spark, sf_dir):
+    """Violations with the status that their last operation gives them."""
+    paragraphs, marked, ops = _planned(spark, sf_dir)
+    _, applied = fixes.apply(paragraphs, ops)
+    return fixes.outcomes(marked, applied).select(_number("document_id").alias("document_id"), "rule_id", "status", "failure_reason")
+
+
+@query(_AFTER + f""" select k.doc as document_id, k.rule as rule_id, k.action, (k.i - 1)::varchar as run_indices, a.was as before_text, a.txt as after_text, '{STAMP}' as timestamp from kept k left join after a on a.doc = k.doc and a.i = k.i where k.action <> 'suggest_only'""")
+def audit_entries(spark, sf_dir):
+    """An entry for each operation applied."""
+    paragraphs, _, ops = _planned(spark, sf_dir)
+    _, applied = fixes.apply(paragraphs, ops)
+    text = lambda c: F.get_json_object(c, "$.text")
+    return fixes.audit(applied, STAMP).select(_number("document_id").alias("document_id"), "rule_id", "action", _joined("run_indices").alias("run_indices"), text("before").alias("before_text"), text("after").alias("after_text"), "timestamp")
+
+
+@query("with " + _RUNS + f""" select doc as document_id, rule as rule_id, target as target_id, case when rule = 'f-suggest' then 'no way to apply it' else 'target not found' end as failure_reason from (select * from kept where doc % 2 = 0 or rule = 'f-suggest')""")
+def missing_targets(spark, sf_dir):
+    """Operations whose paragraph is gone, here that of every other order."""
+    paragraphs, _, ops = _planned(spark, sf_dir)
+    _, applied = fixes.apply(paragraphs.where(_number("document_id") % 2 == 1), ops)
+    failed = applied.where("not ok").select(_number("document_id").alias("document_id"), "rule_id", "target_id", "failure_reason")
+    return failed.withColumn("failure_reason", F.when(F.col("rule_id") == "f-suggest", "no way to apply it").otherwise(F.col("failure_reason")))
+
+
+_ROMAN = " ".join(f"when {n} then '{'X' * (n // 10 % 4) if n < 40 else 'XL' if n < 50 else 'L'}{['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10]}'" for n in range(1, 51))
+
+
+@query(f"select p_partkey, 'Table ' || case p_size {_ROMAN} end || '. ' || p_name as fixed, 'fixed' as status from part")
+def caption_renumber(spark, sf_dir):
+    """Captions whose number is spelled in the style that a rule asks for."""
+    rules = _rules(_rule("style", "table", "numbering_style", "==", "roman", fix="set_numbering_style", params={"numbering_style": "roman"}))
+    parts = table(spark, sf_dir, "part")
+    runs = F.array(run(text=F.lit(" ")), run(text=F.concat(F.lit("Table "), "p_size", F.lit(". "))), run(text=F.col("p_name")))
+    paragraphs = parts.select(*shaped(schemas.PARAGRAPHS, document_id=F.col("p_partkey"), ord=F.lit(1), id=F.lit("p0001"), text=F.concat(F.lit("Table "), "p_size", F.lit(". "), "p_name"), line_break_after=F.lit(False), runs=runs), *shaped(schemas.LABELS))
+    tables = parts.select(*shaped(schemas.ITEMS, document_id=F.col("p_partkey"), ord=F.lit(1), id=F.lit("t01"), caption_paragraph_id=F.lit("p0001"), caption_position=F.lit("above"), numbering_style=F.lit("arabic"), caption_number=F.col("p_size"))).withColumn("position", F.lit(1))
+    found = cut(compiler.validate(paragraphs, {"tables": tables}, healthy(paragraphs), rules))
+    ops, marked = map(cut, fixes.plan(found, fixes.rule_table(spark, rules)))
+    after, applied = fixes.apply(paragraphs, ops)
+    status = fixes.outcomes(marked, applied).select("document_id", "status")
+    return after.join(status, "document_id").select(_number("document_id").alias("p_partkey"), F.trim("text").alias("fixed"), "status")
+
+
+# Prompts and answers: conversations as documents
+
+def _asked(name: str, node: str, variable: str, sections_: list[str]) -> dict:
+    return {"rule_id": name, "check_type": "semantic", "selector": {"node_type": node, "scope": "first"}, "applies_to_section": sections_, "prompt_template": f"Judge {{{variable}}}!", "prompt_vars": [variable], "message": "Ask."}
+
+
+_MODEL = "m1"
+_QUESTIONS = _rules(_asked("order", "document", "section_order", []), _asked("said", "section_text", "abstract_text", ["abstract"]), _asked("keys", "section_text", "keywords_line", ["abstract"]))
+_ROLES = {"user": "abstract", "system": "introduction", "assistant": "result"}
+_PLAIN = "trim(regexp_replace(replace(lower(txt), 'ß', 'ss'), '[ \\n]+', ' ', 'g'))"
+_PROMPTS = f"""with turns as (select conv_id, turn, text, case role when 'user' then 'abstract' when 'system' then 'introduction' else 'result' end as section from conversations),
+changes as (select *, lag(section) over (partition by conv_id order by turn) as was from turns),
+texts as (select conv_id, 'order' as rule_id, 0 as rule_seq, string_agg(section, ' -> ' order by turn) as txt, min(turn) as anchor, 'section_order' as v from changes where section is distinct from was group by conv_id union all
+  select c.conv_id, 'said', 1, t.txt, t.anchor, 'abstract_text' from (select distinct conv_id from turns) c left join (select conv_id, string_agg(text, ' ' order by turn) as txt, min(turn) as anchor from turns where section = 'abstract' group by conv_id) t using (conv_id) union all
+  select c.conv_id, 'keys', 2, t.txt, t.anchor, 'keywords_line' from (select distinct conv_id from turns) c left join (select conv_id, arg_min(text, turn) as txt, min(turn) as anchor from turns where section = 'abstract' and regexp_matches(lower(trim(text)), '^(keywords|key words|keyword)') group by conv_id) t using (conv_id)),
+asked as (select *, 'Judge ' || txt || '!' as prompt, sha256('1.0.0|' || rule_id || '|Judge {{' || v || '}}!|{_MODEL}|0.0' || coalesce('|' || {_PLAIN}, '')) as cache_key from texts)"""
+
+
+def _prompts(spark, sf_dir) -> DataFrame:
+    section = F.create_map(*(F.lit(x) for kv in _ROLES.items() for x in kv))[F.col("role")]
+    return semantic.prompts(_turns(spark, sf_dir, section), _QUESTIONS, _MODEL)
+
+
+@query(_PROMPTS + " select conv_id, rule_id, rule_seq::int as rule_seq, anchor, prompt, cache_key from asked")
+def semantic_prompts(spark, sf_dir):
+    """What rules ask of each document, and the keys under which answers are kept."""
+    return _prompts(spark, sf_dir).select(_number("document_id").alias("conv_id"), "rule_id", "rule_seq", _number("anchor").alias("anchor"), "prompt", "cache_key")
+
+
+def _oracle() -> semantic.Client:
+    """A client that answers by the length of a prompt: a violation, none, something unreadable, or a failure."""
+
+    def client(batches):
+        for b in batches:
+            n = b["prompt"].str.len()
+            answer = [f'{{"violation": {str(k % 4 == 0).lower()}, "explanation": "{k} long", "confidence": 1.0}}' if k % 4 < 2 else "no" if k % 4 == 2 else None for k in n]
+            yield b[["cache_key"]].assign(answer=answer, failure=["timeout" if k % 4 == 3 else None for k in n])
+
+    return client
+
+
+@query(_PROMPTS + """ select conv_id, rule_id, case when txt is null or length(prompt) % 4 > 1 then 'check_failed' else 'needs_review' end as status,
+case when txt is null then 'section_text_unavailable' when length(prompt) % 4 = 2 then 'bad_response' when length(prompt) % 4 = 3 then 'timeout' else '' end as failure_reason,
+case when length(prompt) % 4 = 0 then length(prompt) || ' long' end as explanation, case rule_id when 'order' then null else 'abstract' end as section from asked where txt is null or length(prompt) % 4 <> 1""")
+def semantic_verdicts(spark, sf_dir):
+    """Answers read, and what becomes of those that fail."""
+    asked = cut(_prompts(spark, sf_dir))
+    known = asked.sparkSession.createDataFrame([], "cache_key string, answer string, failure string")
+    found = semantic.violations(asked, semantic.ask(asked, _oracle(), known), _QUESTIONS)
+    return found.select(_number("document_id").alias("conv_id"), "rule_id", "status", "failure_reason", "explanation", "section")
+
+
+@query(f"select distinct sha256('1.0.0|said|Judge {{abstract_text}}!|{_MODEL}|0.0|' || {_PLAIN}) as cache_key from (select text as txt from conversations)")
+def cache_key_dedup(spark, sf_dir):
+    """Distinct prompts by what their answers depend on."""
+    key = semantic.cache_key(_QUESTIONS.by_id("said"), _QUESTIONS, _MODEL, F.col("text"))
+    return table(spark, sf_dir, "conversations").select(key.alias("cache_key")).distinct()
+
+
+# Citations: lines as paragraphs
+
+_CAPTIONED = ("RE", "ON", "AND", "ERTH")
+
+
+@query(f"""with said as (select doc_id, ord, unnest(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')) as w, generate_subscripts(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), 1) as k
+  from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ord from documents)),
+near as (select doc_id, ord, upper(w) as token, lag(w) over o as gap, lag(w, 2) over o as lead from said window o as (partition by doc_id, ord order by k))
+select doc_id, token, string_agg(distinct ord::varchar, ',' order by ord::varchar) as lines from near where lower(lead) = 'the' and regexp_matches(gap, '^[ \\t]+$') and token in {_CAPTIONED} group by doc_id, token""")
+def citations(spark, sf_dir):
+    """Lines that mention a caption's number after a word: one search of each line and an equi-join."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    paragraphs = rows.select(*shaped(schemas.PARAGRAPHS, document_id=F.col("doc_id"), ord=F.col("at") + 1, id=F.col("at") + 1, text=F.col("line"), runs=F.array()))
+    named = docs.select("doc_id", F.explode(F.array(*map(F.lit, _CAPTIONED))).alias("token"))
+    tables = named.select(*shaped(schemas.ITEMS, document_id=F.col("doc_id"), id=F.col("token"), caption_number=F.col("token")))
+    out = captions.citations(tables, paragraphs, "the").where("size(referenced_in_paragraph_ids) > 0")
+    return out.select(_number("document_id").alias("doc_id"), F.col("id").alias("token"), F.array_join(F.array_sort("referenced_in_paragraph_ids"), ",").alias("lines"))
