@@ -1,11 +1,13 @@
 """Rules to Column expressions: all rules of one node type are one scan.
 
-Each rule becomes a struct that is null where it holds; the structs of a node's rules are an array that is inlined. Run rules
-are higher-order functions over the runs of a paragraph, so no run is exploded.
+Each rule becomes an array of one hit that is null where it holds; the hits of a node's rules are one array that is inlined,
+and what they say of their rule is looked up in a constant. Run rules are higher-order functions over the
+runs of a paragraph, so no run is exploded.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,12 +22,9 @@ from galley.plans.ruleset import BODY, Condition, DeterministicRule, GalleyError
 _RUN = schemas.kinds(schemas.PARAGRAPHS, "runs")
 _PARAGRAPH = {k: v for k, v in schemas.kinds(f"{schemas.PARAGRAPHS}, {schemas.LABELS}").items()}
 _ITEM = schemas.kinds(schemas.ITEMS)
-_STRUCT = ", ".join(f.replace(" ", ": ", 1) for f in schemas.VIOLATION.split(", "))
 #: Rules that no condition can express, by id.
 SEQUENCES = {"table-numbering-sequence": "tables", "figure-numbering-sequence": "figures"}
 TABLE_TEXT = "table-text-size"
-#: Rules inlined by one expression, so that generated code stays small.
-CHUNK = 10
 
 
 def condition(c: Condition, source: Column | None, kinds: dict[str, str], lenient: bool = False) -> Column:
@@ -50,15 +49,31 @@ def selected(rule: DeterministicRule) -> Column:
     return test
 
 
-def violation(rule: DeterministicRule, seq: int, **more: Column) -> Column:
-    """A violation as a struct of the one type that all have."""
-    status = more.get("status", F.lit("open"))
-    values = {
-        "rule_id": F.lit(rule.rule_id), "rule_seq": F.lit(seq), "severity": F.lit(rule.severity), "expected": F.lit(rule.expected),
-        "auto_fixable": F.lit(rule.auto_fixable) & (status == "open"), "status": status, "message": F.lit(rule.message), "failure_reason": F.lit(""), "found": F.lit(""),
-    } | more
-    names = [f.split()[0] for f in schemas.VIOLATION.split(", ")]
-    return F.struct(*(values.get(n, F.lit(None)).alias(n) for n in names)).cast(f"struct<{_STRUCT}>")
+#: What a rule says of a node; all else follows from the rule's number and the node.
+_HIT = {"rule_seq": "int", "run_indices": "array<int>", "found": "string", "status": "string", "failure_reason": "string", "anchor": "string", "own_section": "string", "own_ord": "int"}
+
+
+def hit(seq: int, **more: Column) -> Column:
+    values = {"rule_seq": F.lit(seq), "found": F.lit(""), "status": F.lit("open"), "failure_reason": F.lit("")} | more
+    return F.struct(*((values[n] if n in values else F.lit(None).cast(kind)).alias(n) for n, kind in _HIT.items()))
+
+
+def rule_facts(rules: Sequence[tuple[int, DeterministicRule]]) -> Column:
+    """What violations say of their rule, by rule_seq: a constant that the optimizer folds."""
+    rows: list[dict | None] = [None] * (max((i for i, _ in rules), default=0) + 1)
+    for i, r in rules:
+        rows[i] = {"rule_id": r.rule_id, "severity": r.severity, "expected": r.expected, "fixable": r.auto_fixable, "message": r.message}
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<rule_id:string,severity:string,expected:string,fixable:boolean,message:string>>")
+    return F.get(table, F.col("rule_seq"))
+
+
+def violations(hits: DataFrame, rules: Sequence[tuple[int, DeterministicRule]], **node: Column) -> DataFrame:
+    """Hits with all columns of violations; node: what the scanned node gives."""
+    hits = hits.withColumn("rule", rule_facts(rules))
+    facts = {n: F.col(f"rule.{n}") for n in ("rule_id", "severity", "expected", "message")}
+    values = facts | {"auto_fixable": F.col("rule.fixable") & (F.col("status") == "open"), "anchor_paragraph_id": F.col("anchor")} | node
+    own = (values.get(n, F.col(n) if n in hits.columns else F.lit(None)).cast(kind).alias(n) for n, kind in schemas.kinds(schemas.VIOLATION).items())
+    return hits.select("document_id", *own)
 
 
 def shown(attribute: str, value: Column, kind: str) -> Column:
@@ -82,53 +97,58 @@ def _failing_runs(rule: DeterministicRule, visible_only: bool) -> Column:
     return F.when(F.get(failing, F.lit(0)) == F.get(every, F.lit(0)), F.slice(failing, 1, 1))
 
 
+def _runs_hit(seq: int, failing: Column, name: str) -> Column:
+    """The indices are bound by a lambda, so that their expression stands in the plan once."""
+
+    def said(indices: Column) -> Column:
+        first = F.get(F.col("runs"), F.get(indices, F.lit(0)))[name]
+        return F.when(F.coalesce(F.size(indices), F.lit(0)) > 0, hit(seq, run_indices=indices, found=shown(name, first, _RUN[name])))
+
+    return F.transform(F.array(failing), said)
+
+
 def run_rule(rule: DeterministicRule, seq: int) -> Column:
-    failing, name = _failing_runs(rule, True), rule.condition.attribute
-    first = F.get(F.col("runs"), F.get(failing, F.lit(0)))[name]
-    row = violation(rule, seq, section=F.col("section"), paragraph_id=F.col("id"), node_ord=F.col("ord"), run_indices=failing, found=shown(name, first, _RUN[name]))
-    return F.when(selected(rule) & (F.coalesce(F.size(failing), F.lit(0)) > 0), row)
+    return _runs_hit(seq, F.when(selected(rule), _failing_runs(rule, True)), rule.condition.attribute)
 
 
 def paragraph_rule(rule: DeterministicRule, seq: int) -> Column:
     name = rule.condition.attribute
-    row = violation(rule, seq, section=F.col("section"), paragraph_id=F.col("id"), node_ord=F.col("ord"), found=shown(name, F.col(name), _PARAGRAPH[name]))
-    return F.when(selected(rule) & ~condition(rule.condition, None, _PARAGRAPH), row)
+    row = hit(seq, found=shown(name, F.col(name), _PARAGRAPH[name]))
+    return F.array(F.when(selected(rule) & ~condition(rule.condition, None, _PARAGRAPH), row))
 
 
 def table_text_rule(rule: DeterministicRule, seq: int) -> Column:
     """Cells of tables, blank runs included."""
-    failing, name = _failing_runs(rule, False), rule.condition.attribute
-    first = F.get(F.col("runs"), F.get(failing, F.lit(0)))[name]
-    row = violation(rule, seq, section=F.lit("result"), paragraph_id=F.col("id"), node_ord=F.col("ord"), run_indices=failing,
-                    found=shown(name, first, _RUN[name]), details=F.create_map(F.lit("table_id"), F.col("in_table")))
-    return F.when(F.col("in_table").isNotNull() & (F.size(failing) > 0), row)
+    return _runs_hit(seq, F.when(F.col("in_table").isNotNull(), _failing_runs(rule, False)), rule.condition.attribute)
 
 
 def item_rule(rule: DeterministicRule, seq: int) -> Column:
     name = rule.condition.attribute
-    more = {"section": F.lit("result"), "paragraph_id": F.col("caption_paragraph_id"), "node_ord": F.col("ord"), "details": F.create_map(F.lit("id"), F.col("id"))}
     if rule.rule_id in SEQUENCES:
         right = N.numeral_value(F.col("caption_number"), F.col("numbering_style")).eqNullSafe(F.col("position"))
         found = F.concat(F.lit("caption_number == "), T.python_repr(F.col("caption_number"), "string"), F.lit(" (position "), F.col("position").cast("string"), F.lit(")"))
-        return F.when(F.col("caption_number").isNotNull() & ~right, violation(rule, seq, found=found, **more))
-    return F.when(~condition(rule.condition, None, _ITEM), violation(rule, seq, found=shown(name, F.col(name), _ITEM[name]), **more))
+        return F.array(F.when(F.col("caption_number").isNotNull() & ~right, hit(seq, found=found)))
+    return F.array(F.when(~condition(rule.condition, None, _ITEM), hit(seq, found=shown(name, F.col(name), _ITEM[name]))))
 
 
 def section_text_rule(rule: DeterministicRule, seq: int, own: Column) -> Column:
     """own: the paragraphs of a document that the rule selects, in order, read as one text."""
-    text, head = F.array_join(F.transform(own, lambda x: x["text"]), " "), F.get(own, F.lit(0))
-    section = F.lit(rule.applies_to_section[0]) if rule.applies_to_section else head["section"]
-    row = violation(rule, seq, section=section, anchor_paragraph_id=head["id"], node_ord=head["ord"], found=shown("text", text, "string"))
     c = rule.condition
     if c.attribute != "text":
         raise GalleyError(f"no attribute {c.attribute!r}")
-    return F.when((F.size(own) > 0) & ~predicate(c.operator, text, c.value, "string"), row)
 
+    def said(rows: Column) -> Column:
+        text, head = F.array_join(F.transform(rows, lambda x: x["text"]), " "), F.get(rows, F.lit(0))
+        section = F.lit(rule.applies_to_section[0]) if rule.applies_to_section else head["section"]
+        row = hit(seq, own_section=section, anchor=head["id"], own_ord=head["ord"], found=shown("text", text, "string"))
+        return F.when((F.size(rows) > 0) & ~predicate(c.operator, text, c.value, "string"), row)
+
+    return F.transform(F.array(own), said)
 
-def inlined(frame: DataFrame, structs: Sequence[Column]) -> DataFrame:
-    """A row for each struct that isn't null: document_id and the violation's columns. One select, whatever their number."""
-    parts = [F.array_compact(F.array(*structs[i : i + CHUNK])) for i in range(0, len(structs), CHUNK)]
-    return frame.select("document_id", F.inline(F.concat(*parts)))
+
+def inlined(frame: DataFrame, hits: Sequence[Column], *keep: str) -> DataFrame:
+    """A row for each hit in arrays of hits, with the columns kept. One select, whatever their number."""
+    return frame.select("document_id", *keep, F.inline(F.array_compact(F.concat(*hits))))
 
 
 def _degraded(rule: DeterministicRule) -> tuple[Column, Column]:
@@ -143,6 +163,12 @@ def _degraded(rule: DeterministicRule) -> tuple[Column, Column]:
     return F.coalesce(touches | gone, F.lit(False)), reason
 
 
+def _unchecked(rule: DeterministicRule, seq: int) -> Column:
+    """What stands for a rule that a document's segmentation doesn't let it check."""
+    status = F.lit("open" if rule.on_missing_section == "violation" else "check_failed")
+    return F.transform(F.array(_degraded(rule)[1]), lambda x: F.when(x.isNotNull(), hit(seq, status=status, failure_reason=x, found=x)))
+
+
 def validate(paragraphs: DataFrame, items: dict[str, DataFrame], segmentation: DataFrame, ruleset: Ruleset) -> DataFrame:
     """Violations of the deterministic rules in labelled documents.
 
@@ -155,21 +181,27 @@ def validate(paragraphs: DataFrame, items: dict[str, DataFrame], segmentation: D
     gates = state.select("document_id", off)
     out: list[DataFrame] = []
 
+    cells = [i for i, r in rules if r.rule_id == TABLE_TEXT]
     per_paragraph = [run_rule(r, i) for i, r in rules if r.selector.node_type == "run"]
     per_paragraph += [paragraph_rule(r, i) for i, r in rules if r.selector.node_type == "paragraph"]
-    per_paragraph += [table_text_rule(r, i) for i, r in rules if r.rule_id == TABLE_TEXT]
+    per_paragraph += [table_text_rule(r, i) for i, r in rules if i in cells]
     if per_paragraph:
-        out.append(inlined(paragraphs, per_paragraph))
+        in_cell = F.col("rule_seq").isin(cells)
+        details = F.when(in_cell, F.create_map(F.lit("table_id"), F.col("in_table")))
+        hits = inlined(paragraphs, per_paragraph, "section", "id", "ord", "in_table")
+        out.append(violations(hits, rules, section=F.when(in_cell, "result").otherwise(F.col("section")), paragraph_id=F.col("id"), node_ord=F.col("ord"), details=details))
     for kind in ("table", "figure"):
-        own = [item_rule(r, i) for i, r in rules if r.selector.node_type == kind and r.rule_id != TABLE_TEXT]
+        own = [item_rule(r, i) for i, r in rules if r.selector.node_type == kind and i not in cells]
         if own:
-            out.append(inlined(items[f"{kind}s"], own))
+            hits = inlined(items[f"{kind}s"], own, "caption_paragraph_id", "ord", "id")
+            out.append(violations(hits, rules, section=F.lit("result"), paragraph_id=F.col("caption_paragraph_id"), node_ord=F.col("ord"), details=F.create_map(F.lit("id"), F.col("id"))))
 
     texts = [(i, r) for i, r in rules if r.selector.node_type == "section_text"]
     part = F.struct("ord", "text", "id", "section")
     whole = paragraphs.groupBy("document_id").agg(F.min_by("id", "ord").alias("first_id"), *(F.array_sort(F.collect_list(F.when(selected(r), part))).alias(f"own{i}") for i, r in texts))
     if texts:
-        out.append(inlined(whole, [section_text_rule(r, i, F.col(f"own{i}")) for i, r in texts]))
+        hits = inlined(whole, [section_text_rule(r, i, F.col(f"own{i}")) for i, r in texts])
+        out.append(violations(hits, rules, section=F.col("own_section"), node_ord=F.col("own_ord")))
     found = None
     for p in out:
         found = p if found is None else found.unionByName(p)
@@ -178,14 +210,11 @@ def validate(paragraphs: DataFrame, items: dict[str, DataFrame], segmentation: D
 
     checks = []
     for i, r in rules:
-        reason = _degraded(r)[1]
-        status = "open" if r.on_missing_section == "violation" else "check_failed"
-        failed = F.when(reason.isNotNull(), violation(r, i, status=F.lit(status), failure_reason=reason, found=reason))
+        failed = _unchecked(r, i)
         if r.selector.node_type == "document" and r.condition.attribute.startswith("section:"):
             name = r.condition.attribute.removeprefix("section:")
-            row = violation(r, i, anchor_paragraph_id=F.col("first_id"), found=F.lit(f"section '{name}' not found"))
-            failed = F.coalesce(failed, F.when(F.array_contains("missing", name), row))
+            failed = F.array(F.when(F.array_contains("missing", name), hit(i, anchor=F.col("first_id"), found=F.lit(f"section '{name}' not found"))))
         checks.append(failed)
-    nothing = F.lit(None).cast(f"struct<{_STRUCT}>")
-    judged = inlined(state.join(whole.select("document_id", "first_id"), "document_id", "left"), checks or [nothing])
+    nothing = F.array(F.when(F.lit(False), hit(-1)))
+    judged = violations(inlined(state.join(whole.select("document_id", "first_id"), "document_id", "left"), checks or [nothing]), rules)
     return judged if found is None else found.unionByName(judged)
