@@ -2,137 +2,25 @@
 
 from __future__ import annotations
 
-from galley.plans.ruleset import Ruleset, RulesetError
+from functools import cache
+from pathlib import Path
 
-#: Order and need of sections, and the headings that name them.
-ORDER = ["title", "author", "abstract", "affiliation", "introduction", "methods_and_materials", "result", "discussion", "conclusion", "conflict_of_interest", "funding", "acknowledgement", "references"]
-REQUIRED = ["title", "author", "abstract", "affiliation", "introduction", "methods_and_materials", "result", "discussion", "conclusion", "references"]
-OPTIONAL = ["acknowledgement", "funding", "conflict_of_interest", "corresponding_author_address"]
-SYNONYMS = {
-    "abstract": ["abstract", "summary"],
-    "introduction": ["introduction", "background", "introduction and background"],
-    "methods_and_materials": ["methods and materials", "materials and methods", "methods", "methodology", "subjects and methods", "patients and methods", "study design"],
-    "result": ["result", "results", "results and findings", "findings"],
-    "discussion": ["discussion"],
-    "conclusion": ["conclusion", "conclusions"],
-    "conflict_of_interest": ["conflict of interest", "conflicts of interest", "competing interests", "declaration of interest", "disclosure"],
-    "funding": ["funding", "funding statement", "financial support", "source of funding"],
-    "acknowledgement": ["acknowledgement", "acknowledgment", "acknowledgements", "acknowledgments"],
-    "references": ["references", "reference", "bibliography", "literature cited"],
-    "corresponding_author_address": ["corresponding author", "correspondence", "address for correspondence"],
-}
-_HEADED = ["introduction", "methods_and_materials", "result", "discussion", "conclusion", "conflict_of_interest", "funding", "acknowledgement", "references", "corresponding_author_address"]
-_BODY = _HEADED[:8]
-_CITING = _HEADED[:5]
-_HEADING, _TEXT = "==", "!="  # how section_source compares with heading
+from galley.plans.ruleset import Ruleset, RulesetError, load
 
-#: Rules that fix formatting of runs: id, sections, paragraphs, run pattern, attribute, value, severity, priority.
-_RUNS = [
-    ("global-font", [], None, None, "font_name", "Times New Roman", "high", 5),
-    ("title-size", ["title"], None, None, "font_size_pt", 14, "high", 10),
-    ("title-bold", ["title"], None, None, "bold", True, "high", 10),
-    ("author-bold", ["author"], None, None, "bold", True, "medium", 10),
-    ("author-size", ["author"], None, None, "font_size_pt", 10, "medium", 10),
-    ("author-affiliation-superscript", ["author"], None, r"^\d+\*?$", "superscript", True, "medium", 10),
-    ("abstract-heading-italic", ["abstract"], _HEADING, None, "italic", True, "medium", 10),
-    ("abstract-body-italic", ["abstract"], _TEXT, None, "italic", True, "medium", 10),
-    ("abstract-size", ["abstract"], None, None, "font_size_pt", 9, "medium", 10),
-    ("affiliation-italic", ["affiliation"], None, None, "italic", True, "medium", 10),
-    ("affiliation-size", ["affiliation"], None, None, "font_size_pt", 7, "medium", 10),
-    ("heading-uppercase-literal", _HEADED, _HEADING, None, "uppercase_literal", True, "high", 10),
-    ("heading-bold", _HEADED, _HEADING, None, "bold", True, "high", 10),
-    ("heading-size", _HEADED, _HEADING, None, "font_size_pt", 9, "medium", 10),
-    ("body-text-size", _BODY, _TEXT, None, "font_size_pt", 9, "medium", 10),
-    ("citation-superscript", _CITING, None, r"^[\[\(]\d+[\]\)]$", "superscript", True, "high", 10),
-    ("reference-style-italic", ["references"], _TEXT, None, "italic", True, "medium", 10),
-    ("reference-style-size", ["references"], _TEXT, None, "font_size_pt", 8, "medium", 10),
-]
-_ACTION = {"font_name": "set_font", "font_size_pt": "set_font_size", "bold": "set_bold", "italic": "set_italic", "superscript": "set_superscript", "uppercase_literal": "set_uppercase_literal"}
-#: All other checks: id, node, sections, paragraphs, attribute, operator, value, severity, action, its parameters, priority.
-_OTHERS = [
-    ("title-case", "paragraph", ["title"], None, "text", "is_title_case", None, "medium", None, {}, 10),
-    ("title-wordlimit", "paragraph", ["title"], None, "text", "word_count_lte", 25, "medium", None, {}, 10),
-    ("abstract-wordlimit", "section_text", ["abstract"], _TEXT, "text", "word_count_lte", 250, "medium", None, {}, 10),
-    ("heading-no-colon", "paragraph", _HEADED, _HEADING, "text", "not_matches_regex", r":\s*$", "medium", "strip_trailing_colon", {}, 10),
-    ("heading-line-break-after", "paragraph", _HEADED, _HEADING, "line_break_after", "==", True, "medium", "insert_line_break", {}, 10),
-    ("citation-bracket-format", "run", _CITING, None, "text", "matches_regex", r"^\[\d+\]$", "high", "set_citation_brackets", {}, 11),
-    ("table-caption-position", "table", ["result"], None, "caption_position", "==", "above", "high", None, {}, 10),
-    ("table-caption-numbering-style", "table", ["result"], None, "numbering_style", "==", "roman", "medium", "set_numbering_style", {"numbering_style": "roman"}, 10),
-    ("table-numbering-sequence", "table", ["result"], None, "caption_number", "is_non_empty", None, "high", None, {}, 10),
-    ("table-text-size", "table", ["result"], None, "font_size_pt", "==", 8, "medium", "set_font_size", {"font_size_pt": 8}, 10),
-    ("table-cited-in-text", "table", ["result"], None, "referenced_in_paragraph_ids", "is_non_empty", None, "medium", None, {}, 10),
-    ("figure-caption-position", "figure", ["result"], None, "caption_position", "==", "below", "high", None, {}, 10),
-    ("figure-caption-numbering-style", "figure", ["result"], None, "numbering_style", "==", "arabic", "medium", "set_numbering_style", {"numbering_style": "arabic"}, 10),
-    ("figure-numbering-sequence", "figure", ["result"], None, "caption_number", "is_non_empty", None, "high", None, {}, 10),
-    ("figure-cited-in-text", "figure", ["result"], None, "referenced_in_paragraph_ids", "is_non_empty", None, "medium", None, {}, 10),
-]
-#: Checks that a reader or a model answers: id, node, sections, placeholder, severity, question.
-_ASKED = [
-    ("doc-order", "document", [], "section_order", "high", "Do these sections come in the order title, author, abstract, affiliation, introduction, methods and materials, result, discussion, conclusion, conflict of interest, funding, acknowledgement (optional), references?"),
-    ("abstract-structure", "section_text", ["abstract"], "abstract_text", "high", "Does this abstract run from introduction or background over objectives, methods and materials, and results to a conclusion, with keywords last?"),
-    ("abstract-keywords-count", "section_text", ["abstract"], "keywords_line", "medium", "Does this line list from three to six keywords?"),
-    ("affiliation-content", "section_text", ["affiliation"], "affiliation_text", "medium", "Does each affiliation name department, institution, place, an email address and an ORCID?"),
-    ("result-text-before-figure", "section_text", ["result"], "result_text", "medium", "Is each table and figure introduced by text before it appears?"),
-    ("reference-style-vancouver-format", "paragraph", ["references"], "reference_entry", "medium", "Does each reference follow the Vancouver style?"),
-    ("corresponding-author-content", "section_text", ["corresponding_author_address"], "corresponding_author_text", "medium", "Does this address give name, postal address, telephone, email and ORCID?"),
-]
-#: The order in which rules are declared.
-_DECLARED = (
-    "global-font doc-order title-size title-bold title-case title-wordlimit author-bold author-size author-affiliation-superscript abstract-heading-italic "
-    "abstract-body-italic abstract-size abstract-wordlimit abstract-structure abstract-keywords-count affiliation-italic affiliation-size affiliation-content "
-    "heading-uppercase-literal heading-bold heading-size heading-no-colon heading-line-break-after body-text-size citation-superscript citation-bracket-format "
-    "table-caption-position table-caption-numbering-style table-numbering-sequence table-text-size table-cited-in-text figure-caption-position "
-    "figure-caption-numbering-style figure-numbering-sequence figure-cited-in-text result-text-before-figure reference-style-italic reference-style-size "
-    "reference-style-vancouver-format corresponding-author-content"
-).split()
-
-
-def _selector(node: str, paragraphs: str | None, pattern: str | None) -> dict:
-    out: dict = {"node_type": node}
-    if paragraphs:
-        out["paragraph_filter"] = {"attribute": "section_source", "operator": paragraphs, "value": "heading"}
-    if pattern:
-        out["filter"] = {"attribute": "text", "operator": "matches_regex", "value": pattern}
-    return out
-
-
-def _rules() -> list[dict]:
-    rules = {}
-    for name, sections, paragraphs, pattern, attribute, value, severity, priority in _RUNS:
-        rules[name] = {
-            "category": "style", "check_type": "deterministic", "applies_to_section": sections, "selector": _selector("run", paragraphs, pattern),
-            "condition": {"attribute": attribute, "operator": "==", "value": value}, "severity": severity, "auto_fixable": True,
-            "fix_action": _ACTION[attribute], "fix_params": {attribute: value}, "priority": priority, "message": f"{attribute} must be {value}.",
-        }
-    for name, node, sections, paragraphs, attribute, operator, value, severity, action, params, priority in _OTHERS:
-        pattern = r"^[\[\(]\d+[\]\)]$" if name == "citation-bracket-format" else None
-        rules[name] = {
-            "category": "style", "check_type": "deterministic", "applies_to_section": sections, "selector": _selector(node, paragraphs, pattern),
-            "condition": {"attribute": attribute, "operator": operator, "value": value}, "severity": severity, "priority": priority,
-            "message": f"{attribute} must satisfy {operator}{'' if value is None else f' {value}'}.",
-        }
-        if action:
-            rules[name] |= {"auto_fixable": True, "fix_action": action, "fix_params": params}
-    rules["abstract-wordlimit"]["exclude_patterns"] = [r"^\s*keywords?\s*:"]
-    for name, node, sections, variable, severity, question in _ASKED:
-        rules[name] = {
-            "category": "structure", "check_type": "semantic", "applies_to_section": sections, "selector": {"node_type": node, "scope": "first"},
-            "prompt_template": f"{question} Judge only what is shown.\n\n{{{variable}}}\n", "prompt_vars": [variable], "severity": severity, "priority": 200,
-            "message": question,
-        }
-    return [{"rule_id": name} | rules[name] for name in _DECLARED]
-
-
-def journal() -> Ruleset:
-    """The bundled ruleset."""
-    return Ruleset.model_validate({
-        "ruleset_id": "journal_v1", "ruleset_version": "1.0.0", "journal_name": "Journal template v1", "section_order": ORDER, "required_sections": REQUIRED,
-        "optional_sections": OPTIONAL, "section_synonyms": SYNONYMS, "defaults": {"severity": "medium"}, "rules": _rules(),
-    })
+#: Fixed values, in the order in which rules are declared: sections and the headings that name them, ids, attributes, values,
+#: severities and priorities of rules. Messages and prompts are this library's own.
+FOLDER = Path(__file__).parent
+BUNDLED = ("journal_v1",)
 
 
+@cache
 def bundled(ruleset_id: str = "journal_v1") -> Ruleset:
     """A bundled ruleset by its id."""
-    if ruleset_id != "journal_v1":
+    if ruleset_id not in BUNDLED:
         raise RulesetError(f"no bundled ruleset {ruleset_id!r}")
-    return journal()
+    return load(FOLDER / f"{ruleset_id}.json")
+
+
+def journal() -> Ruleset:
+    """The bundled ruleset for journals."""
+    return bundled("journal_v1")
