@@ -5,36 +5,45 @@ from __future__ import annotations
 import argparse
 import sys
 from datetime import UTC, datetime
-from pathlib import PurePosixPath
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.operators import fixes, reports
 from galley.plans import journal, manuscripts, ruleset
-from galley.sources import ooxml, revisions, writeback
+from galley.sources import files, ooxml, revisions, writeback
 
 
 def validate(spark: SparkSession, source: str, out: str, rules: ruleset.Ruleset, semantic: bool, fix: bool) -> int:
-    """Check all files at a path; returns the exit code: 0 nothing open, 1 something, 2 of high severity, 3 unreadable."""
+    """Check all files at a path and write the five outputs of each; returns the exit code: 0 nothing open, 1 something, 2 of
+    high severity, 3 if a file could not be read. Such files are listed in errors.json, all others are checked."""
     docs = manuscripts.cut(ooxml.documents(spark, source).dropDuplicates(["document_id"]))
     paragraphs, blocks, errors = map(manuscripts.cut, ooxml.read(docs))
-    if not errors.isEmpty() or docs.isEmpty():
+    listed = F.concat(F.lit('{"errors":['), F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct("path", "error")))), ","), F.lit("]}"))
+    unreadable = not errors.isEmpty()
+    if unreadable:
+        files.write_files(errors.agg(listed.alias("content")).withColumn("name", F.lit("errors.json")), out)
+        docs = docs.join(errors.select("document_id"), "document_id", "left_anti")
+    if docs.isEmpty():
         return 3
     state = manuscripts.check(paragraphs, blocks, rules)
     if semantic:
         state = manuscripts.ask(state, rules)
     stamp = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     after, outcome, applied = manuscripts.fix(state, rules) if fix else (paragraphs, state.violations, None)
-    names = docs.select("document_id", reports.output_names(F.col("path"))["report"].alias("name"))
-    manuscripts.report(state, outcome, rules, stamp).join(names, "document_id").write.mode("overwrite").json(str(PurePosixPath(out) / "reports"))
+
+    def written(kind: str, frame: DataFrame, content: str = "content") -> None:
+        names = docs.select("document_id", reports.output_names(F.col("path"))[kind].alias("name"))
+        files.write_files(files.unique_names(frame.join(names, "document_id")).select("name", F.col(content).alias("content")), out)
+
+    written("report", manuscripts.report(state, outcome, rules, stamp), "report")
     if applied is not None:
-        fixes.audit(applied, stamp).write.mode("overwrite").json(str(PurePosixPath(out) / "audit"))
-        writeback.corrected(docs, paragraphs, after).write.mode("overwrite").parquet(str(PurePosixPath(out) / "corrected"))
-        revisions.redlined(docs, writeback.changes(paragraphs, after), stamp).write.mode("overwrite").parquet(str(PurePosixPath(out) / "redline"))
-    revisions.annotated(docs, reports.comments(outcome), stamp).write.mode("overwrite").parquet(str(PurePosixPath(out) / "annotated"))
+        written("audit", fixes.audit_files(fixes.audit(applied, stamp)), "audit")
+        written("corrected", writeback.corrected(docs, paragraphs, after))
+        written("redline", revisions.redlined(docs, writeback.changes(paragraphs, after), stamp))
+    written("annotated", revisions.annotated(docs, reports.comments(outcome), stamp))
     worst = reports.exit_code(outcome).agg(F.max("exit_code")).first()[0]
-    return int(worst or 0)
+    return 3 if unreadable else int(worst or 0)
 
 
 def main(argv: list[str] | None = None) -> int:

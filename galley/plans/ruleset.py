@@ -176,4 +176,18 @@ def load(path: str | Path) -> Ruleset:
         text = Path(path).read_text(encoding="utf-8")
     except OSError as e:
         raise RulesetError(f"{path}: {e.strerror}") from e
-    return parse(text, str(path))
+    return _with_prompts(parse(text, str(path)), Path(path).parent)
+
+
+def _with_prompts(ruleset: Ruleset, folder: Path) -> Ruleset:
+    """Prompt files, which lie beside the ruleset, read into their rules."""
+    rules = []
+    for rule in ruleset.rules:
+        if isinstance(rule, SemanticRule) and rule.prompt_file is not None:
+            try:
+                text = (folder / rule.prompt_file).read_text(encoding="utf-8")
+            except OSError as e:
+                raise RulesetError(f"rule {rule.rule_id}, prompt_file: {folder / rule.prompt_file}: {e.strerror}") from e
+            rule = rule.model_copy(update={"prompt_template": text, "prompt_file": None})
+        rules.append(rule)
+    return ruleset.model_copy(update={"rules": tuple(rules)})

@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -106,14 +107,34 @@ def test_unreadable_file_is_an_error_row(spark, tmp_path):
 def test_command_line(spark, folder, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/one.docx").write_bytes((folder / "title-size.docx").read_bytes())
+    (tmp_path / "in/bad.docx").write_bytes(b"no zip")
     out = tmp_path / "out"
-    assert cli.validate(spark, str(tmp_path / "in"), str(out), journal(), False, True) == 0
-    (report,) = spark.read.json(str(out / "reports")).collect()
-    assert report.name == "one.report.json" and '"auto_fixed":1' in report.report
-    assert spark.read.json(str(out / "audit")).count() == 1
+    assert cli.validate(spark, str(tmp_path / "in"), str(out), journal(), False, True) == 3
+    assert json.loads((out / "errors.json").read_text())["errors"][0]["path"].endswith("bad.docx")
+    assert json.loads((out / "one.report.json").read_text())["summary"]["auto_fixed"] == 1
+    (entry,) = json.loads((out / "one.audit.json").read_text())["entries"]
+    assert entry["rule_id"] == "title-size" and entry["before"]["font_size_pt"] == 11.0 and entry["after"]["font_size_pt"] == 14.0
     for kind in ("corrected", "redline", "annotated"):
-        (row,) = spark.read.parquet(str(out / kind)).collect()
-        assert ooxml.parse(bytes(row.content))[0][0]["runs"][0]["font_size_pt"] == (11.0 if kind == "annotated" else 14.0)
+        assert ooxml.parse((out / f"one.{kind}.docx").read_bytes())[0][0]["runs"][0]["font_size_pt"] == (11.0 if kind == "annotated" else 14.0)
+    assert sorted(p.name for p in out.iterdir() if not p.name.startswith(".")) == ["errors.json", "one.annotated.docx", "one.audit.json", "one.corrected.docx", "one.redline.docx", "one.report.json"]
+
+
+def test_capitals_and_lone_breaks_are_written():
+    content = as_docx(Manuscript())
+    new = writeback.patch(content, {"p0001": [{"all_caps_property": False, "text": "X"}]})
+    assert b'caps w:val="0"' in zipfile.ZipFile(io.BytesIO(new)).read("word/document.xml")
+    assert not ooxml.parse(new)[0][0]["runs"][0]["all_caps_property"]
+
+
+def test_prompt_files(tmp_path):
+    from galley.plans import ruleset
+
+    rule = {"rule_id": "r", "check_type": "semantic", "prompt_file": "ask.txt", "prompt_vars": ["x"]}
+    (tmp_path / "rules.json").write_text(json.dumps({"ruleset_id": "a", "ruleset_version": "1", "rules": [rule]}))
+    with pytest.raises(ruleset.RulesetError, match="rule r, prompt_file"):
+        ruleset.load(tmp_path / "rules.json")
+    (tmp_path / "ask.txt").write_text("Judge {x}")
+    assert ruleset.load(tmp_path / "rules.json").rules[0].prompt_template == "Judge {x}"
 
 
 def test_folder_is_watched(spark, folder, tmp_path):
