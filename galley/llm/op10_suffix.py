@@ -18,8 +18,13 @@ A string of LENGTH bytes that starts in two places is found where both places me
 
 Hashes of 128 bits stand for equal contexts; repeats within a group are compared byte by byte.
 
+Passages of WORDS words and more can be shorter than LENGTH bytes, and then no byte of theirs goes. Documents that lose nothing
+but share such a passage with another document are marked (repeats) by the same anchors over words: runs of windows of
+WORDS words, those anchors kept that two documents have and one of them that loses nothing, then the windows themselves,
+counted by a hash of 128 bits with partial sums.
+
 Defined cases: a null text is empty; nothing under LENGTH bytes can repeat. Rows that are equal in doc_id and text count as
-two documents, so both are removed if long enough. A null doc_id is a document like any other. Extra columns are ignored.
+two documents, so both are removed if long enough; for passages of words they are one. A null doc_id is a document like any other. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +43,10 @@ from galley.llm.scratch import Scratch
 
 #: Bytes of a string that counts as repeated, and of an anchor.
 LENGTH, GRAM = 400, 64
+#: Words of a passage that marks a document although it is short in bytes, and of its anchor.
+WORDS, WORD_GRAM = 51, 8
+#: Words worked on at once; a longer text is cut into overlapping pieces.
+WORD_PIECE = 1 << 20
 #: Different contexts of an anchor that one task gathers.
 GROUP = 20_000
 #: Bytes of text hashed at once; longer texts are cut into overlapping pieces.
@@ -48,6 +57,7 @@ _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
 _tables: dict[str, np.ndarray] = {}
+_WORD = tb.table_of(set(range(256)) - {0x20, *range(0x09, 0x0E)})
 
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
@@ -117,6 +127,47 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), *own, *(pa.array((x - base).astype(np.int64)) for x in (place, first, last))], names)
 
 
+def _word_pieces(at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first word, word after the last, words before each text) of a slice's words."""
+    if at[-1] <= WORD_PIECE:
+        yield 0, int(at[-1]), at
+    else:
+        for i in range(len(at) - 1):
+            for a in range(int(at[i]), max(int(at[i]) + 1, int(at[i + 1]) - WORDS + 1), WORD_PIECE):
+                b = min(int(at[i + 1]), a + WORD_PIECE + WORDS - 1)
+                yield a, b, np.r_[np.zeros(i + 1, np.int64), np.full(len(at) - 1 - i, b - a)]
+
+
+def _find_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of passages of words; (first, last) are windows by the number of their first word in the text."""
+    names = ["anchor", "id", "version", "first", "last"]
+    for batch in batches:
+        for i, _, data, offsets in tb.slices(batch.column("text")):
+            starts, ends, at = tb.words(data, offsets, _WORD)
+            word = tb.hashes(data, starts, ends)
+            for a, b, own in _word_pieces(at):
+                grams, place, first, last = anchors(word[a:b], own, WORDS, WORD_GRAM)
+                if not len(place):
+                    continue
+                row = np.searchsorted(own, place, "right") - 1
+                base = at[row] - a
+                turn = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])])  # repeated words make runs with one anchor
+                ahead = np.r_[turn[1:], len(row)] - 1
+                columns = [batch.column(c).take(pa.array(row[turn] + i)) for c in ("id", "version")]
+                runs = [(first - base)[turn], (last - base)[ahead]]
+                yield pa.RecordBatch.from_arrays([pa.array(tb.mix(grams[turn]).view(np.int64)), *columns, *(pa.array(x.astype(np.int32)) for x in runs)], names)
+
+
+def _word_windows(raw: bytes, runs: list[dict]) -> list[dict]:
+    """Hashes of a text's windows of words in the runs given."""
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends, _ = tb.words(data, np.array([0, len(data)]), _WORD)
+    word = tb.hashes(data, starts, ends)
+    one, two = gram_hashes(word, WORDS), gram_hashes(tb.mix(word + np.uint64(7)), WORDS)
+    at = np.unique(np.concatenate([np.arange(x["first"], x["last"] + 1) for x in runs]))
+    return [{"w1": a, "w2": b} for a, b in set(zip(one[at].view(np.int64).tolist(), two[at].view(np.int64).tolist(), strict=True))]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts of repeated anchors; the bytes only where a task meets them first."""
     seen: set[bytes] = set()
@@ -250,10 +301,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+    names = ["id", "version", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "windows"]
+    window = pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())]))
     for batch in batches:
-        size, gone, n, sha, where = [], [], [], [], []
-        for text, own in zip(batch.column("text"), batch.column("spans"), strict=True):
+        size, gone, n, sha, where, windows = [], [], [], [], [], []
+        for text, own, runs in zip(batch.column("text"), batch.column("spans"), batch.column("runs"), strict=True):
             raw = text.as_py().encode()
             spans = _covered([(x["begin"], x["end"]) for x in own.as_py() or ()])
             kept, at = [], 0
@@ -262,9 +314,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = b
             kept.append(raw[at:])
             left = b"".join(kept)
-            for held, value in zip((size, gone, n, sha, where), (len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), ",".join(f"{a}:{b}" for a, b in spans)), strict=True):
+            words = runs.as_py()
+            row = len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), ",".join(f"{a}:{b}" for a, b in spans), _word_windows(raw, words) if words else None
+            for held, value in zip((size, gone, n, sha, where, windows), row, strict=True):
                 held.append(value)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, n)), pa.array(sha, pa.string()), pa.array(where, pa.string())], names)
+        whole = [pa.array(x, pa.int64()) for x in (size, gone, n)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *whole, pa.array(sha, pa.string()), pa.array(where, pa.string()), pa.array(windows, window)], names)
 
 
 def _by_windows(contexts: DataFrame, key: list[str]) -> DataFrame:
@@ -302,15 +357,35 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, group: int = GROUP) -> Dat
     return whole.union(parts)
 
 
+def word_runs(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, version, runs): runs of windows of words of documents (id, version, text) whose anchor another document has, if
+    one of those documents has no span."""
+    key = ["id", "version"]
+    found = scratch.table(docs.mapInArrow(_find_words, "anchor long, id long, version long, first int, last int"))
+    found_at = scratch.path()
+    both = found.groupBy("anchor").agg(F.min(F.struct(*key)).alias("one"), F.max(F.struct(*key)).alias("other")).where("one <> other").select("anchor")
+    met = scratch.table(found.join(both, "anchor", "left_semi"))
+    scratch.drop(found_at)
+    live = met.join(spans.select(*key).distinct(), key, "left_anti").select("anchor").distinct()
+    return met.join(live, "anchor", "left_semi").groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+
+
 def without_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of documents (doc_id, text)."""
-    scratch = Scratch(docs.sparkSession)
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats, spans) of documents (doc_id, text)."""
+    scratch, key = Scratch(docs.sparkSession), ["id", "version"]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("version"), "text")
-    spans = repeated_spans(docs.select("id", "version", "text"), scratch, group)
-    spans = spans.groupBy("id", "version").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    joined = docs.join(spans, ["id", "version"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
+    bare = docs.select(*key, "text")
+    spans = repeated_spans(bare, scratch, group).groupBy(*key).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    spans = scratch.table(spans)
+    joined = docs.join(spans, key, "left").join(word_runs(bare, spans, scratch), key, "left").select("doc_id", *key, "text", "spans", "runs")
+    fields = "id long, version long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, windows array<struct<w1:long,w2:long>>"
+    cut = scratch.table(joined.mapInArrow(_cut, fields))
+    windows = cut.where("windows is not null").select(*key, F.inline("windows"))
+    same = windows.groupBy("w1", "w2").agg(F.min(F.struct(*key)).alias("one"), F.max(F.struct(*key)).alias("other")).where("one <> other").select("w1", "w2")
+    passages = windows.join(same, ["w1", "w2"], "left_semi").select(*key).distinct().withColumn("passage", F.lit(True))
+    out = cut.drop("windows").join(passages, key, "left")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", ((F.col("n_removed") > 0) | F.coalesce("passage", F.lit(False))).alias("repeats"), "spans")
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
