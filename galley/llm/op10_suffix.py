@@ -334,7 +334,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, group: int = GROUP) -> Dat
     """(id, version, begin, end): bytes of documents (id, version, text) in repeated strings; spans may overlap."""
     found = scratch.table(docs.mapInArrow(_find, "anchor long, id long, version long, place long, first long, last long"))
     found_at = scratch.path()
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = scratch.table(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))  # so that the join's sides are plain and a hot anchor is split
     own = found.join(again, "anchor", "left_semi").groupBy("id", "version").agg(F.collect_set(F.struct("anchor", "place", "first", "last")).alias("own"))
     fields = "anchor long, c1 long, c2 long, skip long, size long, id long, version long, first long, context binary"
     met = scratch.table(docs.join(own, ["id", "version"]).select("id", "version", "text", "own").mapInArrow(_contexts, fields))
@@ -364,7 +364,7 @@ def word_runs(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.table(docs.mapInArrow(_find_words, "anchor long, id long, version long, first int, last int"))
     found_at = scratch.path()
     both = found.groupBy("anchor").agg(F.min(F.struct(*key)).alias("one"), F.max(F.struct(*key)).alias("other")).where("one <> other").select("anchor")
-    met = scratch.table(found.join(both, "anchor", "left_semi"))
+    met = scratch.table(found.join(scratch.table(both), "anchor", "left_semi"))
     scratch.drop(found_at)
     live = met.join(spans.select(*key).distinct(), key, "left_anti").select("anchor").distinct()
     return met.join(live, "anchor", "left_semi").groupBy(*key).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
