@@ -53,8 +53,8 @@ def selected(rule: DeterministicRule) -> Column:
 _HIT = {"rule_seq": "int", "run_indices": "array<int>", "found": "string", "status": "string", "failure_reason": "string", "anchor": "string", "own_section": "string", "own_ord": "int"}
 
 
-def hit(seq: int, **more: Column) -> Column:
-    values = {"rule_seq": F.lit(seq), "found": F.lit(""), "status": F.lit("open"), "failure_reason": F.lit("")} | more
+def hit(seq: int | Column, **more: Column) -> Column:
+    values = {"rule_seq": F.lit(seq) if isinstance(seq, int) else seq, "found": F.lit(""), "status": F.lit("open"), "failure_reason": F.lit("")} | more
     return F.struct(*((values[n] if n in values else F.lit(None).cast(kind)).alias(n) for n, kind in _HIT.items()))
 
 
@@ -151,22 +151,35 @@ def inlined(frame: DataFrame, hits: Sequence[Column], *keep: str) -> DataFrame:
     return frame.select("document_id", *keep, F.inline(F.array_compact(F.concat(*hits))))
 
 
-def _degraded(rule: DeterministicRule) -> tuple[Column, Column]:
-    """(whether a rule is left out of a document, the reason why it can't be checked or null), from its segmentation."""
-    touches = F.lit(bool(set(rule.applies_to_section) & set(BODY))) & F.col("front_matter_only")
-    own = F.array(*map(F.lit, rule.applies_to_section)) if rule.applies_to_section else F.array().cast("array<string>")
-    gone = F.lit(bool(rule.applies_to_section)) & (F.size(F.array_except(own, F.col("missing"))) == 0)
-    names = ", ".join(sorted(rule.applies_to_section))
-    reason = F.when(touches, F.coalesce(F.nullif(F.col("degraded_reason"), F.lit("")), F.lit("section boundaries undetected")))
-    if rule.on_missing_section != "skip":
-        reason = F.coalesce(reason, F.when(gone, F.lit(f"section not found: {names}")))
-    return F.coalesce(touches | gone, F.lit(False)), reason
+def gates(rules: Sequence[tuple[int, DeterministicRule]]) -> Column:
+    """What decides, with a document's segmentation, whether a rule can be checked: a constant, so that the tests below stand in
+    the plan once, whatever the number of rules."""
+    rows = []
+    for i, r in rules:
+        name = r.condition.attribute.removeprefix("section:") if r.selector.node_type == "document" and r.condition.attribute.startswith("section:") else None
+        rows.append({"seq": i, "sections": sorted(r.applies_to_section), "body": bool(set(r.applies_to_section) & set(BODY)), "told": r.on_missing_section != "skip",
+                     "status": "open" if r.on_missing_section == "violation" else "check_failed", "present": name})
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<seq:int,sections:array<string>,body:boolean,told:boolean,status:string,present:string>>")
+
+
+def _untrusted(gate: Column) -> Column:
+    return gate["body"] & F.col("front_matter_only")
 
 
-def _unchecked(rule: DeterministicRule, seq: int) -> Column:
-    """What stands for a rule that a document's segmentation doesn't let it check."""
-    status = F.lit("open" if rule.on_missing_section == "violation" else "check_failed")
-    return F.transform(F.array(_degraded(rule)[1]), lambda x: F.when(x.isNotNull(), hit(seq, status=status, failure_reason=x, found=x)))
+def _gone(gate: Column) -> Column:
+    return (F.size(gate["sections"]) > 0) & (F.size(F.array_except(gate["sections"], F.col("missing"))) == 0)
+
+
+def unchecked(gate: Column) -> Column:
+    """The hit that stands for a rule that a document's segmentation doesn't let it check, or for a section that must be there."""
+    reason = F.when(_untrusted(gate), F.coalesce(F.nullif(F.col("degraded_reason"), F.lit("")), F.lit("section boundaries undetected")))
+    reason = F.coalesce(reason, F.when(gate["told"] & _gone(gate), F.concat(F.lit("section not found: "), F.array_join(gate["sections"], ", "))))
+    absent = F.array_contains(F.col("missing"), gate["present"])
+    open_one = F.lit("open")
+    status = F.when(reason.isNotNull(), gate["status"]).otherwise(open_one)
+    found = F.coalesce(reason, F.concat(F.lit("section '"), gate["present"], F.lit("' not found")))
+    row = hit(gate["seq"], status=status, failure_reason=F.coalesce(reason, F.lit("")), found=found, anchor=F.when(reason.isNull(), F.col("first_id")))
+    return F.when(reason.isNotNull() | F.coalesce(absent, F.lit(False)), row)
 
 
 def validate(paragraphs: DataFrame, items: dict[str, DataFrame], segmentation: DataFrame, ruleset: Ruleset) -> DataFrame:
@@ -177,8 +190,8 @@ def validate(paragraphs: DataFrame, items: dict[str, DataFrame], segmentation: D
     """
     rules = [(i, r) for i, r in enumerate(ruleset.with_presence_rules().ordered()) if isinstance(r, DeterministicRule)]
     state = segmentation.select("document_id", "missing", "front_matter_only", "degraded_reason")
-    off = F.array_compact(F.array(*(F.when(_degraded(r)[0], F.lit(i)) for i, r in rules))).alias("off")
-    gates = state.select("document_id", off)
+    off = F.transform(F.filter(gates(rules), lambda g: _untrusted(g) | _gone(g)), lambda g: g["seq"])
+    closed = state.select("document_id", off.alias("off"))
     out: list[DataFrame] = []
 
     cells = [i for i, r in rules if r.rule_id == TABLE_TEXT]
@@ -206,15 +219,8 @@ def validate(paragraphs: DataFrame, items: dict[str, DataFrame], segmentation: D
     for p in out:
         found = p if found is None else found.unionByName(p)
     if found is not None:
-        found = found.join(gates, "document_id", "left").where(~F.coalesce(F.array_contains("off", F.col("rule_seq")), F.lit(False))).drop("off")
+        found = found.join(closed, "document_id", "left").where(~F.coalesce(F.array_contains("off", F.col("rule_seq")), F.lit(False))).drop("off")
 
-    checks = []
-    for i, r in rules:
-        failed = _unchecked(r, i)
-        if r.selector.node_type == "document" and r.condition.attribute.startswith("section:"):
-            name = r.condition.attribute.removeprefix("section:")
-            failed = F.array(F.when(F.array_contains("missing", name), hit(i, anchor=F.col("first_id"), found=F.lit(f"section '{name}' not found"))))
-        checks.append(failed)
-    nothing = F.array(F.when(F.lit(False), hit(-1)))
-    judged = violations(inlined(state.join(whole.select("document_id", "first_id"), "document_id", "left"), checks or [nothing]), rules)
+    judged = inlined(state.join(whole.select("document_id", "first_id"), "document_id", "left"), [F.transform(gates(rules), unchecked)])
+    judged = violations(judged, rules)
     return judged if found is None else found.unionByName(judged)
