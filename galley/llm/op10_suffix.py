@@ -23,7 +23,8 @@ but share such a passage with another document are marked (repeats) by the same
 WORDS words, those anchors kept that two documents have and one of them that loses nothing, then the windows themselves,
 counted by a hash of 128 bits with partial sums.
 
-Defined cases: a null text is empty; nothing under LENGTH bytes can repeat. Rows that are equal in doc_id and text count as
+Defined cases: an empty table gives an empty one, and texts are read whole, however
+long; a null text is empty; nothing under LENGTH bytes can repeat. Rows that are equal in doc_id and text count as
 two documents, so both are removed if long enough; for passages of words they are one. A null doc_id is a document like any other. Extra columns are ignored.
 """
 

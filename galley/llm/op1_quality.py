@@ -10,7 +10,8 @@ A document is the mean vector of its forms beside that of its shapes. The networ
 rows outside the held-out fold, taken in the order of a hash of doc_id, and a temperature fitted on rows that it hasn't
 seen turns its output into probabilities.
 
-Defined cases: a null, empty or blank text has the zero vector and so one score for all such texts. Without labels of both
+Defined cases: an empty table gives an empty one, and texts are read whole, however
+long; a null, empty or blank text has the zero vector and so one score for all such texts. Without labels of both
 kinds every score is the share of label 1, or 0.5 where there are none. A label that is null is ignored; a doc_id that is
 labelled more than once has its largest label. A null doc_id isn't held out. Rows are scored one by one, so ties, repeated
 rows and extra columns change nothing.

@@ -10,7 +10,8 @@ length in steps of the threshold, so only neighbouring partitions can meet; with
 signatures, as many as a set alike must share one of, and the Jaccard coefficient is worked out only where the sizes allow
 the threshold.
 
-Defined cases: a null text is empty; a text without words has an empty set and an empty fingerprint. Two empty sets have
+Defined cases: an empty table gives an empty one, and texts are read whole, however
+long; a null text is empty; a text without words has an empty set and an empty fingerprint. Two empty sets have
 likeness 1, an empty and another 0. Rows are in order of doc_id (null first), then text; the row after the last is the first,
 so a single row follows itself. Extra columns are ignored.
 """

@@ -18,7 +18,8 @@ them adds 0.6 in a million (with ideal hashes). Regions that may go on in anothe
 The prefix depth is fixed at DEPTH: deeper regions would lose pairs that the figure above counts, and large regions need no
 splitting as they are linked whole. The continuation only orders the rows of a region; no common prefixes are measured.
 
-Defined cases: null, empty or blank text: an empty set, linked with nothing. Null doc_id: the row has no component and
+Defined cases: an empty table gives an empty one, and texts are read whole, however
+long; null, empty or blank text: an empty set, linked with nothing. Null doc_id: the row has no component and
 is kept. Rows that repeat a doc_id are one node. Extra columns are ignored.
 """
 

@@ -9,7 +9,8 @@ findings that overlap, that with the most matched words stays.
 Templates are a parameter, sent to every task: at most MOST_TEMPLATE_WORDS words in all, which is checked. Texts are read
 one by one and whole.
 
-Defined cases: a null or empty text has no findings. A template under GRAM words is found only as that whole run of words.
+Defined cases: an empty table gives an empty one, and texts are read whole, however
+long; a null or empty text has no findings. A template under GRAM words is found only as that whole run of words.
 Ties go to the earlier span, then to the template's name. Repeated rows give repeated findings. Extra columns are ignored.
 """
 

@@ -15,7 +15,8 @@ document's score is that of its worst sentence, made a probability on documents
 The sample is at most FIT_ROWS documents of each label outside the held-out fold, in the order of a hash of doc_id; it
 alone goes to the driver. Scoring reads every whole text and shuffles nothing.
 
-Defined cases: a null, empty or blank text has no units, and one score for all such texts. Without documents of both labels
+Defined cases: an empty table gives an empty one, and texts are read whole, however
+long; a null, empty or blank text has no units, and one score for all such texts. Without documents of both labels
 every score is the share of label 1, or 0.5 without labels. Null labels are ignored; a doc_id with several labels has the
 largest. A null doc_id isn't held out. Rows are scored one by one, so ties, repeated rows and extra columns change nothing.
 """

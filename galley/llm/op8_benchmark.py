@@ -10,7 +10,8 @@ that size, long items cut between windows: a worker holds a buffer of documents
 other. A pass over the documents takes the shares of MAX_PASS_BYTES; between passes rows are written with the words hit and
 the items found so far. The driver holds one pass's items. Documents are never gathered; a row is read and judged alone.
 
-Defined cases: a null or empty text has no words; an item without words matches nothing; a null item_id is left out of
+Defined cases: an empty table gives an empty one, and texts are read whole, however
+long; a null or empty text has no words; an item without words matches nothing; a null item_id is left out of
 the list of items but its windows count as hits. Repeated items and rows count once each. Extra columns are ignored.
 """
 

@@ -8,7 +8,8 @@ ids with the table of pieces and concatenates, a space between pieces, as this t
 The tables are joined inside each task. A join through a shuffle of all words by word would move a row for each of them,
 many times the input's size, where the limit is one and a half times.
 
-Defined cases: a null, empty or blank text has no ids and decodes to an empty text. Strings of special tokens in a text
+Defined cases: an empty table gives an empty one, and texts are read whole, however
+long; a null, empty or blank text has no ids and decodes to an empty text. Strings of special tokens in a text
 become their ids, as in the library. Rows are independent; repeated rows, ties and extra columns change nothing.
 """
 
