@@ -190,12 +190,13 @@ def vocabulary_sets(spark, sf_dir):
 # Fixes
 
 
-@query(f"select doc_id, ord, regexp_replace(line, ':\\s*$', '') as fixed from {_LINES} where regexp_matches(line, ':\\s*$')")
+@query("select p_partkey, p_name || case when p_size % 3 = 0 then ': a' else '' end as fixed from part where p_size % 2 = 0")
 def apply_strip_colon(spark, sf_dir):
-    """A colon at the end of lines removed."""
+    """A colon at the end removed; others stay."""
     from galley.operators.fixes import strip_colon
 
-    return lines(spark, sf_dir).where(T.matches(F.col("line"), r":\s*$")).select("doc_id", "ord", strip_colon(F.col("line")).alias("fixed"))
+    text = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, ": a:").otherwise(": "))
+    return table(spark, sf_dir, "part").where("p_size % 2 = 0").select("p_partkey", strip_colon(text).alias("fixed"))
 
 
 @query(f"select doc_id, ord, upper(replace(line, 'ß', 'SS')) as fixed from {_LINES} where line <> ''")
