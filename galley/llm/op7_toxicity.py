@@ -10,7 +10,8 @@ kernel matrix, are a sentence's Nyström features.
 Labels are given by document, sentences are wanted: those of a toxic document's sentences are toxic that have
 a unit with a beginning from a small set which covers the toxic documents and hardly any other; where that finds none, the one that the
 machine itself puts first, if it calls it toxic. All sentences of other documents are clean. Toxic units are also learned with a byte inserted. A
-document's score is that of its worst sentence, made a probability on documents that the machine was not fitted on.
+document's score is a logistic curve of the margins of its WORST sentences that the machine puts first and of how many it has,
+fitted on documents that the machine was not fitted on: one plain insult is enough, and so are several doubtful ones in a short text.
 
 The sample is at most FIT_ROWS documents of each label outside the held-out fold, in the order of a hash of doc_id; it
 alone goes to the driver. Scoring reads every whole text and shuffles nothing.
@@ -44,6 +45,10 @@ LANDMARKS, STEM = 48, 0.75
 FEATURES, BEGINNINGS = 1 << 16, (5, 6, 7, 8, 9)
 #: Kernel value below which a clean sentence counts like one without units.
 FAINT = 0.02
+#: What a beginning may have of its worth taken off by clean documents that have it too, as a logarithm.
+LENIENT = 0.5
+#: Sentences whose margins make a document's score, the largest margin that counts, and the ridge of the curve.
+WORST, FAR, RIDGE = 3, 4.0, 0.3
 #: Bytes of text scored at once, and the least score of a toxic document.
 SLICE, TOXIC = 1 << 20, 0.5
 
@@ -183,23 +188,20 @@ def _packed(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 
 @dataclass
 class ToxicityModel:
-    """Landmarks, the machine's weights on kernel values, and the scale of its scores."""
+    """Landmarks, the machine's weights on kernel values, and the curve's on a document's measures, the last a constant."""
 
     kernel: Kernel | None
     weights: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    curve: np.ndarray
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         if self.kernel is None:
-            return np.full(n, 1 / (1 + np.exp(-self.shift)))
+            return np.full(n, 1 / (1 + np.exp(-self.curve[-1])))
         u = units(data, offsets)
         margin = self.kernel.sentences(u).astype(np.float64) @ self.weights + self.bias
-        worst = np.full(n, -np.inf)
-        np.maximum.at(worst, u.text_of, margin)
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(_measures(margin, u.text_of, n, self.bias) @ self.curve, -500, 500)))
 
     def scored(self, docs: DataFrame, keep: list[str]) -> DataFrame:
         """The kept columns of documents (text, ...), with score and predicted; no shuffle."""
@@ -253,7 +255,7 @@ def _cover(parts: list[Units], toxic: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(names, x), max(len(names) - 1, 0))
         c0 += np.bincount(at[names[at] == x], minlength=len(names)) if len(names) else 0
     n1, n0 = int((toxic > 0).sum()), int((toxic == 0).sum())
-    tells = np.where(c1 > 1, np.maximum(np.log((c1 / n1) / ((c0 + 0.5) / n0 + c1 / n1)) + 0.15, 0), 0)
+    tells = np.where(c1 > 1, np.maximum(np.log((c1 / n1) / ((c0 + 0.5) / n0 + c1 / n1)) + LENIENT, 0), 0)
     own = tells[key] > 0
     of, word, key = of[own], word[own], key[own]
     weight, chosen = np.ones(len(toxic)), []
@@ -313,24 +315,36 @@ def _machine(x: np.ndarray, y: np.ndarray, count: np.ndarray, cost: float = 10.0
     return w[:-1], float(w[-1])
 
 
-def _scale(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve, on labels drawn in a little."""
+def _measures(margin: np.ndarray, text_of: np.ndarray, n: int, bias: float) -> np.ndarray:
+    """For each of n texts the margins of its worst sentences (that of an empty one where it has fewer), the logarithm of how many it has, and 1."""
+    count = np.bincount(text_of, minlength=n)
+    order = np.lexsort((-margin, text_of))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
+    worst = np.full((n, WORST), bias)
+    first = place < WORST
+    worst[text_of[order][first], place[first]] = margin[order][first]
+    return np.c_[np.clip(worst, -FAR, FAR), np.log(count), np.ones(n)]
+
+
+def _curve(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic curve on measures, with labels drawn in a little."""
     ones = (y > 0).sum()
     t = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
-    z, w = np.c_[margin, np.ones(len(margin))], np.array([1.0, 0.0])
+    ridge = np.r_[np.full(z.shape[1] - 1, RIDGE), 1e-6]
+    w = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z.T * (p * (1 - p) + 1e-6)) @ z + 1e-6 * np.eye(2), z.T @ (p - t))
-        w -= step * min(1, 2 / np.abs(step).max()) if np.abs(step).max() > 0 else 0
+        step = np.linalg.solve((z.T * (p * (1 - p) + 1e-6)) @ z + np.diag(ridge), z.T @ (p - t) + ridge * w)
+        w -= step * min(1, 2 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
     """Fit on labelled documents."""
     share = float(toxic.mean()) if len(toxic) else 0.5
-    constant = ToxicityModel(None, np.zeros(0), 0.0, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+    constant = ToxicityModel(None, np.zeros(0), 0.0, np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6))]))
     if len(toxic) < 10 or toxic.min() == toxic.max():
         return constant
     rng = np.random.default_rng(3)
@@ -380,10 +394,9 @@ def fit(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
         order = rest[np.lexsort((-margin[rest], text_of[rest]))]
         found = order[np.r_[True, text_of[order][1:] != text_of[order][:-1]][: len(order)]]
         positive = np.r_[covered, found[margin[found] > 0]]
-    worst = np.full(len(texts), -np.inf)
-    np.maximum.at(worst, text_of, margin)
+    measures = _measures(margin, text_of, len(texts), bias)
     held = aside if len(set(toxic[aside].tolist())) == 2 and aside.sum() >= 20 else ~aside
-    return ToxicityModel(kernel, weights, bias, *_scale(worst[held], np.where(toxic[held] > 0, 1, -1)))
+    return ToxicityModel(kernel, weights, bias, _curve(measures[held], toxic[held]))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,29 @@ def test_rows(spark, corpus, model, awkward, nothing):
     again = op.ToxicityModel.fitted(docs.repartition(5), labels.repartition(3))
     assert np.array_equal(fitted.score(*raw(corpus[0][1])), again.score(*raw(corpus[0][1])))
     assert op.ToxicityModel.fitted(docs, labels.limit(0)).score(*raw("x")).tolist() == [0.5]
+
+
+def test_measures_of_worst_sentences():
+    rng = np.random.default_rng(5)
+    text_of = np.r_[rng.permutation(np.repeat(np.arange(6), [1, 2, 3, 4, 9, 1]))]
+    margin = np.round(rng.normal(size=len(text_of)) * 3, 1)
+    got = op._measures(margin, text_of, 6, -1.5)
+    for t in range(6):
+        own = sorted(margin[text_of == t].tolist(), reverse=True)
+        worst = (own + [-1.5] * op.WORST)[: op.WORST]
+        assert got[t].tolist() == [*np.clip(worst, -op.FAR, op.FAR), np.log(len(own)), 1]
+
+
+def test_query_learns_nothing_from_the_held_out(spark, corpus, tmp_path):
+    from zlib import crc32
+
+    held = {r[0] for r in corpus if crc32(str(r[0]).encode()) % 5 == 0}
+    spark.createDataFrame([r[:2] for r in corpus], "doc_id long, text string").write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([r[:2] for r in corpus], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    for name, flip in (("a", 0), ("b", 1)):
+        rows = [(i, 1, toxic ^ (flip if i in held else 0)) for i, _, toxic in corpus]
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out = {name: {r.doc_id: r for r in op.op7_toxicity(spark, f"{tmp_path}/{name}").collect()} for name in "ab"}
+    assert out["a"] == out["b"] and {i for i, r in out["a"].items() if r.held_out} == held
+    assert all(r.predicted == int(r.score >= 0.5) for r in out["a"].values())
+    assert np.mean([out["a"][i].predicted == toxic for i, _, toxic in corpus if i in held]) > 0.95
