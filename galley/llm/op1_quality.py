@@ -218,8 +218,9 @@ class QualityModel:
         table = word_vectors(docs)
         rows = F.broadcast(fit_rows(labels, "quality", most))  # at most FIT_ROWS rows of 12 bytes
         got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(rows, "doc_id").select("doc_id", "label", "text")
-        got = got.mapInArrow(_pool(table), "doc_id long, label int, vector binary").collect()  # at most FIT_ROWS vectors, unless doc_ids repeat
-        got.sort(key=lambda r: (r.doc_id, r.vector))
+        got = got.mapInArrow(_pool(table), "doc_id long, label int, vector binary")
+        got = got.groupBy("doc_id", "label").agg(F.min("vector").alias("vector")).collect()  # at most FIT_ROWS vectors, one for each doc_id
+        got.sort(key=lambda r: r.doc_id)
         x = np.array([np.frombuffer(r.vector, np.float32) for r in got], np.float32).reshape(len(got), 2 * DIM)
         return cls(table, fit(x, np.array([r.label for r in got], np.float64)))
 

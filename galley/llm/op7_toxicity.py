@@ -13,8 +13,8 @@ machine itself puts first, if it calls it toxic. All sentences of other document
 document's score is a logistic curve of the margins of its WORST sentences that the machine puts first and of how many it has,
 fitted on documents that the machine was not fitted on: one plain insult is enough, and so are several doubtful ones in a short text.
 
-The sample is at most FIT_ROWS documents of each label outside the held-out fold, in the order of a hash of doc_id; it
-alone goes to the driver. Scoring reads every whole text and shuffles nothing.
+The sample is at most FIT_ROWS documents of each label outside the held-out fold, in the order of a hash of doc_id, without
+those over FIT_BYTES and with one text for each doc_id; it alone goes to the driver. Scoring reads every whole text and shuffles nothing.
 
 Defined cases: an empty table gives an empty one, and texts are read whole, however
 long; a null, empty or blank text has no units, and one score for all such texts. Without documents of both labels
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from galley.llm import textbytes as tb
 from galley.llm.op1_quality import fit_rows, held_out
 
-#: Labelled documents of each label for the fit.
-FIT_ROWS = 2000
+#: Labelled documents of each label for the fit, and the most bytes that one of them has.
+FIT_ROWS, FIT_BYTES = 2000, 1 << 16
 #: Bytes that a subsequence of three may span, and its weight's factor for each byte skipped.
 SPAN, DECAY, POWER = 6, 0.75, 3
 #: Landmarks, and the share of the units chosen together that a stem must begin.
@@ -222,9 +222,11 @@ class ToxicityModel:
         rows = fit_rows(labels.where("toxic = 1"), "toxic", most)
         clean = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic = 0")
         rows = rows.union(fit_rows(clean, "toxic", most))
-        got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").select("doc_id", "label", "text").collect()
-        got.sort(key=lambda r: (r.doc_id, r.text or ""))  # at most FIT_ROWS documents of each label, unless doc_ids repeat
-        return fit([r.text or "" for r in got], np.array([r.label for r in got], np.int64))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        own = texts.where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(rows), "doc_id")
+        got = own.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()  # 2 * FIT_ROWS rows of FIT_BYTES at most
+        got.sort(key=lambda r: r.doc_id)
+        return fit([r.text for r in got], np.array([r.label for r in got], np.int64))
 
 
 def _keys(u: Units) -> Iterator[tuple[np.ndarray, np.ndarray]]:
