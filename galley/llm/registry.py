@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op1_quality", "op2_spotsigs", "op3_pages", "op4_lsh_forest", "op5_secrets", "op6_licenses", "op7_toxicity", "op8_benchmark", "op9_bpe", "op10_suffix")
+MODULES = ("op1_quality", "op2_spotsigs", "op3_pages", "op4_lsh_forest", "op5_secrets", "op6_licenses", "op7_toxicity", "op8_benchmark", "op9_bpe", "op10_suffix", "op11_phrases", "op12_neighbours", "op13_search")
 
 
 def _all(name: str) -> dict:
