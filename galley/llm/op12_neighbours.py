@@ -7,7 +7,9 @@
    which makes the largest inner product the nearest direction.
 3. Every entry goes down every tree to a leaf. A query goes through one heap of the nodes of all trees, by the largest margin
    it would have to cross, and takes leaves until they hold the budget of entries. The budget is measured: for CHECKED random queries the
-   true neighbours are found by a scan of all entries, and the budget is the least that finds RECALL of them.
+   true neighbours are found by a scan of all entries, and the budget is the least that finds RECALL of them. Where that
+   takes over PROBES leaves a query, the trees are cut to fewer levels and the budget is measured again: vectors without structure
+   need a share of all entries however the leaves are cut, and few large leaves send fewer rows between tasks than many small ones.
 4. Entries and queries meet by leaf. A leaf of more than CELL entries or queries is a grid of cells, so that a dense region
    is work for many tasks and is still searched whole. In a cell, a matrix product finds the best up to rounding, and these
    are scored again, component after component in double precision. Windows merge the cells' best.
@@ -39,8 +41,10 @@ MOST, EVERY = 20, 20
 TREES, LEAF, SAMPLE, FIT_LEAF, TRIES = 4, 256, 32_768, 8, 4
 #: Queries that the budget is measured on, and the share of their true neighbours it has to find.
 CHECKED, RECALL = 128, 0.96
+#: Leaves that a query takes, about.
+PROBES = 32
 #: Entries or queries of a cell, and queries multiplied at once.
-CELL, STRIPE = 4096, 256
+CELL, STRIPE = 32_768, 64
 
 
 @dataclass
@@ -71,6 +75,11 @@ class Forest:
         """queries x trees x nodes: by how much each lies beyond each cut."""
         return np.tensordot(queries, self.normals[:, :, :-1], ([1], [2])) - self.cuts
 
+    def cut(self, levels: int) -> Forest:
+        """The same trees with fewer levels: leaf i becomes part of leaf i >> levels."""
+        nodes = 1 << (self.depth - levels)
+        return Forest(self.depth - levels, self.normals[:, :nodes], self.cuts[:, :nodes], self.longest)
+
     def search(self, margins: np.ndarray, sizes: np.ndarray, budget: float) -> list[int]:
         """The leaves that one query visits, until they hold the budget of entries."""
         queue = [(0.0, tree, 1) for tree in range(len(self.cuts))]
@@ -178,25 +187,34 @@ def scanner(queries: np.ndarray, most: int) -> Callable[[Iterator[pa.RecordBatch
     return scan
 
 
-def measured(forest: Forest, entries: DataFrame, asked: DataFrame, sizes: np.ndarray, most: int, recall: float, checked: int) -> float:
-    """The least budget that finds the share `recall` of the true neighbours of `checked` queries."""
+@dataclass
+class Truth:
+    """Some queries and their true neighbours."""
+
+    queries: np.ndarray
+    owners: list[int]
+    vectors: np.ndarray
+
+    def budget(self, forest: Forest, sizes: np.ndarray, recall: float) -> float:
+        """The least budget that finds the share `recall` of the neighbours."""
+        margins, needed, held = forest.margins(self.queries), [], {}
+        for row, own in zip(self.owners, forest.leaves(self.vectors).tolist(), strict=True):
+            if row not in held:
+                order = forest.search(margins[row], sizes, math.inf)
+                held[row] = dict(zip(order, np.cumsum(sizes[order]).tolist(), strict=True))
+            needed.append(min(held[row][leaf] for leaf in own))
+        return float(np.quantile(needed, recall, method="higher"))
+
+
+def truth(entries: DataFrame, asked: DataFrame, most: int, checked: int) -> Truth:
+    """The true neighbours of `checked` queries, from a scan of all entries."""
     some = asked.orderBy(F.xxhash64("key"), "key").limit(checked).select("key", "embedding").collect()
     queries = np.array([r.embedding for r in some], float)
     near = entries.mapInArrow(scanner(queries, most + 1), "row long, key long, score double")
     place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "key"))
     true = near.withColumn("place", place).where(F.col("place") <= most + 1)
-    true = true.join(entries.select("key", "embedding"), "key").collect()
-    margins, needed = forest.margins(queries), []
-    leaves = forest.leaves(np.array([r.embedding for r in true], float))
-    held = {}
-    for r, own in zip(true, leaves, strict=True):
-        if r.key == some[r.row].key:
-            continue
-        if r.row not in held:
-            order = forest.search(margins[r.row], sizes, math.inf)
-            held[r.row] = dict(zip(order, np.cumsum(sizes[order]).tolist(), strict=True))
-        needed.append(min(held[r.row][leaf] for leaf in own.tolist()))
-    return float(np.quantile(needed, recall, method="higher")) if needed else 1.0
+    true = [r for r in true.join(entries.select("key", "embedding"), "key").collect() if r.key != some[r.row].key]
+    return Truth(queries, [r.row for r in true], np.array([r.embedding for r in true], float).reshape(len(true), -1))
 
 
 def leaf_sizes(forest: Forest, frame: DataFrame, column: str) -> np.ndarray:
@@ -207,7 +225,7 @@ def leaf_sizes(forest: Forest, frame: DataFrame, column: str) -> np.ndarray:
     return sizes
 
 
-def neighbours(vectors: DataFrame, most: int = MOST, every: int = EVERY, recall: float = RECALL, leaf: int = LEAF, sample: int = SAMPLE, cell: int = CELL, checked: int = CHECKED) -> DataFrame:
+def neighbours(vectors: DataFrame, most: int = MOST, every: int = EVERY, recall: float = RECALL, leaf: int = LEAF, sample: int = SAMPLE, cell: int = CELL, checked: int = CHECKED, probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): nearest found for the rows of (vec_id, embedding, ...) whose id is divisible by `every`."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     rows = valid(vectors)
@@ -222,15 +240,24 @@ def neighbours(vectors: DataFrame, most: int = MOST, every: int = EVERY, recall:
     some = entries.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("embedding").toArrow()
     forest = fitted(matrix(some["embedding"].combine_chunks()), longest, count, leaf=leaf)
 
+    trees = forest
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.append_column("leaves", pa.array(list(forest.leaves(matrix(b.column("embedding")))), pa.list_(pa.int32())))
+                yield b.append_column("leaves", pa.array(list(trees.leaves(matrix(b.column("embedding")))), pa.list_(pa.int32())))
 
     kind = entries.schema["embedding"].dataType.simpleString()
     routed = entries.mapInArrow(route, f"key long, embedding {kind}, ids array<long>, leaves array<int>")
     sizes = leaf_sizes(forest, routed, "leaves")
-    budget = measured(forest, entries, asked, sizes, most, recall, checked)
+    true, budget, levels = truth(entries, asked, most, checked), 1.0, 0
+    if true.owners:
+        budget = true.budget(forest, sizes, recall)
+        levels = max(0, math.ceil(math.log2(budget * (1 << forest.depth) / count / probes)))
+        if levels:
+            forest, sizes = forest.cut(levels), sizes.reshape(-1, 1 << levels).sum(axis=1)
+            routed = routed.withColumn("leaves", F.transform("leaves", lambda x: F.shiftright(x, levels)))
+            budget = true.budget(forest, sizes, recall)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -36,7 +36,7 @@ def test_equals_brute_force_where_all_leaves_are_taken(spark):
     odd = [(500, None), (520, []), (None, x[3]), (540, [0.0] * 6), (560, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (580, [float("nan")] * 6), (600, [float("inf"), *x[0][1:]]), (620, [1.0, 2.0])]
     frame = spark.createDataFrame(rows + odd, SCHEMA).selectExpr("*", "1 as score", "2 as rank", "3 as query_id", "4 as key", "5 as ids").repartition(3)
     want = brute(rows)
-    for settings in ({}, {"leaf": 16, "sample": 300, "cell": 10}):
+    for settings in ({}, {"leaf": 16, "sample": 300, "cell": 10}, {"leaf": 16, "sample": 300, "probes": 2}):
         got = op.neighbours(frame, recall=1.0, checked=300, **settings)
         assert sorted(map(tuple, got.collect())) == want
     assert op.neighbours(frame.limit(0)).collect() == []
@@ -86,6 +86,8 @@ def test_leaves_come_by_their_margin():
             node = 2 * node + right
         return worst
 
+    short = forest.cut(2)
+    assert (short.leaves(x) == forest.leaves(x) >> 2).all() and short.depth == forest.depth - 2
     order = forest.search(margins, sizes, np.inf)
     assert sorted(order) == np.flatnonzero(sizes).tolist()
     assert [far(x) for x in order] == sorted(far(x) for x in order)
