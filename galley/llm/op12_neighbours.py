@@ -253,7 +253,7 @@ def neighbours(vectors: DataFrame, most: int = MOST, every: int = EVERY, recall:
     true, budget, levels = truth(entries, asked, most, checked), 1.0, 0
     if true.owners:
         budget = true.budget(forest, sizes, recall)
-        levels = max(0, math.ceil(math.log2(budget * (1 << forest.depth) / count / probes)))
+        levels = min(forest.depth, max(0, math.ceil(math.log2(budget * (1 << forest.depth) / count / probes))))
         if levels:
             forest, sizes = forest.cut(levels), sizes.reshape(-1, 1 << levels).sum(axis=1)
             routed = routed.withColumn("leaves", F.transform("leaves", lambda x: F.shiftright(x, levels)))
