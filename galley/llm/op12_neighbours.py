@@ -214,7 +214,7 @@ def truth(entries: DataFrame, asked: DataFrame, most: int, checked: int) -> Trut
     place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "key"))
     true = near.withColumn("place", place).where(F.col("place") <= most + 1)
     true = [r for r in true.join(entries.select("key", "embedding"), "key").collect() if r.key != some[r.row].key]
-    return Truth(queries, [r.row for r in true], np.array([r.embedding for r in true], float).reshape(len(true), -1))
+    return Truth(queries, [r.row for r in true], np.array([r.embedding for r in true], float).reshape(len(true), queries.shape[1]))
 
 
 def leaf_sizes(forest: Forest, frame: DataFrame, column: str) -> np.ndarray:
