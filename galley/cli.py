@@ -3,18 +3,42 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.operators import fixes, reports
+from galley.operators import fixes, model, reports
+from galley.operators.answers import Answers
 from galley.plans import journal, manuscripts, ruleset
 from galley.sources import files, ooxml, revisions, writeback
 
 
-def validate(spark: SparkSession, source: str, out: str, rules: ruleset.Ruleset, semantic: bool, fix: bool) -> int:
+@dataclass(frozen=True)
+class Service:
+    """A language model behind a service; answers may be kept in a folder that all executors reach."""
+
+    url: str | None = None
+    key: str | None = None
+    model: str = "default"
+    answers: str | None = None
+
+
+def judged(state: manuscripts.Validated, rules: ruleset.Ruleset, semantic: bool, service: Service, run: str) -> manuscripts.Validated:
+    """Semantic rules: by the service, or failed because they are switched off or have no key."""
+    if not semantic:
+        return manuscripts.ask(state, rules)
+    if not service.url or not service.key:
+        return manuscripts.ask(state, rules, reason="api_key_missing")
+    kept = Answers(state.segmentation.sparkSession, service.answers) if service.answers else None
+    return manuscripts.ask(state, rules, model.client(partial(model.HttpTransport, service.url, service.key, service.model)), service.model, kept, run)
+
+
+def validate(spark: SparkSession, source: str, out: str, rules: ruleset.Ruleset, semantic: bool, fix: bool, service: Service = Service()) -> int:
     """Check all files at a path and write the five outputs of each; returns the exit code: 0 nothing open, 1 something, 2 of
     high severity, 3 if a file could not be read. Such files are listed in errors.json, all others are checked."""
     docs = manuscripts.cut(ooxml.documents(spark, source).dropDuplicates(["document_id"]))
@@ -27,9 +51,8 @@ def validate(spark: SparkSession, source: str, out: str, rules: ruleset.Ruleset,
     if docs.isEmpty():
         return 3
     state = manuscripts.check(paragraphs, blocks, rules)
-    if semantic:
-        state = manuscripts.ask(state, rules)
     stamp = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    state = judged(state, rules, semantic, service, stamp.replace(":", ""))
     after, outcome, applied = manuscripts.fix(state, rules) if fix else (paragraphs, state.violations, None)
 
     def written(kind: str, frame: DataFrame, content: str = "content") -> None:
@@ -55,6 +78,9 @@ def main(argv: list[str] | None = None) -> int:
     v.add_argument("--no-semantic", action="store_true")
     v.add_argument("--no-fix", action="store_true")
     v.add_argument("--ruleset")
+    v.add_argument("--model-url", help="service that answers prompts; its key is read from GALLEY_API_KEY")
+    v.add_argument("--model", default="default")
+    v.add_argument("--answers", help="shared folder of answers kept between runs")
     args = parser.parse_args(argv)
     if args.command is None:
         parser.print_usage(sys.stderr)
@@ -62,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         rules = ruleset.load(args.ruleset) if args.ruleset else journal.bundled()
         spark = SparkSession.builder.appName("galley").getOrCreate()
-        return validate(spark, args.source, args.output, rules, not args.no_semantic, not args.no_fix)
+        return validate(spark, args.source, args.output, rules, not args.no_semantic, not args.no_fix, Service(args.model_url, os.environ.get("GALLEY_API_KEY"), args.model, args.answers))
     except ruleset.GalleyError as e:
         print(e, file=sys.stderr)
         return 3

@@ -1,6 +1,6 @@
 """Rules that a model answers: prompts, answers by cache key, and what follows from them.
 
-The model is any function over pandas batches of prompts; stub() and unavailable() stand in where there is none.
+The model is any function over pandas batches of prompts, such as model.client() gives; where there is none, unchecked() says so.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ from pyspark.sql.types import BooleanType, StringType, StructType
 from pydantic import BaseModel, ConfigDict, ValidationError
 
 from galley.functions import text as T
+from galley.operators.answers import SCHEMA, Answers
 from galley.operators.sections import folded
+from galley.plans.compiler import selected
 from galley.plans.ruleset import GalleyError, Ruleset, SemanticRule
 
-#: Prompts asked at once, and reasons for a check that failed.
-PARALLEL = 4
+#: Reasons for a check that failed.
 FAILURES = ("api_key_invalid", "api_key_missing", "quota_exceeded", "service_error", "timeout", "offline", "bad_response", "section_text_unavailable", "semantic_check_not_implemented", "unknown")
 
-#: Answers to prompts: (cache_key, prompt) to (cache_key, answer, failure), answer as JSON.
+#: Answers to prompts: (cache_key, prompt) to (cache_key, answer, failure, ...), answer as JSON.
 Client = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -45,11 +46,9 @@ def parse_verdict(answer: str | None) -> Verdict | None:
         return None
 
 
-def section_texts(labelled: DataFrame, sections: tuple[str, ...]) -> DataFrame:
-    """(document_id, text, anchor) of sections as one text each."""
-    own = labelled.where("in_table is null")
-    own = own.where(F.col("section").isin(*sections)) if sections else own
-    rows = own.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "id"))).alias("rows"))
+def section_texts(labelled: DataFrame, own: Column) -> DataFrame:
+    """(document_id, text, anchor) of the paragraphs for which a test holds, as one text each."""
+    rows = labelled.where(own).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "id"))).alias("rows"))
     return rows.select("document_id", F.array_join(F.transform("rows", lambda r: r["text"]), " ").alias("text"), F.col("rows")[0]["id"].alias("anchor"))
 
 
@@ -61,19 +60,19 @@ def section_order(labelled: DataFrame) -> DataFrame:
     return rows.select("document_id", F.array_join(F.transform("rows", lambda r: r["section"]), " -> ").alias("text"), F.col("rows")[0]["id"].alias("anchor"))
 
 
-def keywords_line(labelled: DataFrame) -> DataFrame:
-    """(document_id, text, anchor): the first line of keywords."""
-    own = labelled.where((F.col("section") == "abstract") & F.col("in_table").isNull() & T.is_keywords_line(F.col("text")))
-    return own.groupBy("document_id").agg(F.min_by(F.struct("text", "id"), "ord").alias("r")).select("document_id", "r.text", F.col("r.id").alias("anchor"))
+def keywords_line(labelled: DataFrame, own: Column) -> DataFrame:
+    """(document_id, text, anchor): the first line of keywords among the paragraphs for which a test holds."""
+    lines = labelled.where(own & T.is_keywords_line(F.col("text")))
+    return lines.groupBy("document_id").agg(F.min_by(F.struct("text", "id"), "ord").alias("r")).select("document_id", "r.text", F.col("r.id").alias("anchor"))
 
 
 def extract(labelled: DataFrame, rule: SemanticRule) -> DataFrame:
-    """The text that a rule asks about."""
+    """The text that a rule asks about: of the paragraphs that its selector gives, or the order of sections."""
     if "section_order" in rule.prompt_vars:
         return section_order(labelled)
-    if "keywords_line" in rule.prompt_vars:
-        return keywords_line(labelled)
-    return section_texts(labelled, rule.applies_to_section)
+    if "keywords_text" in rule.prompt_vars:
+        return keywords_line(labelled, selected(rule))
+    return section_texts(labelled, selected(rule))
 
 
 def cache_key(rule: SemanticRule, ruleset: Ruleset, model: str, text: Column) -> Column:
@@ -98,22 +97,26 @@ def prompts(labelled: DataFrame, ruleset: Ruleset, model: str) -> DataFrame:
     return labelled.sparkSession.createDataFrame([], fields) if out is None else out
 
 
-def ask(asked: DataFrame, client: Client, known: DataFrame | None = None) -> DataFrame:
-    """(cache_key, answer, failure) of distinct prompts; those known already aren't asked again."""
-    distinct = asked.where("text is not null").select("cache_key", "prompt").dropDuplicates(["cache_key"])
-    new = distinct.join(known, "cache_key", "left_anti") if known is not None else distinct
-    answers = new.repartition(PARALLEL).mapInPandas(client, "cache_key string, answer string, failure string")
-    return answers.unionByName(known) if known is not None else answers
-
-
-def unavailable(reason: str = "semantic_check_not_implemented") -> Client:
-    """A client that answers nothing, for the reason given."""
-
-    def client(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"cache_key": b["cache_key"], "answer": None, "failure": reason}, dtype=object)
-
-    return client
+def ask(asked: DataFrame, client: Client, kept: Answers | None = None, run: str = "once") -> DataFrame:
+    """(cache_key, answer, failure) of distinct prompts, over as many tasks as the cluster runs at once. Where answers are kept,
+    those known aren't asked again, and new ones are written under the run's id."""
+    prompts = asked.where("text is not null").select("cache_key", "prompt")
+    tasks = max(1, asked.sparkSession.sparkContext.defaultParallelism)
+    if kept is not None:
+        return kept.ask(prompts, client, run, tasks)
+    new = prompts.dropDuplicates(["cache_key"]).repartition(tasks)
+    return new.mapInPandas(client, f"{SCHEMA}, attempts int").select("cache_key", "answer", "failure")
+
+
+def unchecked(documents: DataFrame, ruleset: Ruleset, reason: str = "semantic_check_not_implemented") -> DataFrame:
+    """A check that failed for the reason given, for each document and semantic rule: nothing is read or asked."""
+    rules = [(seq, r) for seq, r in enumerate(ruleset.with_presence_rules().ordered()) if isinstance(r, SemanticRule)]
+    rows = [{"rule_id": r.rule_id, "rule_seq": seq, "severity": r.severity, "message": r.message} for seq, r in rules]
+    each = F.from_json(F.lit(json.dumps(rows)), "array<struct<rule_id:string,rule_seq:int,severity:string,message:string>>")
+    none = F.lit(None).cast("string")
+    return documents.select("document_id").distinct().select("document_id", F.inline(each)).select(
+        "document_id", "rule_id", "rule_seq", "severity", none.alias("section"), none.alias("anchor_paragraph_id"), F.lit("check_failed").alias("status"),
+        F.lit(reason).alias("failure_reason"), "message", none.alias("explanation"), none.alias("suggested_fix"))
 
 
 @F.pandas_udf(StructType().add("violation", BooleanType()).add("explanation", StringType()).add("suggested_fix", StringType()))

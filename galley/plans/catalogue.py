@@ -190,19 +190,19 @@ def vocabulary_sets(spark, sf_dir):
 # Fixes
 
 
-@query("select p_partkey, p_name || case when p_size % 3 = 0 then ': a' else '' end as fixed from part where p_size % 2 = 0")
+@query("select p_partkey, p_name || case p_size % 3 when 0 then ': a' when 1 then '' else ': b' end as fixed from part")
 def apply_strip_colon(spark, sf_dir):
-    """A colon at the end removed; others stay."""
+    """A colon at the end removed; others stay, and so do texts that end in none."""
     from galley.operators.fixes import strip_colon
 
-    text = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, ": a:").otherwise(": "))
-    return table(spark, sf_dir, "part").where("p_size % 2 = 0").select("p_partkey", strip_colon(text).alias("fixed"))
+    tail = F.when(F.col("p_size") % 3 == 0, ": a:").when(F.col("p_size") % 3 == 1, ": ").otherwise(": b")
+    return table(spark, sf_dir, "part").select("p_partkey", strip_colon(F.concat("p_name", tail)).alias("fixed"))
 
 
-@query(f"select doc_id, ord, upper(replace(line, 'ß', 'SS')) as fixed from {_LINES} where line <> ''")
+@query(f"select doc_id, ord, upper(replace(line, 'ß', 'SS')) as fixed from {_LINES}")
 def apply_uppercase(spark, sf_dir):
     """Lines in capitals."""
-    return lines(spark, sf_dir).where("line <> ''").select("doc_id", "ord", F.upper("line").alias("fixed"))
+    return lines(spark, sf_dir).select("doc_id", "ord", F.upper("line").alias("fixed"))
 
 
 # Violations and reports: three rules over documents

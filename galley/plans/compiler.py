@@ -17,7 +17,7 @@ from galley.functions import numerals as N
 from galley.functions import text as T
 from galley.operators.predicates import predicate
 from galley.plans import schemas
-from galley.plans.ruleset import BODY, Condition, DeterministicRule, GalleyError, Ruleset
+from galley.plans.ruleset import BODY, Condition, DeterministicRule, GalleyError, Ruleset, SemanticRule
 
 _RUN = schemas.kinds(schemas.PARAGRAPHS, "runs")
 _PARAGRAPH = {k: v for k, v in schemas.kinds(f"{schemas.PARAGRAPHS}, {schemas.LABELS}").items()}
@@ -37,7 +37,7 @@ def condition(c: Condition, source: Column | None, kinds: dict[str, str], lenien
     return predicate(c.operator, actual, c.value, kinds[c.attribute])
 
 
-def selected(rule: DeterministicRule) -> Column:
+def selected(rule: DeterministicRule | SemanticRule) -> Column:
     """Whether a rule looks at a paragraph: not in a table, in its sections, through its filter, not excluded."""
     test = F.col("in_table").isNull()
     if rule.applies_to_section:

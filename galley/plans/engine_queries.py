@@ -90,10 +90,10 @@ def select_runs(spark, sf_dir):
     return out.select("l_orderkey", _joined("run_indices").alias("failing"))
 
 
-@query("select o_orderkey, o_orderpriority, l_linenumber, l_quantity from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'F' and l_quantity > 48")
+@query("select o_orderkey, o_orderpriority, l_linenumber, l_quantity from orders join lineitem on l_orderkey = o_orderkey where l_quantity > 48")
 def table_cells(spark, sf_dir):
     """Cells of tables that fail, with their table."""
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity").join(orders, "o_orderkey")
     rows = cells.select(*shaped(schemas.PARAGRAPHS, document_id=F.col("o_orderkey"), ord=F.col("l_linenumber"), id=F.col("l_linenumber"), text=F.lit("x"), in_table=F.col("o_orderpriority"), runs=F.array(_sized())), *shaped(schemas.LABELS))
     out = _found(rows, _rule(compiler.TABLE_TEXT, "table", "font_size_pt", "<=", 48))
@@ -115,7 +115,7 @@ def section_text_rule(spark, sf_dir):
     rows = _turns(spark, sf_dir, F.when(F.col("role") == "user", "abstract"))
     rule = _rule("words", "section_text", "text", "word_count_lte", 40, applies_to_section=["abstract"])
     out = compiler.validate(rows, {}, healthy(rows), _rules(rule)).select("document_id", "anchor_paragraph_id")
-    texts = semantic.section_texts(rows, ("abstract",)).select("document_id", T.word_count(F.col("text")).alias("words"))
+    texts = semantic.section_texts(rows, F.col("section") == "abstract").select("document_id", T.word_count(F.col("text")).alias("words"))
     return out.join(texts, "document_id").select(_number("document_id").alias("conv_id"), "words", _number("anchor_paragraph_id").alias("anchor"))
 
 
@@ -515,19 +515,23 @@ def caption_renumber(spark, sf_dir):
 
 # Prompts and answers: conversations as documents
 
-def _asked(name: str, node: str, variable: str, sections_: list[str]) -> dict:
-    return {"rule_id": name, "check_type": "semantic", "selector": {"node_type": node, "scope": "first"}, "applies_to_section": sections_, "prompt_template": f"Judge {{{variable}}}!", "prompt_vars": [variable], "message": "Ask."}
+def _asked(name: str, node: str, variable: str, sections_: list[str], **more) -> dict:
+    selector = {"node_type": node, "scope": "first"} | ({"paragraph_filter": more.pop("paragraph_filter")} if "paragraph_filter" in more else {})
+    return more | {"rule_id": name, "check_type": "semantic", "selector": selector, "applies_to_section": sections_, "prompt_template": f"Judge {{{variable}}}!", "prompt_vars": [variable], "message": "Ask."}
 
 
 _MODEL = "m1"
-_QUESTIONS = _rules(_asked("order", "document", "section_order", []), _asked("said", "section_text", "abstract_text", ["abstract"]), _asked("keys", "section_text", "keywords_line", ["abstract"]))
+_QUESTIONS = _rules(_asked("order", "document", "section_order", []), _asked("said", "section_text", "abstract_text", ["abstract"]), _asked("keys", "section_text", "keywords_text", ["abstract"]),
+                    _asked("short", "paragraph", "reference_text", ["result"], paragraph_filter={"attribute": "text", "operator": "word_count_lte", "value": 60}, exclude_patterns=["de[^a-z]"]))
 _ROLES = {"user": "abstract", "system": "introduction", "assistant": "result"}
 _PLAIN = "trim(regexp_replace(replace(lower(txt), 'ß', 'ss'), '[ \\n]+', ' ', 'g'))"
 _PROMPTS = f"""with turns as (select conv_id, turn, text, case role when 'user' then 'abstract' when 'system' then 'introduction' else 'result' end as section from conversations),
 changes as (select *, lag(section) over (partition by conv_id order by turn) as was from turns),
 texts as (select conv_id, 'order' as rule_id, 0 as rule_seq, string_agg(section, ' -> ' order by turn) as txt, min(turn) as anchor, 'section_order' as v from changes where section is distinct from was group by conv_id union all
   select c.conv_id, 'said', 1, t.txt, t.anchor, 'abstract_text' from (select distinct conv_id from turns) c left join (select conv_id, string_agg(text, ' ' order by turn) as txt, min(turn) as anchor from turns where section = 'abstract' group by conv_id) t using (conv_id) union all
-  select c.conv_id, 'keys', 2, t.txt, t.anchor, 'keywords_line' from (select distinct conv_id from turns) c left join (select conv_id, arg_min(text, turn) as txt, min(turn) as anchor from turns where section = 'abstract' and regexp_matches(lower(trim(text)), '^(keywords|key words|keyword)') group by conv_id) t using (conv_id)),
+  select c.conv_id, 'keys', 2, t.txt, t.anchor, 'keywords_text' from (select distinct conv_id from turns) c left join (select conv_id, arg_min(text, turn) as txt, min(turn) as anchor from turns where section = 'abstract' and regexp_matches(lower(trim(text)), '^(keywords|key words|keyword)') group by conv_id) t using (conv_id) union all
+  select c.conv_id, 'short', 3, t.txt, t.anchor, 'reference_text' from (select distinct conv_id from turns) c left join (select conv_id, string_agg(text, ' ' order by turn) as txt, min(turn) as anchor from turns
+    where section = 'result' and len(regexp_extract_all(text, '[^ \n\t\r]+')) <= 60 and not regexp_matches(text, 'de[^a-z]', 'i') group by conv_id) t using (conv_id)),
 asked as (select *, 'Judge ' || txt || '!' as prompt, sha256('1.0.0|' || rule_id || '|Judge {{' || v || '}}!|{_MODEL}|0.0' || coalesce('|' || {_PLAIN}, '')) as cache_key from texts)"""
 
 
@@ -549,19 +553,18 @@ def _oracle() -> semantic.Client:
         for b in batches:
             n = b["prompt"].str.len()
             answer = [f'{{"violation": {str(k % 4 == 0).lower()}, "explanation": "{k} long", "confidence": 1.0}}' if k % 4 < 2 else "no" if k % 4 == 2 else None for k in n]
-            yield b[["cache_key"]].assign(answer=answer, failure=["timeout" if k % 4 == 3 else None for k in n])
+            yield b[["cache_key"]].assign(answer=answer, failure=["timeout" if k % 4 == 3 else None for k in n], attempts=1)
 
     return client
 
 
 @query(_PROMPTS + """ select conv_id, rule_id, case when txt is null or length(prompt) % 4 > 1 then 'check_failed' else 'needs_review' end as status,
 case when txt is null then 'section_text_unavailable' when length(prompt) % 4 = 2 then 'bad_response' when length(prompt) % 4 = 3 then 'timeout' else '' end as failure_reason,
-case when length(prompt) % 4 = 0 then length(prompt) || ' long' end as explanation, case rule_id when 'order' then null else 'abstract' end as section from asked where txt is null or length(prompt) % 4 <> 1""")
+case when length(prompt) % 4 = 0 then length(prompt) || ' long' end as explanation, case rule_id when 'order' then null when 'short' then 'result' else 'abstract' end as section from asked where txt is null or length(prompt) % 4 <> 1""")
 def semantic_verdicts(spark, sf_dir):
     """Answers read, and what becomes of those that fail."""
     asked = cut(_prompts(spark, sf_dir))
-    known = asked.sparkSession.createDataFrame([], "cache_key string, answer string, failure string")
-    found = semantic.violations(asked, semantic.ask(asked, _oracle(), known), _QUESTIONS)
+    found = semantic.violations(asked, semantic.ask(asked, _oracle()), _QUESTIONS)
     return found.select(_number("document_id").alias("conv_id"), "rule_id", "status", "failure_reason", "explanation", "section")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galley.operators import captions, fixes, reports, sections, semantic
+from galley.operators.answers import Answers
 from galley.plans.compiler import validate
 from galley.plans.ruleset import Ruleset
 
@@ -38,11 +39,14 @@ def check(paragraphs: DataFrame, blocks: DataFrame, ruleset: Ruleset, overrides:
     return Validated(labelled, segmentation, items, cut(validate(labelled, items, segmentation, ruleset)))
 
 
-def ask(state: Validated, ruleset: Ruleset, client: semantic.Client | None = None, model: str = "none", known: DataFrame | None = None) -> Validated:
-    """Add the violations of semantic rules."""
-    asked = semantic.prompts(state.paragraphs, ruleset, model)
-    found = semantic.violations(asked, semantic.ask(asked, client or semantic.unavailable(), known), ruleset)
-    return Validated(state.paragraphs, state.segmentation, state.items, state.violations.unionByName(found, allowMissingColumns=True))
+def ask(state: Validated, ruleset: Ruleset, client: semantic.Client | None = None, model: str = "none", kept: Answers | None = None, run: str = "once", reason: str = "semantic_check_not_implemented") -> Validated:
+    """Add the violations of semantic rules. Without a client each is a check that failed for the reason given."""
+    if client is None:
+        found = semantic.unchecked(state.segmentation, ruleset, reason)
+    else:
+        asked = cut(semantic.prompts(state.paragraphs, ruleset, model))
+        found = semantic.violations(asked, semantic.ask(asked, client, kept, run), ruleset)
+    return replace(state, violations=state.violations.unionByName(found, allowMissingColumns=True))
 
 
 def fix(state: Validated, ruleset: Ruleset, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -89,7 +89,12 @@ class DeterministicRule(_Rule):
     @property
     def expected(self) -> str:
         c = self.condition
-        return self.expected_repr or f"{c.attribute} {c.operator} {c.value}"
+        if self.expected_repr:
+            return self.expected_repr
+        if c.operator == "word_count_lte":
+            return f"word count <= {c.value}"
+        shown = f"'{c.value}'" if isinstance(c.value, str) else json.dumps(c.value)
+        return f"{c.attribute} {c.operator}" + ("" if c.operator in UNARY else f" {shown}")
 
 
 class SemanticRule(_Rule):

@@ -36,7 +36,7 @@ def test_shape_of_violations(checked):
     docs, *_, state = checked
     by = {d: v[0] for d, v in rows(state.violations).items()}
     v = by["global-font"]
-    assert (v.paragraph_id, list(v.run_indices), v.found, v.expected, v.auto_fixable, v.section) == (docs["global-font"].ids["introduction_body"], [0], "font_name == 'Arial'", "font_name == Times New Roman", True, "introduction")
+    assert (v.paragraph_id, list(v.run_indices), v.found, v.expected, v.auto_fixable, v.section) == (docs["global-font"].ids["introduction_body"], [0], "font_name == 'Arial'", "font_name == 'Times New Roman'", True, "introduction")
     assert by["title-size"].found == "font_size_pt == 11.0" and by["title-bold"].found == "bold == False"
     assert by["table-text-size"].details == {"table_id": "t01"} and list(by["table-text-size"].run_indices) == [0]
     v = next(v for v in rows(state.violations)["table-numbering-sequence"] if v.rule_id == "table-numbering-sequence")
