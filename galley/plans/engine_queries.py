@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions import text as T
-from galley.operators import captions, fixes, reports, sections, semantic
+from galley.operators import captions, fixes, reports, sections, semantic, trees
 from galley.plans import compiler, ruleset, schemas
 from galley.plans.journal import journal
 from galley.plans.manuscripts import cut
@@ -593,3 +593,68 @@ def citations(spark, sf_dir):
     tables = named.select(*shaped(schemas.ITEMS, document_id=F.col("doc_id"), id=F.col("token"), caption_number=F.col("token")))
     out = captions.citations(tables, paragraphs, "the").where("size(referenced_in_paragraph_ids) > 0")
     return out.select(_number("document_id").alias("doc_id"), F.col("id").alias("token"), F.array_join(F.array_sort("referenced_in_paragraph_ids"), ",").alias("lines"))
+
+
+# Documents as nested values: orders as documents, line items as paragraphs, returned ones in cells of a table
+
+_SECTIONS = ["introduction", "result", "discussion"]
+_NESTED = f"""rows as (select l_orderkey as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as ord, l_returnflag = 'R' as cell, l_quantity as size, l_linestatus = 'O' as bold,
+  {_sql_list(CAPTIONS)}[l_quantity::int % {len(CAPTIONS)} + 1] as txt, case when l_returnflag <> 'R' then {_sql_list(_SECTIONS)}[l_linenumber % 3 + 1] end as section from lineitem)"""
+
+
+def _nested(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(labelled paragraphs, tables): one table for each order with returned items, its first run without a size where that is odd."""
+    text = F.element_at(F.array(*map(F.lit, CAPTIONS)), F.col("l_quantity").cast("int") % len(CAPTIONS) + 1)
+    cell = F.col("l_returnflag") == "R"
+    own = run(text=text, font_size_pt=F.when(F.col("l_quantity") % 2 == 0, F.col("l_quantity")), bold=F.col("l_linestatus") == "O", italic=F.lit(None))
+    place = F.when(cell, F.struct((F.col("place") - 1).cast("int").alias("row"), F.lit(0).alias("col")))
+    rows = items(spark, sf_dir).select(
+        *shaped(schemas.PARAGRAPHS, document_id=F.col("l_orderkey"), ord=F.col("place"), id=F.format_string("p%04d", "place"), text=text, style_name=F.lit(""), line_break_after=F.lit(False), in_table=F.when(cell, "t01"), cell=place, runs=F.array(own)),
+        *shaped(schemas.LABELS, section=F.when(~cell, F.element_at(F.array(*map(F.lit, _SECTIONS)), F.col("l_linenumber") % 3 + 1))))
+    blocks = rows.where("in_table is not null").groupBy("document_id").agg(F.lit("body").alias("container_id"), F.lit(1).alias("sibling_ord"), F.lit("tbl").alias("kind"), F.lit("t01").alias("node_id"), F.lit(False).alias("has_drawing"))
+    return rows, captions.tables(blocks, rows)
+
+
+@query(f"""with {_NESTED} select doc as document_id, section as owner, string_agg(printf('p%04d', ord), ',' order by ord) as ids from rows where section is not null group by doc, section union all
+select doc, 't01', string_agg(printf('p%04d', ord), ',' order by ord) from rows where cell group by doc""")
+def owned_ids(spark, sf_dir):
+    """The paragraphs of each section and of each table."""
+    rows, _ = _nested(spark, sf_dir)
+    both = trees.section_ids(rows).withColumnRenamed("section", "owner").unionByName(trees.cell_ids(rows).withColumnRenamed("in_table", "owner"))
+    return both.select(_number("document_id").alias("document_id"), "owner", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"""with {_NESTED}, first as (select doc, arg_min(size, ord) filter (where size % 2 = 0) as size from rows where cell group by doc)
+select doc as document_id, 'cell_font_size_pt == ' || coalesce(size::double::varchar, 'None') as found from first where size is null or not size <= 20""")
+def table_sizes(spark, sf_dir):
+    """A rule on tables that tests the size of their first run that has one."""
+    rows, tables = _nested(spark, sf_dir)
+    out = compiler.validate(rows, {"tables": tables}, healthy(rows), _rules(_rule("sizes", "table", "cell_font_size_pt", "<=", 20)))
+    return out.select(_number("document_id").alias("document_id"), "found")
+
+
+@query(f"""with {_NESTED}, p as (select *, '{{"id":"' || printf('p%04d', ord) || '","text":"' || txt || '","style_name":"","section":' || coalesce('"' || section || '"', 'null') || ',"runs":[{{"text":"' || txt || '","font_name":null,"font_size_pt":' ||
+  case when size % 2 = 0 then size::double::varchar else 'null' end || ',"bold":' || bold::varchar || ',"italic":null,"superscript":false,"uppercase_literal":false,"all_caps_property":false}}],"alignment":null,"is_table_caption":false,"line_break_after":false' ||
+  case when cell then ',"in_table":"t01","cell":[' || (ord - 1) || ',0]' else '' end || '}}' as json, case when cell then row_number() over (partition by doc, cell order by ord) end as in_cell, nullif(regexp_extract(txt, '(?i)^ *Table +([IVXLCDM0-9]+)[.:]', 1), '') as n from rows),
+words as (select doc, ord, w, lag(w) over x as was from (select doc, ord, unnest(regexp_extract_all(txt, '[A-Za-z0-9]+')) as w, generate_subscripts(regexp_extract_all(txt, '[A-Za-z0-9]+'), 1) as k from rows) window x as (partition by doc, ord order by k)),
+capt as (select doc, ord, n from p where in_cell = 1),
+said as (select c.doc, string_agg(distinct '"' || printf('p%04d', w.ord) || '"', ',' order by '"' || printf('p%04d', w.ord) || '"') as ids from capt c join words w on w.doc = c.doc and lower(w.was) = 'table' and upper(w.w) = upper(c.n) and w.ord <> c.ord group by c.doc),
+tab as (select c.doc, '{{"id":"t01","caption_paragraph_id":' || case when n is null then 'null' else '"' || printf('p%04d', c.ord) || '"' end || ',"caption_position":' || case when n is null then 'null' else '"inside"' end || ',"numbering_style":' || coalesce('"' || {_style('n')} || '"', 'null') ||
+  ',"cell_font_size_pt":' || coalesce((select arg_min(size, r.ord) filter (where size % 2 = 0) from rows r where r.doc = c.doc and r.cell)::double::varchar, 'null') || ',"referenced_in_paragraph_ids":[' || coalesce(ids, '') || ']}}' as json from capt c left join said using (doc))
+select p.doc as document_id, '{{"paragraphs":[' || string_agg(p.json, ',' order by p.ord) || '],"tables":[' || coalesce(any_value(tab.json), '') || '],"figures":[]}}' as tree from p left join tab on tab.doc = p.doc group by p.doc""")
+def document_trees(spark, sf_dir):
+    """Each document as one JSON object."""
+    rows, tables = _nested(spark, sf_dir)
+    none = spark.createDataFrame([], schemas.ITEMS)
+    return trees.documents(rows, tables, none).select(_number("document_id").alias("document_id"), "tree")
+
+
+@query(f"""with {_RUNS}, shown as (select *, '{{"rule_id":"' || rule || '","target_id":"' || target || '","action":"' || action || '","params":' || case attribute when 'font_name' then '{{"font_name":"A"}}' when 'font_size_pt' then '{{"font_size_pt":' || params || '.0}}'
+  when 'bold' then '{{"bold":true}}' when 'italic' then '{{"italic":false}}' when 'superscript' then '{{"superscript":true}}' else '{{}}' end || '}}' as json from kept)
+select doc as document_id, '{{"ops":[' || string_agg(json, ',' order by seq) || ']}}' as plan, '[' || string_agg('"' || rule || '"', ',' order by seq) filter (where rule <> 'f-suggest') || ']' as audited from shown group by doc""")
+def plan_files(spark, sf_dir):
+    """The plan of each document as JSON, and the rules of its audit file: both in the order of the plan."""
+    paragraphs, _, ops = _planned(spark, sf_dir)
+    _, applied = fixes.apply(paragraphs, ops)
+    audited = fixes.audit_files(fixes.audit(applied, STAMP)).select("document_id", F.to_json(F.from_json("audit", "entries array<struct<rule_id:string>>")["entries"]["rule_id"]).alias("audited"))
+    return fixes.plan_files(ops).join(audited, "document_id", "left").select(_number("document_id").alias("document_id"), "plan", "audited")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -21,12 +22,13 @@ def cut(frame: DataFrame) -> DataFrame:
 
 @dataclass
 class Validated:
-    """Labelled paragraphs, segmentation, items and violations of documents."""
+    """Labelled paragraphs, segmentation, items and violations of documents, and the sections chosen by a reader."""
 
     paragraphs: DataFrame
     segmentation: DataFrame
     items: dict[str, DataFrame]
     violations: DataFrame
+    overrides: DataFrame | None = None
 
 
 def check(paragraphs: DataFrame, blocks: DataFrame, ruleset: Ruleset, overrides: DataFrame | None = None) -> Validated:
@@ -36,7 +38,7 @@ def check(paragraphs: DataFrame, blocks: DataFrame, ruleset: Ruleset, overrides:
         labelled, segmentation = sections.override(labelled, segmentation, overrides, ruleset)
     labelled, segmentation = cut(labelled), cut(segmentation)
     items = {"tables": cut(captions.tables(blocks, labelled)), "figures": cut(captions.figures(blocks, labelled))}
-    return Validated(labelled, segmentation, items, cut(validate(labelled, items, segmentation, ruleset)))
+    return Validated(labelled, segmentation, items, cut(validate(labelled, items, segmentation, ruleset)), overrides)
 
 
 def ask(state: Validated, ruleset: Ruleset, client: semantic.Client | None = None, model: str = "none", kept: Answers | None = None, run: str = "once", reason: str = "semantic_check_not_implemented") -> Validated:
@@ -58,6 +60,6 @@ def fix(state: Validated, ruleset: Ruleset, strict: bool = False) -> tuple[DataF
     return after, fixes.outcomes(marked, applied), applied
 
 
-def report(state: Validated, violations: DataFrame, ruleset: Ruleset, stamp: str) -> DataFrame:
+def report(state: Validated, violations: DataFrame, ruleset: Ruleset, stamp: str, notes: Sequence[str] = ()) -> DataFrame:
     """Reports as JSON."""
-    return reports.reports(violations, state.segmentation, ruleset, stamp).select("document_id", F.col("report"))
+    return reports.reports(violations, state.segmentation, ruleset, stamp, notes, state.overrides).select("document_id", F.col("report"))

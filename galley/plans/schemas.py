@@ -10,11 +10,11 @@ PARAGRAPHS = (
     "document_id string, ord int, id string, text string, style_name string, alignment string, line_break_after boolean, in_table string, "
     f"cell struct<row:int,col:int>, runs array<struct<{RUN}>>"
 )
-BLOCKS = "document_id string, container_id string, sibling_ord int, kind string, node_id string, has_drawing boolean"
+BLOCKS = "document_id string, container_id string, sibling_ord int, kind string, node_id string, has_drawing boolean, text string, figure_ord int"
 LABELS = "section string, section_confidence double, section_source string"
 ITEMS = (
     "document_id string, ord int, id string, paragraph_id string, caption_paragraph_id string, caption_position string, numbering_style string, "
-    "caption_number string, referenced_in_paragraph_ids array<string>"
+    "caption_number string, referenced_in_paragraph_ids array<string>, cell_font_size_pt double"
 )
 VIOLATION = (
     "rule_id string, rule_seq int, severity string, section string, paragraph_id string, anchor_paragraph_id string, expected string, found string, "

@@ -96,3 +96,40 @@ def test_overrides_win(spark, checked):
     state = M.check(own, blocks.where("document_id = 'compliant'"), RULES, chosen)
     (r,) = state.paragraphs.where(f"id = '{docs['compliant'].ids['methods_body']}'").collect()
     assert (r.section, r.section_source, r.section_confidence) == ("result", "override", 1.0)
+
+
+def test_report_tells_notes_and_overrides(spark, checked):
+    docs, paragraphs, blocks, _ = checked
+    one = "document_id in ('compliant', 'title-size')"
+    chosen = spark.createDataFrame([("compliant", docs["compliant"].ids["methods_body"], "result"), ("compliant", "p0001", "title")], "document_id string, id string, section string")
+    state = M.check(paragraphs.where(one), blocks.where(one), RULES, chosen)
+    out = {r.document_id: json.loads(r.report) for r in M.report(state, state.violations, RULES, "2026-01-01T00:00:00Z", ['said "so"']).collect()}
+    assert out["compliant"]["section_overrides"] == {"p0001": "title", docs["compliant"].ids["methods_body"]: "result"} and out["compliant"]["notes"] == ['said "so"']
+    assert "section_overrides" not in out["title-size"] and list(out["compliant"])[-2:] == ["notes", "section_overrides"]
+
+
+def test_semantic_rules_ask_about_what_they_select(checked):
+    docs, *_, state = checked
+    own = state.paragraphs.where("document_id = 'compliant'")
+    from galley.operators import semantic
+
+    asked = {r.rule_id: r for r in semantic.prompts(own, RULES, "m").collect()}
+    texts = {r.id: (r.section, r.text, r.section_source) for r in own.collect()}
+    entries = [t for s, t, source in texts.values() if s == "references" and source != "heading"]
+    assert asked["reference-style-vancouver-format"].text == " ".join(entries) and len(entries) == 3
+    assert asked["abstract-keywords-count"].text.startswith("Keywords:") and asked["doc-order"].text.startswith("title -> author -> abstract")
+    assert all("{" not in r.prompt for r in asked.values())
+
+
+def test_trees_hold_all_of_a_document(checked):
+    from galley.operators import trees
+
+    docs, *_, state = checked
+    mine = "document_id = 'compliant'"
+    labelled, items = state.paragraphs.where(mine), {k: v.where(mine) for k, v in state.items.items()}
+    tree = json.loads(trees.documents(labelled, items["tables"], items["figures"]).first().tree)
+    rows = sorted(labelled.collect(), key=lambda r: r.ord)
+    assert [(p["id"], p["text"], p["section"], [x["text"] for x in p["runs"]]) for p in tree["paragraphs"]] == [(r.id, r.text, r.section, [x.text for x in r.runs]) for r in rows]
+    assert [p["cell"] for p in tree["paragraphs"] if "in_table" in p] == [[r.cell.row, r.cell.col] for r in rows if r.in_table]
+    assert [(t["id"], t["caption_position"], t["cell_font_size_pt"]) for t in tree["tables"]] == [("t01", "above", 8.0), ("t02", "above", 8.0)] and len(tree["figures"]) == 2
+    assert {r.in_table: r.ids for r in trees.cell_ids(labelled).collect()} == {t: [r.id for r in rows if r.in_table == t] for t in ("t01", "t02")}

@@ -59,6 +59,60 @@ def test_effective_formatting():
     assert [b["kind"] for b in blocks] == ["p", "tbl", "other", "other"]
 
 
+def grid_of(rows):
+    """Brute force: the owner of each place of the grid, then each owner where it is first seen, with its column in the row.
+    rows: (columns left out before, [(span, merge)])."""
+    grid, seen, out = {}, set(), []
+    for i, (before, own) in enumerate(rows):
+        at = before
+        for k, (span, merge) in enumerate(own):
+            owner = grid.get((i - 1, at)) if merge == "continue" else None
+            owner = owner or (i, k)
+            for g in range(at, at + span):
+                grid[i, g] = owner
+            if owner not in seen:
+                seen.add(owner)
+                out.append((i, at - before, owner))
+            at += span
+    return out
+
+
+def test_merged_cells_equal_the_grid():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(200):
+        rows = [(rng.choice([0, 0, 1, 2]), [(rng.choice([1, 1, 2, 3]), rng.choice([None, None, "restart", "continue", "continue"])) for _ in range(rng.randint(1, 4))]) for _ in range(rng.randint(1, 5))]
+        xml = ""
+        for i, (before, own) in enumerate(rows):
+            xml += "<w:tr>" + (f'<w:trPr><w:gridBefore w:val="{before}"/></w:trPr>' if before else "")
+            for k, (span, merge) in enumerate(own):
+                mark = {None: "", "restart": '<w:vMerge w:val="restart"/>', "continue": "<w:vMerge/>"}[merge]
+                xml += f'<w:tc><w:tcPr><w:gridSpan w:val="{span}"/>{mark}</w:tcPr><w:p><w:r><w:t>{i},{k}</w:t></w:r></w:p></w:tc>'
+            xml += "</w:tr>"
+        paragraphs, _ = ooxml.parse(docx(f"<w:tbl>{xml}</w:tbl>"))
+        assert [(p["cell"]["row"], p["cell"]["col"], p["text"]) for p in paragraphs] == [(i, j, f"{a},{b}") for i, j, (a, b) in grid_of(rows)]
+
+
+def test_figures_in_cells_and_boxes(spark):
+    p = lambda text, inner="": f'<w:p><w:r><w:t xml:space="preserve">{text}</w:t></w:r>{inner}</w:p>'
+    image = "<w:r><w:drawing/></w:r>"
+    box = f'<w:r><w:pict><w:txbxContent>{p("", image)}{p("Figure 4. In a box")}</w:txbxContent></w:pict></w:r>'
+    nested = f'<w:tbl><w:tr><w:tc>{p("Figure 3. Nested")}{p("", image)}</w:tc></w:tr></w:tbl>'
+    body = p("a", image) + p("Figure 1. Body") + f'<w:tbl><w:tr><w:tc>{p("", image)}{p("Figure 2. In a cell")}</w:tc><w:tc>{nested}<w:p/></w:tc></w:tr></w:tbl>' + p("see Figure 2 and Figure 4 ", box) + p("Table 1. x")
+    docs = spark.createDataFrame([("d", "x/a.docx", docx(body))], "document_id string, path string, content binary")
+    paragraphs, blocks, errors = ooxml.read(docs)
+    assert errors.isEmpty()
+    from galley.operators import captions
+
+    rows = captions.figures(blocks, paragraphs).orderBy("ord").collect()
+    got = [(r.id, r.paragraph_id, r.caption_paragraph_id, r.caption_position, r.caption_number, r.position, list(r.referenced_in_paragraph_ids)) for r in rows]
+    assert got == [("f01", "p0001", "p0002", "below", "1", 1, []), ("f02", "p0003", "p0004", "below", "2", 2, ["p0006"]), ("f03", None, None, "above", "3", 3, []),
+                   ("f04", "p0006", None, None, None, None, []), ("f05", None, None, "below", "4", 4, ["p0006"])]
+    (table,) = captions.tables(blocks, paragraphs).collect()
+    assert (table.id, table.caption_number) == ("t01", None)
+
+
 def test_patch_keeps_the_rest():
     content = as_docx(Manuscript())
     assert writeback.patch(content, {}) is content
