@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from galley.functions import text as T
+from galley.functions.once import once
 from galley.plans.ruleset import FRONT_MATTER, Ruleset
 
 #: Score from which a paragraph is a heading, what a vocabulary hit adds, least ratio of a fuzzy one.
@@ -50,10 +51,9 @@ def token_set(text: Column) -> Column:
 REMEMBERED = 10_000
 
 
-def vocabulary_match(headings: DataFrame, synonyms: list[tuple[str, str]]) -> DataFrame:
-    """Headings (norm, structural, ...) with the section that the vocabulary gives them (hit) and hit_confidence: an exact
-    hit, then one of the same words in any order, then for those that look like headings the closest spelling. synonyms:
-    (section, text) in order.
+@once
+def vocabulary(synonyms: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
+    """(hit by the vocabulary itself, hit by the closest spelling) of headings (norm, structural, known).
 
     The vocabulary is a literal of the plan: rulesets have tens of entries. No shuffle: a task compares each spelling once.
     """
@@ -79,9 +79,17 @@ def vocabulary_match(headings: DataFrame, synonyms: list[tuple[str, str]]) -> Da
             known.update((n, closest(n)) for n in set(norm) - known.keys())
             yield pd.DataFrame([known[n] for n in norm], columns=["section", "confidence"])
 
-    known = headings.withColumn("known", F.coalesce(exact, sets))
     left = F.when(F.col("known").isNull() & (F.col("structural") >= 3) & (F.col("norm") != ""), F.col("norm"))
-    near = known.withColumn("near", fuzzy(left))
+    return F.coalesce(exact, sets), fuzzy(left)
+
+
+def vocabulary_match(headings: DataFrame, synonyms: list[tuple[str, str]]) -> DataFrame:
+    """Headings (norm, structural, ...) with the section that the vocabulary gives them (hit) and hit_confidence: an exact
+    hit, then one of the same words in any order, then for those that look like headings the closest spelling. synonyms:
+    (section, text) in order.
+    """
+    known, fuzzy = vocabulary(tuple(synonyms))
+    near = headings.withColumn("known", known).withColumn("near", fuzzy)
     hit = F.coalesce(F.col("known"), F.when(F.col("near.section").isNotNull(), F.col("near")))
     return near.withColumns({"hit": hit["section"], "hit_confidence": hit["confidence"]}).drop("known", "near")
 
@@ -95,9 +103,16 @@ def _looked_up(key: Column, entries: list[tuple[str, str]], confidence: float) -
     return F.when(section.isNotNull(), F.struct(section.alias("section"), F.lit(confidence).alias("confidence")))
 
 
+@once
+def _looks() -> tuple[Column, Column]:
+    """(structural score, text to compare) of paragraphs."""
+    return structural_score(F.col("runs"), F.col("text"), F.col("style_name")), T.heading_text(folded("text"))
+
+
 def headings(paragraphs: DataFrame, synonyms: list[tuple[str, str]]) -> DataFrame:
     """Paragraphs with norm, structural and heading columns (hit section, confidence, is_heading)."""
-    scored = paragraphs.withColumn("structural", structural_score(F.col("runs"), F.col("text"), F.col("style_name"))).withColumn("norm", T.heading_text(folded("text")))
+    structural, norm = _looks()
+    scored = paragraphs.withColumns({"structural": structural, "norm": norm})
     found = vocabulary_match(scored, synonyms)
     score = F.col("structural") + F.when(F.col("hit").isNotNull(), VOCABULARY).otherwise(0)
     return found.withColumn("is_heading", T.non_blank(F.col("text")) & (score >= HEADING))
@@ -118,17 +133,30 @@ def affiliation_score(runs: Column, text: Column) -> Column:
     return F.when(T.matches(text, r"orcid|e-?mail|@", True), 3).otherwise(0) + F.when(marked, 2).otherwise(0)
 
 
-def segment(paragraphs: DataFrame, ruleset: Ruleset) -> tuple[DataFrame, DataFrame]:
-    """(paragraphs with section, section_confidence and section_source; segmentation of each document)."""
+def segment(paragraphs: DataFrame, ruleset: Ruleset, hold: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> tuple[DataFrame, DataFrame]:
+    """(paragraphs with section, section_confidence and section_source; segmentation of each document). The segmentation is an
+    aggregate of the labelled paragraphs: hold() may write these first, so that they are worked out once."""
     synonyms = [(s, _plain(w)) for s, words in ruleset.section_synonyms.items() for w in words]
     marked = headings(paragraphs, synonyms)
+    named, marks = _labels()
+    for name, column in named.items():
+        marked = marked.withColumn(name, column)
+    out = hold(marked.select(*paragraphs.columns, *marks, "counted"))
+    return out.drop("counted"), summary(out, ruleset)
+
+
+@once
+def _labels() -> tuple[dict[str, Column], list[Column]]:
+    """(columns to add in turn to headings, the three columns of labels): front matter by place and looks, then the body, where
+    paragraphs inherit the last heading's section."""
     own = Window.partitionBy("document_id")
+    named: dict[str, Column] = {}
     body_heading = F.col("is_heading") & F.col("hit").isNotNull() & ~F.col("hit").isin(*FRONT_MATTER) & F.col("in_table").isNull()
-    marked = marked.withColumn("body_start", F.coalesce(F.min(F.when(body_heading, F.col("ord"))).over(own), F.max("ord").over(own) + 1))
+    named["body_start"] = F.coalesce(F.min(F.when(body_heading, F.col("ord"))).over(own), F.max("ord").over(own) + 1)
     front = (F.col("ord") < F.col("body_start")) & T.non_blank(F.col("text"))
-    marked = marked.withColumn("title_ord", F.min(F.when(front, F.col("ord"))).over(own))
+    named["title_ord"] = F.min(F.when(front, F.col("ord"))).over(own)
     abstract = front & (F.col("ord") > F.col("title_ord")) & F.col("is_heading") & (F.col("hit") == "abstract")
-    marked = marked.withColumn("abstract_ord", F.min(F.when(abstract, F.col("ord"))).over(own))
+    named["abstract_ord"] = F.min(F.when(abstract, F.col("ord"))).over(own)
 
     def label(section: str, confidence: Column | float, source: str) -> Column:
         value = F.lit(confidence) if isinstance(confidence, float) else confidence
@@ -153,22 +181,20 @@ def segment(paragraphs: DataFrame, ruleset: Ruleset) -> tuple[DataFrame, DataFra
     in_body = F.when(head, F.struct(F.col("hit").alias("section"), F.col("hit_confidence").cast("double").alias("confidence"), F.lit("heading").alias("source"))).otherwise(
         F.struct(so_far.alias("section"), F.when(F.col("in_table").isNotNull(), 0.4).otherwise(0.5).cast("double").alias("confidence"), F.lit("inherited").alias("source"))
     )
-    labelled = marked.withColumn("label", F.when(front, in_front).when(F.col("ord") >= F.col("body_start"), in_body))
-    labelled = labelled.withColumn("counted", F.when(head, 1).otherwise(0))
-    keep = paragraphs.columns
-    out = labelled.select(*keep, F.col("label.section").alias("section"), F.coalesce("label.confidence", F.lit(0.0)).alias("section_confidence"),
-                          F.coalesce("label.source", F.lit("unknown")).alias("section_source"), "counted")
-    return out.drop("counted"), summary(out, ruleset)
+    named["label"] = F.when(front, in_front).when(F.col("ord") >= F.col("body_start"), in_body)
+    named["counted"] = F.when(head, 1).otherwise(0)
+    return named, [F.col("label.section").alias("section"), F.coalesce("label.confidence", F.lit(0.0)).alias("section_confidence"), F.coalesce("label.source", F.lit("unknown")).alias("section_source")]
 
 
 def summary(labelled: DataFrame, ruleset: Ruleset) -> DataFrame:
-    """(document_id, detected, missing, body_heading_count, front_matter_only, degraded_reason)."""
+    """(document_id, detected, missing, body_heading_count, front_matter_only, degraded_reason, first_id)."""
     required = F.array(*map(F.lit, ruleset.required_sections)) if ruleset.required_sections else F.array().cast("array<string>")
-    out = labelled.groupBy("document_id").agg(F.array_sort(F.collect_set("section")).alias("detected"), F.sum("counted").alias("body_heading_count"))
+    first = F.min_by("id", "ord") if {"id", "ord"} <= set(labelled.columns) else F.lit(None).cast("string")
+    out = labelled.groupBy("document_id").agg(F.array_sort(F.collect_set("section")).alias("detected"), F.sum("counted").alias("body_heading_count"), first.alias("first_id"))
     out = out.withColumn("missing", F.array_sort(F.array_except(required, F.col("detected"))))
     few = F.col("body_heading_count") < LEAST_HEADINGS
     reason = F.when(few, F.concat(F.lit("only "), F.col("body_heading_count").cast("string"), F.lit(" body headings found"))).otherwise(F.lit(""))
-    return out.select("document_id", "detected", "missing", "body_heading_count", few.alias("front_matter_only"), reason.alias("degraded_reason"))
+    return out.select("document_id", "detected", "missing", "body_heading_count", few.alias("front_matter_only"), reason.alias("degraded_reason"), "first_id")
 
 
 def override(labelled: DataFrame, segmentation: DataFrame, overrides: DataFrame, ruleset: Ruleset) -> tuple[DataFrame, DataFrame]:

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions import numerals as N
 from galley.functions import text as T
+from galley.functions.once import once
 from galley.operators.predicates import predicate
 from galley.plans import schemas
 from galley.plans.ruleset import BODY, Condition, DeterministicRule, GalleyError, Ruleset, SemanticRule
@@ -67,9 +69,9 @@ def rule_facts(rules: Sequence[tuple[int, DeterministicRule]]) -> Column:
     return F.get(table, F.col("rule_seq"))
 
 
-def violations(hits: DataFrame, rules: Sequence[tuple[int, DeterministicRule]], **node: Column) -> DataFrame:
-    """Hits with all columns of violations; node: what the scanned node gives."""
-    hits = hits.withColumn("rule", rule_facts(rules))
+def violations(hits: DataFrame, facts: Column, **node: Column) -> DataFrame:
+    """Hits with all columns of violations; facts: what they say of their rule, node: what the scanned node gives."""
+    hits = hits.withColumn("rule", facts)
     facts = {n: F.col(f"rule.{n}") for n in ("rule_id", "severity", "expected", "message")}
     values = facts | {"auto_fixable": F.col("rule.fixable") & (F.col("status") == "open"), "anchor_paragraph_id": F.col("anchor")} | node
     own = (values.get(n, F.col(n) if n in hits.columns else F.lit(None)).cast(kind).alias(n) for n, kind in schemas.kinds(schemas.VIOLATION).items())
@@ -146,9 +148,14 @@ def section_text_rule(rule: DeterministicRule, seq: int, own: Column) -> Column:
     return F.transform(F.array(own), said)
 
 
-def inlined(frame: DataFrame, hits: Sequence[Column], *keep: str) -> DataFrame:
-    """A row for each hit in arrays of hits, with the columns kept. One select, whatever their number."""
-    return frame.select("document_id", *keep, F.inline(F.array_compact(F.concat(*hits))))
+def inlined(frame: DataFrame, hits: Column, *keep: str) -> DataFrame:
+    """A row for each hit in an array of hits, with the columns kept. One select, whatever the number of rules."""
+    return frame.select("document_id", *keep, F.inline(hits))
+
+
+def together(hits: Sequence[Column]) -> Column | None:
+    """Arrays of hits as one, without those that hold."""
+    return F.array_compact(F.concat(*hits)) if hits else None
 
 
 def gates(rules: Sequence[tuple[int, DeterministicRule]]) -> Column:
@@ -182,45 +189,68 @@ def unchecked(gate: Column) -> Column:
     return F.when(reason.isNotNull() | F.coalesce(absent, F.lit(False)), row)
 
 
-def validate(paragraphs: DataFrame, items: dict[str, DataFrame], segmentation: DataFrame, ruleset: Ruleset) -> DataFrame:
-    """Violations of the deterministic rules in labelled documents.
+@dataclass(frozen=True)
+class Compiled:
+    """The deterministic rules of a ruleset as Columns: hits of paragraphs, of tables and figures, of section texts; the parts of
+    those texts; facts of rules; rules that a document's segmentation switches off, and what is told of them."""
+
+    paragraphs: Column | None
+    items: dict[str, Column]
+    texts: Column | None
+    parts: tuple[Column, ...]
+    cells: tuple[int, ...]
+    facts: Column
+    off: Column | None
+    told: Column | None
 
-    Five scans whatever the number of rules: paragraphs, section texts, tables, figures, segmentation. rule_seq and node_ord
-    give the order of rules and of nodes. A ruleset without deterministic rules finds nothing.
-    """
-    rules = [(i, r) for i, r in enumerate(ruleset.with_presence_rules().ordered()) if isinstance(r, DeterministicRule)]
-    state = segmentation.select("document_id", "missing", "front_matter_only", "degraded_reason")
-    off = F.transform(F.filter(gates(rules), lambda g: _untrusted(g) | _gone(g)), lambda g: g["seq"])
-    closed = state.select("document_id", off.alias("off"))
-    out: list[DataFrame] = []
 
+@once
+def compiled(text: str) -> Compiled:
+    """From a ruleset's JSON."""
+    rules = [(i, r) for i, r in enumerate(Ruleset.model_validate_json(text).with_presence_rules().ordered()) if isinstance(r, DeterministicRule)]
     cells = [i for i, r in rules if r.rule_id == TABLE_TEXT]
     per_paragraph = [run_rule(r, i) for i, r in rules if r.selector.node_type == "run"]
     per_paragraph += [paragraph_rule(r, i) for i, r in rules if r.selector.node_type == "paragraph"]
     per_paragraph += [table_text_rule(r, i) for i, r in rules if i in cells]
-    if per_paragraph:
-        in_cell = F.col("rule_seq").isin(cells)
-        details = F.when(in_cell, F.create_map(F.lit("table_id"), F.col("in_table")))
-        hits = inlined(paragraphs, per_paragraph, "section", "id", "ord", "in_table")
-        out.append(violations(hits, rules, section=F.when(in_cell, "result").otherwise(F.col("section")), paragraph_id=F.col("id"), node_ord=F.col("ord"), details=details))
-    for kind in ("table", "figure"):
-        own = [item_rule(r, i) for i, r in rules if r.selector.node_type == kind and i not in cells]
-        if own:
-            hits = inlined(items[f"{kind}s"], own, "caption_paragraph_id", "ord", "id")
-            out.append(violations(hits, rules, section=F.lit("result"), paragraph_id=F.col("caption_paragraph_id"), node_ord=F.col("ord"), details=F.create_map(F.lit("id"), F.col("id"))))
-
+    items = {kind: together([item_rule(r, i) for i, r in rules if r.selector.node_type == kind and i not in cells]) for kind in ("table", "figure")}
     texts = [(i, r) for i, r in rules if r.selector.node_type == "section_text"]
     part = F.struct("ord", "text", "id", "section")
-    whole = paragraphs.groupBy("document_id").agg(F.min_by("id", "ord").alias("first_id"), *(F.array_sort(F.collect_list(F.when(selected(r), part))).alias(f"own{i}") for i, r in texts))
-    if texts:
-        hits = inlined(whole, [section_text_rule(r, i, F.col(f"own{i}")) for i, r in texts])
-        out.append(violations(hits, rules, section=F.col("own_section"), node_ord=F.col("own_ord")))
+    parts = tuple(F.array_sort(F.collect_list(F.when(selected(r), part))).alias(f"own{i}") for i, r in texts)
+    # rules without sections can't be switched off, and only rules of documents say what is absent
+    closable = any(r.applies_to_section for _, r in rules)
+    present = any(r.selector.node_type == "document" and r.condition.attribute.startswith("section:") for _, r in rules)
+    off = F.transform(F.filter(gates(rules), lambda g: _untrusted(g) | _gone(g)), lambda g: g["seq"]) if closable else None
+    told = F.array_compact(F.transform(gates(rules), unchecked)) if closable or present else None
+    return Compiled(together(per_paragraph), {k: v for k, v in items.items() if v is not None}, together([section_text_rule(r, i, F.col(f"own{i}")) for i, r in texts]), parts, tuple(cells), rule_facts(rules), off, told)
+
+
+def validate(paragraphs: DataFrame, items: dict[str, DataFrame], segmentation: DataFrame, ruleset: Ruleset) -> DataFrame:
+    """Violations of the deterministic rules in labelled documents.
+
+    A scan for each kind of node that has rules, whatever their number: paragraphs, section texts, tables, figures; and the
+    segmentation where sections decide. rule_seq and node_ord give the order of rules and of nodes. A ruleset without
+    deterministic rules finds nothing.
+    """
+    rules = compiled(ruleset.model_dump_json())
+    out: list[DataFrame] = []
+    if rules.paragraphs is not None:
+        in_cell = F.col("rule_seq").isin(*rules.cells)
+        details = F.when(in_cell, F.create_map(F.lit("table_id"), F.col("in_table")))
+        hits = inlined(paragraphs, rules.paragraphs, "section", "id", "ord", "in_table")
+        out.append(violations(hits, rules.facts, section=F.when(in_cell, "result").otherwise(F.col("section")), paragraph_id=F.col("id"), node_ord=F.col("ord"), details=details))
+    for kind, own in rules.items.items():
+        hits = inlined(items[f"{kind}s"], own, "caption_paragraph_id", "ord", "id")
+        out.append(violations(hits, rules.facts, section=F.lit("result"), paragraph_id=F.col("caption_paragraph_id"), node_ord=F.col("ord"), details=F.create_map(F.lit("id"), F.col("id"))))
+    if rules.texts is not None:
+        hits = inlined(paragraphs.groupBy("document_id").agg(*rules.parts), rules.texts)
+        out.append(violations(hits, rules.facts, section=F.col("own_section"), node_ord=F.col("own_ord")))
     found = None
     for p in out:
         found = p if found is None else found.unionByName(p)
-    if found is not None:
+    if found is not None and rules.off is not None:
+        closed = segmentation.select("document_id", rules.off.alias("off"))
         found = found.join(closed, "document_id", "left").where(~F.coalesce(F.array_contains("off", F.col("rule_seq")), F.lit(False))).drop("off")
-
-    judged = inlined(state.join(whole.select("document_id", "first_id"), "document_id", "left"), [F.transform(gates(rules), unchecked)])
-    judged = violations(judged, rules)
-    return judged if found is None else found.unionByName(judged)
+    if rules.told is not None:
+        judged = violations(inlined(segmentation, rules.told), rules.facts)
+        found = judged if found is None else found.unionByName(judged)
+    return paragraphs.sparkSession.createDataFrame([], f"document_id string, {schemas.VIOLATION}") if found is None else found

@@ -33,10 +33,11 @@ class Validated:
 
 def check(paragraphs: DataFrame, blocks: DataFrame, ruleset: Ruleset, overrides: DataFrame | None = None) -> Validated:
     """Segment, find captions and evaluate the deterministic rules."""
-    labelled, segmentation = sections.segment(paragraphs, ruleset)
+    labelled, segmentation = sections.segment(paragraphs, ruleset, cut)
     if overrides is not None:
         labelled, segmentation = sections.override(labelled, segmentation, overrides, ruleset)
-    labelled, segmentation = cut(labelled), cut(segmentation)
+        labelled = cut(labelled)
+    segmentation = cut(segmentation)
     items = {"tables": cut(captions.tables(blocks, labelled)), "figures": cut(captions.figures(blocks, labelled))}
     return Validated(labelled, segmentation, items, cut(validate(labelled, items, segmentation, ruleset)), overrides)
 

@@ -61,4 +61,4 @@ def orders_as_paragraphs(spark: SparkSession, sf_dir: str, item: Column, text: C
 def healthy(paragraphs: DataFrame) -> DataFrame:
     """Segmentation of documents in which nothing is missing, as rules need it."""
     none = F.array().cast("array<string>")
-    return paragraphs.select("document_id").distinct().select("document_id", none.alias("missing"), F.lit(False).alias("front_matter_only"), F.lit("").alias("degraded_reason"))
+    return paragraphs.select("document_id").distinct().select("document_id", none.alias("missing"), F.lit(False).alias("front_matter_only"), F.lit("").alias("degraded_reason"), F.lit(None).cast("string").alias("first_id"))
