@@ -15,6 +15,14 @@ def unique_names(frame: DataFrame, name: str = "name") -> DataFrame:
     return frame.withColumn(name, F.when(n > 1, F.concat(F.substring("document_id", 1, 8), F.lit("."), name)).otherwise(F.col(name)))
 
 
+def store(folder: str) -> tuple:
+    """(file system, path in it) of a folder, a path or a URI that every executor reaches."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+    return system, root.rstrip("/") or "/"
+
+
 def write_files(frame: DataFrame, folder: str) -> int:
     """Write (name, content) below a folder, a path or a URI that every executor reaches; returns the number of files.
 
@@ -24,16 +32,14 @@ def write_files(frame: DataFrame, folder: str) -> int:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
 
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
-        store.create_dir(root, recursive=True)
+        system, root = store(folder)
+        system.create_dir(root, recursive=True)
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"], strict=True):
                 part = f"{root}/.{name}.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as out:
+                with system.open_output_stream(part) as out:
                     out.write(bytes(content))
-                store.move(part, f"{root}/{name}")
+                system.move(part, f"{root}/{name}")
             yield pd.DataFrame({"n": [len(batch)]})
 
     return frame.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
