@@ -95,14 +95,15 @@ def is_keywords_line(text: Column) -> Column:
     return F.rlike(F.lower(strip(text)), F.lit("^(keywords|key words|keyword)"))
 
 
-#: What looks like a key of a service.
+#: What looks like a key of a service, and what stands in its place.
+REDACTED = "<redacted>"
 SECRET_PATTERNS = (r"AIza[0-9A-Za-z_\-]{35}",)
 
 
 def redact(text: Column, literals: list[str] = (), patterns: list[str] = SECRET_PATTERNS) -> Column:
     """A text with known secrets and what looks like one replaced."""
     for x in [*map(re.escape, literals), *patterns]:
-        text = F.regexp_replace(text, java_pattern(x), "<redacted>")
+        text = F.regexp_replace(text, java_pattern(x), REDACTED)
     return text
 
 

@@ -18,7 +18,8 @@ from galley.functions import text as T
 from galley.operators.answers import SCHEMA, Answers
 from galley.operators.sections import folded
 from galley.plans.compiler import selected
-from galley.plans.ruleset import GalleyError, Ruleset, SemanticRule
+from galley.errors import RulesetError
+from galley.plans.ruleset import Ruleset, SemanticRule
 
 #: Reasons for a check that failed.
 FAILURES = ("api_key_invalid", "api_key_missing", "quota_exceeded", "service_error", "timeout", "offline", "bad_response", "section_text_unavailable", "semantic_check_not_implemented", "unknown")
@@ -89,7 +90,7 @@ def prompts(labelled: DataFrame, ruleset: Ruleset, model: str) -> DataFrame:
     for seq, rule in enumerate(ruleset.with_presence_rules().ordered()):
         if isinstance(rule, SemanticRule):
             if rule.prompt_template is None:
-                raise GalleyError(f"rule {rule.rule_id}: load() reads prompt files, parse() doesn't")
+                raise RulesetError(f"rule {rule.rule_id}: load() reads prompt files, parse() doesn't")
             rows = documents.join(extract(labelled, rule), "document_id", "left").withColumn("text", F.when(T.non_blank(F.col("text")), F.col("text")))
             prompt = T.render(rule.prompt_template, list(rule.prompt_vars), F.col("text"))
             rows = rows.select("document_id", F.lit(rule.rule_id).alias("rule_id"), F.lit(seq).alias("rule_seq"), "anchor", "text", prompt.alias("prompt"), cache_key(rule, ruleset, model, F.col("text")).alias("cache_key"))

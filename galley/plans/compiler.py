@@ -14,12 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galley.errors import RulesetError
 from galley.functions import numerals as N
 from galley.functions import text as T
 from galley.functions.once import once
 from galley.operators.predicates import predicate
 from galley.plans import schemas
-from galley.plans.ruleset import BODY, Condition, DeterministicRule, GalleyError, Ruleset, SemanticRule
+from galley.plans.ruleset import BODY, Condition, DeterministicRule, Ruleset, SemanticRule
 
 _RUN = schemas.kinds(schemas.PARAGRAPHS, "runs")
 _PARAGRAPH = {k: v for k, v in schemas.kinds(f"{schemas.PARAGRAPHS}, {schemas.LABELS}").items()}
@@ -33,7 +34,7 @@ def condition(c: Condition, source: Column | None, kinds: dict[str, str], lenien
     """A test of a row (source None) or of a struct. An unknown attribute is an error, or null if lenient."""
     if c.attribute not in kinds:
         if not lenient:
-            raise GalleyError(f"no attribute {c.attribute!r}")
+            raise RulesetError(f"no attribute {c.attribute!r}")
         return predicate(c.operator, F.lit(None).cast("string"), c.value, "string")
     actual = F.col(c.attribute) if source is None else source[c.attribute]
     return predicate(c.operator, actual, c.value, kinds[c.attribute])
@@ -137,7 +138,7 @@ def section_text_rule(rule: DeterministicRule, seq: int, own: Column) -> Column:
     """own: the paragraphs of a document that the rule selects, in order, read as one text."""
     c = rule.condition
     if c.attribute != "text":
-        raise GalleyError(f"no attribute {c.attribute!r}")
+        raise RulesetError(f"no attribute {c.attribute!r}")
 
     def said(rows: Column) -> Column:
         text, head = F.array_join(F.transform(rows, lambda x: x["text"]), " "), F.get(rows, F.lit(0))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from functools import cache
 from pathlib import Path
 
-from galley.plans.ruleset import Ruleset, RulesetError, load
+from galley.errors import RulesetError
+from galley.plans.ruleset import Ruleset, load
 
 #: Fixed values, in the order in which rules are declared: sections and the headings that name them, ids, attributes, values,
 #: severities and priorities of rules. Messages and prompts are this library's own.

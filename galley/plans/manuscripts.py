@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -31,13 +31,15 @@ class Validated:
     overrides: DataFrame | None = None
 
 
-def check(paragraphs: DataFrame, blocks: DataFrame, ruleset: Ruleset, overrides: DataFrame | None = None) -> Validated:
-    """Segment, find captions and evaluate the deterministic rules."""
+def check(paragraphs: DataFrame, blocks: DataFrame, ruleset: Ruleset, overrides: DataFrame | None = None, stage: Callable[[str], None] = lambda name: None) -> Validated:
+    """Segment, find captions and evaluate the deterministic rules; stage is told what begins."""
+    stage("segmenting")
     labelled, segmentation = sections.segment(paragraphs, ruleset, cut)
     if overrides is not None:
         labelled, segmentation = sections.override(labelled, segmentation, overrides, ruleset)
         labelled = cut(labelled)
     segmentation = cut(segmentation)
+    stage("validating")
     items = {"tables": cut(captions.tables(blocks, labelled)), "figures": cut(captions.figures(blocks, labelled))}
     return Validated(labelled, segmentation, items, cut(validate(labelled, items, segmentation, ruleset)), overrides)
 

@@ -8,6 +8,7 @@ from typing import Annotated, Any, Literal, Union
 
 from pydantic import BaseModel, ConfigDict, Field, ValidationError, model_validator
 
+from galley.errors import RulesetError
 from galley.operators.predicates import OPERATORS, UNARY
 
 #: Sections, and those that belong to the front matter.
@@ -29,14 +30,6 @@ Section = Literal[SECTIONS]  # type: ignore[valid-type]
 Severity = Literal[SEVERITIES]  # type: ignore[valid-type]
 
 
-class GalleyError(Exception):
-    """Anything this library refuses."""
-
-
-class RulesetError(GalleyError):
-    """A ruleset that can't be used."""
-
-
 class _Strict(BaseModel):
     model_config = ConfigDict(extra="forbid", frozen=True)
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from galley.plans.ruleset import GalleyError
+from galley.errors import SettingsError
 
 
 def folder(spark: SparkSession) -> str:
@@ -15,7 +15,7 @@ def folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local["):
-            raise GalleyError("set spark.checkpoint.dir to a folder that all executors share")
+            raise SettingsError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/checkpoints"
     return found
 

@@ -15,20 +15,17 @@ only what was written. No rows write no files.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
-import zipfile
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
-from xml.etree import ElementTree as ET
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from galley.plans.ruleset import GalleyError
+from galley.errors import DocumentError
 from galley.sources import ooxml
 from galley.sources.files import store
 
@@ -51,15 +48,6 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
-def row_of(path: str, content: bytes) -> tuple:
-    """(document_id, path, error, paragraphs, blocks) of a file."""
-    try:
-        paragraphs, blocks, error = *ooxml.parse(content), None
-    except (KeyError, AttributeError, ValueError, zipfile.BadZipFile, ET.ParseError) as e:
-        paragraphs, blocks, error = [], [], f"{type(e).__name__}: {e}"
-    return hashlib.sha256(content).hexdigest(), path, error, paragraphs, blocks
-
-
 def split(sized: list[tuple[str, int]], limit: int) -> list[list[str]]:
     """Paths with their sizes, in order, as groups of at most so many bytes; a larger one stands alone."""
     groups: list[list[str]] = []
@@ -95,13 +83,13 @@ class WordReader(DataSourceReader):
         files, _ = store(self.folder)
         for path in partition.paths:
             with files.open_input_stream(path) as stream:
-                yield row_of(path, stream.read())
+                yield ooxml.row_of(path, stream.read())
 
 
 class WordWriter(DataSourceWriter):
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         if not {"name", "content"} <= set(schema.names):
-            raise GalleyError("files need the columns name and content")
+            raise DocumentError("files need the columns name and content")
         self.folder, self.overwrite = options["path"], overwrite
         self.staged = f"{_STAGED}{uuid.uuid4().hex}"
 
@@ -113,7 +101,7 @@ class WordWriter(DataSourceWriter):
         for row in rows:
             name = row["name"]
             if not name or "/" in name or name.startswith("."):
-                raise GalleyError(f"not a name of a file: {name!r}")
+                raise DocumentError(f"not a name of a file: {name!r}")
             with files.open_output_stream(f"{own}/{len(names)}") as out:
                 out.write(bytes(row["content"] if row["content"] is not None else b""))
             names.append(name)
@@ -127,7 +115,7 @@ class WordWriter(DataSourceWriter):
         counted = Counter(n for m in done for n in m.names)
         if twice := sorted(n for n, k in counted.items() if k > 1):
             self.abort(messages)
-            raise GalleyError(f"files of one name: {', '.join(twice[:5])}")
+            raise DocumentError(f"files of one name: {', '.join(twice[:5])}")
         files.create_dir(root, recursive=True)
         for m in done:
             for k, name in enumerate(m.names):

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from galley.errors import RulesetError
 from galley.functions import numerals as N
 from galley.functions import text as T
 from galley.operators.predicates import PredicateError, predicate
@@ -75,7 +76,7 @@ BROKEN = {
 
 @pytest.mark.parametrize("message", BROKEN)
 def test_broken_rulesets(message):
-    with pytest.raises(ruleset.RulesetError) as e:
+    with pytest.raises(RulesetError) as e:
         ruleset.parse(BROKEN[message])
     assert message in str(e.value)
 

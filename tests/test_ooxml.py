@@ -7,6 +7,7 @@ import pytest
 from manuscript import Manuscript, mutated
 
 from galley import cli
+from galley.errors import RulesetError
 from galley.plans import manuscripts as M
 from galley.plans.journal import journal
 from galley.sources import ooxml, writeback
@@ -185,7 +186,7 @@ def test_prompt_files(tmp_path):
 
     rule = {"rule_id": "r", "check_type": "semantic", "prompt_file": "ask.txt", "prompt_vars": ["x"]}
     (tmp_path / "rules.json").write_text(json.dumps({"ruleset_id": "a", "ruleset_version": "1", "rules": [rule]}))
-    with pytest.raises(ruleset.RulesetError, match="rule r, prompt_file"):
+    with pytest.raises(RulesetError, match="rule r, prompt_file"):
         ruleset.load(tmp_path / "rules.json")
     (tmp_path / "ask.txt").write_text("Judge {x}")
     assert ruleset.load(tmp_path / "rules.json").rules[0].prompt_template == "Judge {x}"
