@@ -1,10 +1,7 @@
-"""Files out: rows of names and bytes as files in a folder that all executors share."""
+"""Names of files, and folders that all executors share."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,25 +18,3 @@ def store(folder: str) -> tuple:
 
     system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
     return system, root.rstrip("/") or "/"
-
-
-def write_files(frame: DataFrame, folder: str) -> int:
-    """Write (name, content) below a folder, a path or a URI that every executor reaches; returns the number of files.
-
-    A file is written beside its place and then moved, so a task that is run again leaves whole files only.
-    """
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        system, root = store(folder)
-        system.create_dir(root, recursive=True)
-        for batch in batches:
-            for name, content in zip(batch["name"], batch["content"], strict=True):
-                part = f"{root}/.{name}.{uuid.uuid4().hex}"
-                with system.open_output_stream(part) as out:
-                    out.write(bytes(content))
-                system.move(part, f"{root}/{name}")
-            yield pd.DataFrame({"n": [len(batch)]})
-
-    return frame.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

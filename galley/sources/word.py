@@ -4,7 +4,7 @@
     spark.read.format("word").load("…/folder")                          # a row for each file, with its paragraphs and blocks
     frame.select("name", "content").write.format("word").mode("append").save("…/folder")
 
-Reading plans tasks of at most partitionBytes (32 MB) or one file. Files with equal content give a row each. A file that can't be
+Reading plans tasks of at most partitionBytes (32 MB) or one file; to open a file counts as 256 KB, so that small files spread too. Files with equal content give a row each. A file that can't be
 read gives its error, and no paragraphs. Options: pattern ("*.docx"), partitionBytes, and recursive ("true": folders below too).
 
 Writing puts each task's files into a folder of its own below the target; when all tasks are done the driver moves them to their
@@ -30,6 +30,7 @@ from galley.sources import ooxml
 from galley.sources.files import store
 
 PARTITION_BYTES = 32 << 20
+OPEN_BYTES = 256 << 10
 _STAGED = ".staged-"
 
 
@@ -74,7 +75,7 @@ class WordReader(DataSourceReader):
         files, root = store(self.folder)
         found = files.get_file_info(fs.FileSelector(root, recursive=self.recursive))
         hidden = lambda f: any(p.startswith((".", "_")) for p in f.path.removeprefix(root).split("/"))
-        own = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and fnmatchcase(f.base_name, self.pattern) and not hidden(f))
+        own = sorted((f.path, f.size + OPEN_BYTES) for f in found if f.type == fs.FileType.File and fnmatchcase(f.base_name, self.pattern) and not hidden(f))
         return [Files(paths) for paths in split(own, self.limit)]
 
     def read(self, partition: Files) -> Iterator[tuple]:
