@@ -107,3 +107,13 @@ def test_table(spark):
         lines = [" ".join(html.unescape(re.sub("<[^>]*(>|$)", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1|li|ul|div)>", body)]
         assert got[r.page_id].text == "\n".join(x for x in lines if x) and got[r.page_id].n_chars == len(got[r.page_id].text)
     assert len(got) == pages.count() and op.extracted(pages.limit(0)).collect() == []
+
+
+def test_every_page_is_judged_by_its_neighbour(spark):
+    """Pages that name an article go through differencing too, and what it deletes of the article comes back."""
+    shared = "<nav>menu</nav><article><p>said by both</p><p>own {}</p></article><p>foot</p>"
+    rows = [(i, f"https://a.org/{i}", page(shared.format(i))) for i in range(6)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    gone = {r.key: r.gone for r in op.differences(frame).collect()}
+    assert [gone[op._key(*r)] for r in rows] == [[0, 1, 3]] * 6
+    assert {r.page_id: r.text for r in op.extracted(frame).collect()} == {i: f"said by both\nown {i}" for i in range(6)}
