@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,9 +66,16 @@ def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     return F.coalesce(F.rlike(text, F.lit(java_pattern(pattern, ignore_case))), F.lit(False))
 
 
+#: White space but the space itself, one by one.
+_OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c != " " and re.match(f"[{WS}]", c))
+
+
 def word_count(text: Column) -> Column:
-    """Runs of anything but white space."""
-    return F.regexp_count(text, F.lit(f"[^{WS}]+")).cast("bigint")
+    """Runs of anything but white space. Texts are cut at spaces, which takes a fraction of a pattern's time; other white space
+    is made spaces first where there is any."""
+    words = lambda t: F.size(F.array_remove(F.split(t, " "), ""))
+    other = reduce(or_, (F.contains(text, F.lit(c)) for c in _OTHER_SPACE))
+    return F.when(other, words(F.translate(text, _OTHER_SPACE, " " * len(_OTHER_SPACE)))).when(text.isNotNull(), words(text)).cast("bigint")
 
 
 def strip(text: Column) -> Column:

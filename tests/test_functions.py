@@ -86,3 +86,10 @@ def test_bundled_ruleset():
     assert len(rules.rules) == 40 and sum(r.auto_fixable for r in rules.rules) == 24 and len(rules.with_presence_rules().rules) == 50
     assert ruleset.parse(rules.model_dump_json()) == rules
     assert [r.rule_id for r in rules.ordered()][0] == "global-font" and rules.ordered()[-1].check_type == "semantic"
+
+
+def test_words_are_counted_without_a_pattern(spark):
+    texts = ["", " ", "a", " a  b ", "ä　 ß　", *(f"{c}a{c}{c}b c{c}" for c in map(chr, range(0x3001)) if c.isspace())]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert got(df, T.word_count(df["t"])) == [len(t.split()) for t in texts]
+    assert "regexp" not in df.select(T.word_count(df["t"]))._jdf.queryExecution().optimizedPlan().toString()
