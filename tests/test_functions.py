@@ -90,6 +90,6 @@ def test_bundled_ruleset():
 
 def test_words_are_counted_without_a_pattern(spark):
     texts = ["", " ", "a", " a  b ", "ä　 ß　", *(f"{c}a{c}{c}b c{c}" for c in map(chr, range(0x3001)) if c.isspace())]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     assert got(df, T.word_count(df["t"])) == [len(t.split()) for t in texts]
     assert "regexp" not in df.select(T.word_count(df["t"]))._jdf.queryExecution().optimizedPlan().toString()
