@@ -73,3 +73,9 @@ def test_failures_leave_nothing(source, tmp_path, bad):
 def test_other_columns_are_refused(source, tmp_path):
     with pytest.raises(Exception, match="name and content"):
         save(source.createDataFrame([("x",)], "name string"), tmp_path / "out")
+
+
+def test_rows_without_runs(source, tmp_path):
+    (tmp_path / "a.docx").write_bytes(packages.package([row("a", "b")], FIXED))
+    bare = source.read.format("word").option("runs", "false").load(str(tmp_path)).first()
+    assert bare.paragraphs[0].text == "ab" and bare.paragraphs[0].runs is None and bare.error is None
