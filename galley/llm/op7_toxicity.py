@@ -49,6 +49,8 @@ FAINT = 0.02
 LENIENT = 0.5
 #: Sentences whose margins make a document's score, the largest margin that counts, and the ridge of the curve.
 WORST, FAR, RIDGE = 3, 4.0, 0.3
+#: Units compared with landmarks at once.
+UNITS = 1 << 14
 #: Bytes of text scored at once, and the least score of a toxic document.
 SLICE, TOXIC = 1 << 20, 0.5
 
@@ -148,22 +150,35 @@ class Kernel:
         used = np.flatnonzero(full.any(1))
         self.row = np.full(FEATURES, -1, np.int32)
         self.row[used] = np.arange(len(used))
-        self.table = full[used]
+        # Few landmarks have any one feature: (landmark, weight) of those that do, by feature.
+        of, self.mark = np.nonzero(full[used])
+        self.worth = full[used][of, self.mark].astype(np.float64)
+        self.size = np.bincount(of, minlength=len(used))
+        self.at = np.cumsum(self.size) - self.size
         unit = (full * norm.astype(np.float32)).astype(np.float64)
         self.own = (unit.T @ unit) ** POWER
 
     def values(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A row for each unit."""
+        """A row for each unit; units follow each other in flat."""
         out = np.zeros((len(starts), len(self.landmarks)), np.float32)
+        for k in range(0, len(starts), UNITS):
+            a, b = starts[k : k + UNITS], ends[k : k + UNITS]
+            out[k : k + UNITS] = self._sums(flat[a[0] : b[-1]], a - a[0], b - a[0])
+        return np.minimum(out, 1) ** POWER
+
+    def _sums(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Inner products, summed over the features that a unit and a landmark share."""
+        n, cells, worths = len(self.landmarks), [], []
         for unit, feature, weight in _features(flat, starts, ends):
             row = self.row[feature]
             hit = np.flatnonzero(row >= 0)
-            for k in range(0, len(hit), 50_000):
-                some = hit[k : k + 50_000]
-                own = unit[some]
-                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                out[own[first]] += weight * np.add.reduceat(self.table[row[some]], first, axis=0)
-        return np.minimum(out, 1) ** POWER
+            row = row[hit]
+            size = self.size[row]
+            after = np.cumsum(size)
+            own = np.repeat(self.at[row] - after + size, size) + np.arange(int(size.sum()))
+            cells.append(np.repeat(unit[hit] * n, size) + self.mark[own])
+            worths.append(weight * self.worth[own])
+        return np.bincount(np.concatenate(cells), np.concatenate(worths), len(starts) * n).reshape(-1, n)
 
     def sentences(self, u: Units) -> np.ndarray:
         """A row for each sentence: the best value of its units."""

@@ -110,3 +110,13 @@ def test_query_learns_nothing_from_the_held_out(spark, corpus, tmp_path):
     assert out["a"] == out["b"] and {i for i, r in out["a"].items() if r.held_out} == held
     assert all(r.predicted == int(r.score >= 0.5) for r in out["a"].values())
     assert np.mean([out["a"][i].predicted == toxic for i, _, toxic in corpus if i in held]) > 0.95
+
+
+def test_only_shared_features_are_summed(monkeypatch):
+    marks, words = [b"\2idiot\3", b"\2moron\3"], [b"\2id-iot\3", b"\2moro\3", b"\2\3", b"\2xyz\3", b"\2idiot\3"]
+    k, ends = op.Kernel(marks), np.cumsum([len(w) for w in words])
+    args = np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends
+    whole = k.values(*args)
+    assert len(k.worth) < 2 * (k.row >= 0).sum() and (whole[2:4] == 0).all() and whole[4, 0] > 0.999
+    monkeypatch.setattr(op, "UNITS", 2)
+    assert (k.values(*args) == whole).all() and k.values(args[0][:0], args[1][:0], args[2][:0]).shape == (0, 2)
