@@ -36,15 +36,14 @@ def _paragraph() -> Column:
 
 
 def documents(labelled: DataFrame, tables: DataFrame, figures: DataFrame) -> DataFrame:
-    """(document_id, tree): each document as one JSON object of paragraphs, tables and figures in order. One exchange, by document."""
-    parts = [labelled.select("document_id", F.lit("paragraphs").alias("kind"), "ord", _paragraph().alias("json"))]
-    for kind, items, fields in (("tables", tables, TABLE), ("figures", figures, FIGURE)):
-        parts.append(items.select("document_id", F.lit(kind).alias("kind"), "ord", F.to_json(F.struct(*fields), _NULLS).alias("json")))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    rows = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "json"))).alias("all"))
-
-    def listed(kind: str) -> Column:
-        own = F.filter("all", lambda x: x["kind"] == kind)
-        return F.concat(F.lit(f'"{kind}":['), F.array_join(F.transform(own, lambda x: x["json"]), ","), F.lit("]"))
-
-    return rows.select("document_id", F.concat(F.lit("{"), F.concat_ws(",", *map(listed, ("paragraphs", "tables", "figures"))), F.lit("}")).alias("tree"))
+    """(document_id, tree): each document as one JSON object of paragraphs, tables and figures in order. Each kind is gathered by
+    itself, so paragraphs that are dealt by document already, as windows leave them, aren't shuffled again as JSON."""
+
+    def listed(kind: str, rows: DataFrame, json: Column) -> DataFrame:
+        own = rows.select("document_id", F.struct("ord", json.alias("json")).alias("x")).groupBy("document_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+        return own.select("document_id", F.array_join(F.col("x.json"), ",").alias(kind))
+
+    own = {kind: listed(kind, items, F.to_json(F.struct(*fields), _NULLS)) for kind, items, fields in (("tables", tables, TABLE), ("figures", figures, FIGURE))}
+    found = listed("paragraphs", labelled, _paragraph()).join(own["tables"].join(own["figures"], "document_id", "full"), "document_id", "full")
+    parts = [F.concat(F.lit(f'"{kind}":['), F.coalesce(kind, F.lit("")), F.lit("]")) for kind in ("paragraphs", "tables", "figures")]
+    return found.select("document_id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("tree"))

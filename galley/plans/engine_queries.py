@@ -608,8 +608,8 @@ def _nested(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     cell = F.col("l_returnflag") == "R"
     own = run(text=text, font_size_pt=F.when(F.col("l_quantity") % 2 == 0, F.col("l_quantity")), bold=F.col("l_linestatus") == "O", italic=F.lit(None))
     place = F.when(cell, F.struct((F.col("place") - 1).cast("int").alias("row"), F.lit(0).alias("col")))
-    rows = items(spark, sf_dir).select(
-        *shaped(schemas.PARAGRAPHS, document_id=F.col("l_orderkey"), ord=F.col("place"), id=F.format_string("p%04d", "place"), text=text, style_name=F.lit(""), line_break_after=F.lit(False), in_table=F.when(cell, "t01"), cell=place, runs=F.array(own)),
+    rows = items(spark, sf_dir, "document_id").select(
+        *shaped(schemas.PARAGRAPHS, document_id=F.col("document_id"), ord=F.col("place"), id=F.format_string("p%04d", "place"), text=text, style_name=F.lit(""), line_break_after=F.lit(False), in_table=F.when(cell, "t01"), cell=place, runs=F.array(own)),
         *shaped(schemas.LABELS, section=F.when(~cell, F.element_at(F.array(*map(F.lit, _SECTIONS)), F.col("l_linenumber") % 3 + 1))))
     blocks = rows.where("in_table is not null").groupBy("document_id").agg(F.lit("body").alias("container_id"), F.lit(1).alias("sibling_ord"), F.lit("tbl").alias("kind"), F.lit("t01").alias("node_id"), F.lit(False).alias("has_drawing"))
     return rows, captions.tables(blocks, rows)

@@ -43,10 +43,11 @@ def run(**fields: Column) -> Column:
 ITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their place in the order, from 1."""
-    own = Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER)
-    return table(spark, sf_dir, "lineitem").withColumn("place", F.row_number().over(own))
+def items(spark: SparkSession, sf_dir: str, owner: str = "l_orderkey") -> DataFrame:
+    """Line items with their place in the order, from 1; dealt by the order's key, or by a column of another name that holds it as text."""
+    rows = table(spark, sf_dir, "lineitem")
+    rows = rows if owner == "l_orderkey" else rows.withColumn(owner, F.col("l_orderkey").cast("string"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(*ITEM_ORDER)))
 
 
 def orders_as_paragraphs(spark: SparkSession, sf_dir: str, item: Column, text: Column | None = None) -> DataFrame:
