@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galley.functions.batches import few
+
 SCHEMA = "cache_key string, answer string, failure string"
+ANSWERED = f"{SCHEMA}, attempts int"
+_ANSWERED = pa.schema([("cache_key", pa.string()), ("answer", pa.string()), ("failure", pa.string()), ("attempts", pa.int32())])
+
+#: Answers to prompts: (cache_key, prompt) to ANSWERED, answer as JSON.
+Client = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
+
+def answered(prompts: DataFrame, client: Client) -> DataFrame:
+    """ANSWERED for (cache_key, prompt). The client gets a few prompts at a time, however many an Arrow batch holds."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in client(some.to_pandas() for some in few(batches, "prompt")):
+            yield pa.RecordBatch.from_pandas(out, _ANSWERED, preserve_index=False)
+
+    return prompts.select("cache_key", "prompt").mapInArrow(kernel, ANSWERED)
 
 
 class Answers:
@@ -39,10 +60,10 @@ class Answers:
         best = rows.where("answer is not null and failure is null").groupBy("cache_key").agg(F.min("answer").alias("answer"))
         return best.withColumn("failure", F.lit(None).cast("string"))
 
-    def ask(self, prompts: DataFrame, client, run: str, tasks: int) -> DataFrame:
+    def ask(self, prompts: DataFrame, client: Client, run: str, tasks: int) -> DataFrame:
         """SCHEMA for all distinct keys of (cache_key, prompt): those known are read, all others asked once and kept under the run."""
         distinct = prompts.select("cache_key", "prompt").dropDuplicates(["cache_key"])
         known = self.known(but=run)
-        new = distinct.join(known, "cache_key", "left_anti").repartition(tasks).mapInPandas(client, f"{SCHEMA}, attempts int")
+        new = answered(distinct.join(known, "cache_key", "left_anti").repartition(tasks), client)
         new.select("cache_key", "answer", "failure").write.mode("overwrite").parquet(f"{self.folder}/run={run}")
         return self.read(run).unionByName(known.join(distinct, "cache_key", "left_semi"))

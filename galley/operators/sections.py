@@ -10,11 +10,13 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from galley.functions import text as T
+from galley.functions.batches import few
 from galley.functions.once import once
 from galley.plans.ruleset import FRONT_MATTER, Ruleset
 
@@ -24,10 +26,11 @@ HEADING, VOCABULARY, FUZZY = 3, 3, 0.85
 LEAST_HEADINGS, AFFILIATION = 4, 2
 
 
-@F.pandas_udf(StringType())
-def folded(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def folded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """NFKC and full case folding, which no built-in function offers."""
-    return text.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
+    for some in few(texts):
+        yield pa.array([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in some.to_pylist()], pa.string())
 
 
 def structural_score(runs: Column, text: Column, style: Column) -> Column:

@@ -6,16 +6,17 @@ The model is any function over pandas batches of prompts, such as model.client()
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructType
 from pydantic import BaseModel, ConfigDict, ValidationError
 
 from galley.functions import text as T
-from galley.operators.answers import SCHEMA, Answers
+from galley.functions.batches import few
+from galley.operators.answers import Answers, Client, answered
 from galley.operators.sections import folded
 from galley.plans.compiler import selected
 from galley.errors import RulesetError
@@ -24,9 +25,6 @@ from galley.plans.ruleset import Ruleset, SemanticRule
 #: Reasons for a check that failed.
 FAILURES = ("api_key_invalid", "api_key_missing", "quota_exceeded", "service_error", "timeout", "offline", "bad_response", "section_text_unavailable", "semantic_check_not_implemented", "unknown")
 
-#: Answers to prompts: (cache_key, prompt) to (cache_key, answer, failure, ...), answer as JSON.
-Client = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
-
 
 class Verdict(BaseModel):
     """An answer."""
@@ -106,7 +104,7 @@ def ask(asked: DataFrame, client: Client, kept: Answers | None = None, run: str
     if kept is not None:
         return kept.ask(prompts, client, run, tasks)
     new = prompts.dropDuplicates(["cache_key"]).repartition(tasks)
-    return new.mapInPandas(client, f"{SCHEMA}, attempts int").select("cache_key", "answer", "failure")
+    return answered(new, client).select("cache_key", "answer", "failure")
 
 
 def unchecked(documents: DataFrame, ruleset: Ruleset, reason: str = "semantic_check_not_implemented") -> DataFrame:
@@ -120,19 +118,22 @@ def unchecked(documents: DataFrame, ruleset: Ruleset, reason: str = "semantic_ch
         F.lit(reason).alias("failure_reason"), "message", none.alias("explanation"), none.alias("suggested_fix"))
 
 
-@F.pandas_udf(StructType().add("violation", BooleanType()).add("explanation", StringType()).add("suggested_fix", StringType()))
-def _read(answer: pd.Series) -> pd.DataFrame:
-    rows = [parse_verdict(a) for a in answer]
-    return pd.DataFrame([(v.violation, v.explanation, v.suggested_fix) if v else (None, None, None) for v in rows], columns=["violation", "explanation", "suggested_fix"])
+@F.arrow_udf(StructType().add("violation", BooleanType()).add("explanation", StringType()).add("suggested_fix", StringType()))
+def _read(answers: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for some in few(answers):
+        rows = [(v.violation, v.explanation, v.suggested_fix) if v else (None, None, None) for v in map(parse_verdict, some.to_pylist())]
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.bool_(), pa.string(), pa.string()), strict=True)]
+        yield pa.StructArray.from_arrays(columns, ["violation", "explanation", "suggested_fix"])
 
 
 def violations(asked: DataFrame, answers: DataFrame, ruleset: Ruleset) -> DataFrame:
-    """A row for each answer that finds a violation (needs_review) and for each check that failed."""
-    joined = asked.join(answers, "cache_key", "left").withColumn("v", _read("answer"))
+    """A row for each answer that finds a violation (needs_review) and for each check that failed. Spark would read a deterministic
+    answer for the filter and again for what is shown, each time by a Python worker of its own."""
+    joined = asked.join(answers, "cache_key", "left").withColumn("v", _read.asNondeterministic()("answer"))
     reason = F.when(F.col("text").isNull(), "section_text_unavailable").when(F.col("failure").isNotNull(), F.col("failure")).when(F.col("v.violation").isNull(), "bad_response")
-    rules = [(r.rule_id, r.severity, r.message, r.applies_to_section[0] if r.applies_to_section else None) for r in ruleset.rules if isinstance(r, SemanticRule)]
-    table = F.broadcast(asked.sparkSession.createDataFrame(rules, "rule_id string, severity string, message string, section string"))
-    out = joined.withColumn("failure_reason", reason).where("failure_reason is not null or v.violation").join(table, "rule_id")
+    rules = {r.rule_id: {"severity": r.severity, "message": r.message, "section": r.applies_to_section[0] if r.applies_to_section else None} for r in ruleset.rules if isinstance(r, SemanticRule)}
+    told = F.from_json(F.lit(json.dumps(rules)), "map<string,struct<severity:string,message:string,section:string>>")[F.col("rule_id")]
+    out = joined.withColumn("failure_reason", reason).where("failure_reason is not null or v.violation").withColumn("rule", told).where("rule is not null")
     status = F.when(F.col("failure_reason").isNotNull(), "check_failed").otherwise("needs_review")
-    return out.select("document_id", "rule_id", "rule_seq", "severity", "section", F.col("anchor").alias("anchor_paragraph_id"), status.alias("status"),
-                      F.coalesce("failure_reason", F.lit("")).alias("failure_reason"), "message", "v.explanation", "v.suggested_fix")
+    return out.select("document_id", "rule_id", "rule_seq", "rule.severity", "rule.section", F.col("anchor").alias("anchor_paragraph_id"), status.alias("status"),
+                      F.coalesce("failure_reason", F.lit("")).alias("failure_reason"), "rule.message", "v.explanation", "v.suggested_fix")
